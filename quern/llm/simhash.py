@@ -199,8 +199,7 @@ def dealt(cells: DataFrame, budget: int) -> DataFrame:
         for bl, va, us, f in zip(block.tolist(), value.tolist(), used.tolist(), fp.tolist(), strict=True):
             if us not in masks:
                 free = [i for i in range(63, -1, -1) if not us & 0xFFFFFFFFFFFFFFFF >> i & 1]
-                size = -(-len(free) // (budget + 1))
-                masks[us] = [sum(1 << i for i in free[k : k + size]) for k in range(0, size * (budget + 1), size)] if free else []
+                masks[us] = [sum(1 << i for i in free[k :: budget + 1]) for k in range(min(len(free), budget + 1))]
             row = []
             for k, m in enumerate(masks[us]):
                 now = us & 0xFFFFFFFFFFFFFFFF | m
@@ -224,8 +223,11 @@ def first_deal(distinct: DataFrame, budget: int) -> DataFrame:
 def hamming_links(distinct: DataFrame, budget: int = 3, group: int = GROUP) -> DataFrame:
     """Links (a, b) whose connected components are those of all pairs within the budget. distinct: (fp), no repeats.
 
+    group: at least 2 ** (budget + 1), so that a cell without bits to deal by is never above it.
     `value` is a 64-bit hash of the cell's bits: cells that clash share a trie, which costs time and alters nothing.
     """
+    if group < 2 << budget:
+        raise ValueError("a group this small may have no bits left to deal by")
     found = []
     cells = first_deal(distinct, budget)
     while True:
