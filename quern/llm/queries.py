@@ -10,6 +10,7 @@ from .common import table
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .pii import find_pii
 from .secrets import find_secrets
 from .sharding import shard_documents
 from .simhash import simhash_near_dups
@@ -47,6 +48,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
+    "op9_pii": op9_pii,
     "op10_secrets": op10_secrets,
 }
 
