@@ -45,21 +45,29 @@ def with_slots(rows: DataFrame, order: Sequence[str], cells: int = CELLS) -> Dat
     """`slot`: gapless numbers from 0 within each shard, in the order of (cell, order).
 
     Counts by shard and cell are summed up first, so that each cell is numbered on its own. Their number is bounded by
-    shards x cells, which is what is broadcast. `cell` must be a column of `rows`.
+    shards x cells, which is what is broadcast. `rows` has the columns `shard` and `__cell`.
     """
-    counts = rows.groupBy("shard", "cell").count()
-    before = W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    numbered = rows.withColumn("in_cell", F.row_number().over(W.partitionBy("shard", "cell").orderBy(*order)))
-    return numbered.join(F.broadcast(starts), ["shard", "cell"]).withColumn("slot", F.col("start") + F.col("in_cell") - 1).drop("start", "in_cell")
+    counts = rows.groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy("shard").orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("shard", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    numbered = rows.withColumn("__at", F.row_number().over(W.partitionBy("shard", "__cell").orderBy(*order)))
+    return numbered.join(F.broadcast(starts), ["shard", "__cell"]).withColumn("slot", F.col("__start") + F.col("__at") - 1).drop("__cell", "__start", "__at")
+
+
+def cell_of(key: Column, cells: int = CELLS) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(SEED + 1)), F.lit(cells))
+
+
+def key_of(key_col: str) -> Column:
+    return F.coalesce(F.col(key_col).cast("string"), F.lit(""))
 
 
 def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * 24, key_col: str = "doc_id", text_col: str = "text", overhead: int = 8, cells: int = CELLS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of `docs`; `grown_shard` with one more shard of mean weight."""
-    text, key = text_or_empty(text_col), F.coalesce(F.col(key_col).cast("string"), F.lit(""))
+    text, key = text_or_empty(text_col), key_of(key_col)
     grown = [*weights, sum(weights) / len(weights)]
     rows = docs.select(
         F.col(key_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
-        rendezvous(key, weights).alias("shard"), rendezvous(key, grown).alias("grown_shard"), F.pmod(F.xxhash64(key, F.lit(SEED + 1)), F.lit(cells)).alias("cell"),
+        rendezvous(key, weights).alias("shard"), rendezvous(key, grown).alias("grown_shard"), cell_of(key, cells).alias("__cell"),
     )
     return with_slots(rows, ["doc_id", "text_crc32", "size"], cells).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

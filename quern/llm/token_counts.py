@@ -115,12 +115,11 @@ class PrefixCounter:
 
     def prefix_counts(self, text: str) -> list[int]:
         """Token counts of text[:0], text[:1], ... up to the whole text."""
-        out = [0]
+        out, total = [0], 0
         for k, (kept, u) in enumerate(self.units(text) if text else ()):
-            base, counts = out[-1], self.unit_counts(kept.lead + u)
-            if k == 0:  # the leading space sign is not of the text
-                base, counts = 0, counts[1:]
-            out += [base + c for c in counts]
+            counts = [total + c for c in self.unit_counts(kept.lead + u)]
+            total = counts[-1]
+            out += counts[1:] if k == 0 else counts  # the leading space sign is not of the text
         return out
 
     def fitting(self, text: str, budget: int) -> int:
