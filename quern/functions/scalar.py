@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from datetime import date, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,6 +51,10 @@ def local_to_utc(ts: Column, zone: str = LOCAL_ZONE) -> Column:
     return F.to_utc_timestamp(ts, zone)
 
 
+def utc_now() -> datetime:
+    return datetime.now(UTC).replace(tzinfo=None)
+
+
 def safe_run_id(run_id: str) -> str:
     """A run id that can be a folder name."""
     return re.sub(r'[<>"/\\|?*]', "_", run_id.replace(":", "-").replace("+", "_"))
