@@ -1,14 +1,14 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text, normalised by length, with exception phrases.
 
-Folding undoes homoglyphs, digit substitutions, stretched letters and accents of Latin letters, word by word. The lexicon
-holds folded words and word starts with weights learnt from labelled documents; the automaton matches all of them at word
+Folding undoes homoglyphs, digit substitutions, stretched letters and loose accents, word by word; letters of a language such as é stay. The lexicon
+holds folded words and productive word starts with weights learnt from labelled documents; the automaton matches all of them at word
 borders in one pass. Matches inside an exception phrase don't count. A document's features are the summed weight of its
-matches, that sum over the logarithm of its length, and the strongest match; logistic regression turns them into a score.
+different matches, the sum of all over the logarithm of its length, the strongest match, and the number of different ones; logistic regression turns them into a score.
 
 Everything is learnt from a bounded sample of labelled rows (`SAMPLE` of each label, those with the smallest hashes).
 
 Defined results: a null text is the empty text, which is scored like any text without matches; without labels of both
-kinds the weights of `SEED_WORDS` and a fixed curve are used; rows that repeat get the same result; other columns are
+kinds `SEED_WORDS` have a fixed weight and the curve is fixed; rows that repeat get the same result; other columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +34,20 @@ from .common import text_or_empty, written
 SAMPLE = 3000
 #: Entries of the lexicon, at most, and the documents that must have an entry.
 ENTRIES, SUPPORT = 20_000, 5
+#: Nats by which an entry's share of toxic documents must lie beyond chance. There are millions of candidates, so most chance finds fall below.
+BEYOND_CHANCE = 18.0
 #: An entry must be this many times as frequent among toxic documents.
 RATIO = 12.0
 STARTS = range(4, 8)
 THRESHOLD = 0.3
 KEPT = 300_000
 
-# Words that count where nothing can be learnt.
+# Words that count unless the labels speak against them.
 SEED_WORDS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "imbecile", "filth", "vermin")
 # Phrases in which such words are harmless.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "white trash bag", "sore loser board", "class clown award", "clown fish", "circus clown", "stupid simple", "worthless stock", "pond scum", "soap scum")
 # Look-alikes and digits that stand for letters.
-LOOK_ALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ο": "o", "ρ": "p", "ν": "v", "τ": "t", "ι": "i", "κ": "k", "ɡ": "g", "ı": "i", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l"}
+LOOK_ALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ο": "o", "ρ": "p", "ν": "v", "τ": "t", "ι": "i", "κ": "k", "ɡ": "g", "ı": "i"}
 DIGIT = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
 CODED = re.compile(r"(?<=[^\W\d_])[013457@$!|8]+(?=[^\W\d_])|^[013457@$8](?=[^\W\d_])|(?<=[^\W\d_])[013457](?!\w)")
 
@@ -53,7 +56,7 @@ def fold(word: str) -> str:
     """Lower-case Latin letters of a word, with spaces for what separates."""
     low = word.lower()
     if not low.isascii():
-        low = unicodedata.normalize("NFKD", "".join(LOOK_ALIKE.get(c, c) for c in low))
+        low = unicodedata.normalize("NFKC", low)
         low = "".join(LOOK_ALIKE.get(c, c) for c in low if not unicodedata.combining(c))
     if not low.isalpha():
         low = CODED.sub(lambda m: "".join(DIGIT[c] for c in m[0]), low)
@@ -82,7 +85,7 @@ class Lexicon:
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
-    curve: list[float] = field(default_factory=lambda: [-4.0, 1.2, 0.6, 0.6])
+    curve: list[float] = field(default_factory=lambda: [-3.5, 1.2, 0.6, 0.6, 0.4])
     automaton: object = None
 
     def matcher(self) -> ahocorasick.Automaton:
@@ -97,22 +100,22 @@ class Lexicon:
             self.automaton = a
         return self.automaton
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """Summed weight, summed weight by length, strongest match."""
+    def features(self, text: str) -> tuple[float, float, float, float]:
+        """Of the words that match: summed weight of different ones, summed weight by length, strongest, number of different ones."""
         a, t = self.matcher(), folded(text)
         found = [(end, *v) for end, v in a.iter(t)] if len(a) else []
         if not found:
-            return 0.0, 0.0, 0.0
+            return 0.0, 0.0, 0.0, 0.0
         spared = [(end - n + 1, end) for end, n, w in found if w is None]
-        by_word: dict[int, float] = {}  # of the entries that begin at a word the strongest counts
+        by_place: dict[int, float] = {}  # of the entries that begin at a word the strongest counts
         for end, n, w in found:
             start = end - n + 1
             if w is not None and not any(s <= start and end <= e for s, e in spared):
-                by_word[start] = max(w, by_word.get(start, w))
-        if not by_word:
-            return 0.0, 0.0, 0.0
-        total = sum(by_word.values())
-        return math.log1p(total), total / math.log2(8 + t.count(" ")), max(by_word.values())
+                by_place[start] = max(w, by_place.get(start, w))
+        if not by_place:
+            return 0.0, 0.0, 0.0, 0.0
+        words = {t[s + 1 : t.index(" ", s + 1)]: w for s, w in by_place.items()}
+        return math.log1p(sum(words.values())), sum(by_place.values()) / math.log2(8 + t.count(" ")), max(words.values()), math.log1p(len(words))
 
     def score(self, text: str) -> float:
         z = self.curve[0] + sum(c * f for c, f in zip(self.curve[1:], self.features(text), strict=True))
@@ -136,7 +139,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, keep: Column, sample: int
     spot = F.xxhash64("doc_id", F.lit(6))
     picked = [known.where(F.col("toxic") == x).orderBy(spot, "doc_id").limit(sample) for x in (0, 1)]
     ids = F.broadcast(written(picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"]), "sample"))
-    return written(docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id").select("text", "toxic"), "training")
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id").select("text", "toxic")
+    # near copies would make words of one document look like words of many
+    return written(rows.withColumn("trace", trace("text")).groupBy("trace", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "training")
+
+
+def least_shingle(text: str) -> int:
+    """The smallest hash of five words in a row, which near copies share and other documents don't."""
+    w = text.split()
+    return min(xxhash.xxh64_intdigest(" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))) - (1 << 63)
+
+
+def trace(text: str) -> Column:
+    @F.pandas_udf("long")
+    def least(texts: pd.Series) -> pd.Series:
+        return pd.Series([least_shingle(t) for t in texts], dtype="int64")
+
+    return least(text)
 
 
 def learn(rows: DataFrame) -> Lexicon:
@@ -152,22 +171,49 @@ def learn(rows: DataFrame) -> Lexicon:
                 total[x].update(entries(t))
         # what no toxic document of this part has is still needed as a count of clean ones
         words = list(total[0].keys() | total[1].keys())
-        yield pd.DataFrame({"entry": words, "toxic": [total[1][w] for w in words], "clean": [total[0][w] for w in words]})
+        for i in range(0, len(words), 50_000):
+            part = words[i : i + 50_000]
+            yield pd.DataFrame({"entry": pd.Series(part, dtype="object"), "toxic": [total[1][w] for w in part], "clean": [total[0][w] for w in part]})
 
     counts = rows.mapInPandas(counted, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = ((F.col("toxic") + 0.5) / (n[1] + 1)) / ((F.col("clean") + 0.5) / (n[0] + 1))
-    best = counts.where((F.col("toxic") >= SUPPORT) & (odds >= RATIO) & (F.col("toxic") >= 2 * F.col("clean"))).orderBy(F.desc("toxic"), "entry").limit(ENTRIES)
-    lexicon = Lexicon({r["entry"]: math.log(r["odds"]) for r in best.withColumn("odds", odds).collect()})
+    seeds = [f" {w} " for w in SEED_WORDS]
+    odds = lambda toxic, clean: ((toxic + 0.5) / (n[1] + 1)) / ((clean + 0.5) / (n[0] + 1))
+    toxic, clean = F.col("toxic"), F.col("clean")
+    p = n[1] / (n[0] + n[1])
+    nats = toxic * F.ln(toxic / ((toxic + clean) * p)) + F.when(clean > 0, clean * F.ln(clean / ((toxic + clean) * (1 - p)))).otherwise(0.0)
+    found = (toxic >= SUPPORT) & (odds(toxic, clean) >= RATIO) & (toxic >= 2 * clean) & (nats >= BEYOND_CHANCE)
+    best = counts.where(found | F.col("entry").isin(seeds)).orderBy(F.desc("toxic"), "entry").limit(ENTRIES + len(seeds)).collect()
+    weights = {r["entry"]: math.log(odds(r["toxic"], r["clean"])) for r in best if r["entry"] not in seeds}
+    # words that are known to count do so unless the labels speak against them
+    seen = {r["entry"]: (r["toxic"], r["clean"]) for r in best}
+    for w in seeds:
+        t, c = seen.get(w, (0, 0))
+        if t >= 2 * c:
+            weights[w] = max(2.0, math.log(odds(t, c)))
+    lexicon = Lexicon(productive(weights, seen))
 
     def features(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame([(*lexicon.features(t), int(x)) for t, x in zip(pdf["text"], pdf["toxic"], strict=True)], columns=["a", "b", "c", "toxic"])
+            if len(pdf):
+                yield pd.DataFrame([(*lexicon.features(t), int(x)) for t, x in zip(pdf["text"], pdf["toxic"], strict=True)], columns=["a", "b", "c", "d", "toxic"])
 
-    got = np.array(rows.mapInPandas(features, "a double, b double, c double, toxic int").orderBy("a", "b", "c", "toxic").collect(), float)
-    lexicon.curve = logistic(got[:, :3], got[:, 3])
+    got = np.array(rows.mapInPandas(features, "a double, b double, c double, d double, toxic int").collect(), float)
+    got = got[np.lexsort(got.T)]  # sums don't depend on which task was first
+    lexicon.curve = logistic(got[:, :4], got[:, 4])
     return lexicon
 
 
+def productive(weights: dict[str, float], seen: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Without word starts that mostly stand for one word of the lexicon or for one longer start."""
+    top: dict[str, int] = {}
+    for e in weights:
+        for k in STARTS:
+            start, bare = f" {e.strip()[:k]}", e.strip()
+            if e != start and len(bare) >= k:
+                top[start] = max(top.get(start, 0), seen.get(e, (0, 0))[0])
+    return {e: w for e, w in weights.items() if e.endswith(" ") or top.get(e, 0) < 0.8 * seen[e][0]}
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> list[float]:
     """Ridge logistic regression by Newton steps; both labels weigh as in the sample, coefficients stay at 0 or above."""
     x = np.column_stack([np.ones(len(x)), x])

@@ -8,8 +8,8 @@ from .helpers import documents, no_docs, odd_docs
 
 
 def test_fold():
-    assert fold("Idiot") == fold("1d10t") == fold("іdіоt") == fold("ídïot") == fold("id!ot") == "idiot"
-    assert fold("the$$$") == fold("the###") == "the" and fold("2024") == "" and fold("stuuuupid") == "stuupid" and fold("Straße") == "strasse"
+    assert fold("Idiot") == fold("1d10t") == fold("іdіоt") == fold("ｉｄｉｏｔ") == fold("id!ot") == "idiot"
+    assert fold("the$$$") == fold("the###") == "the" and fold("2024") == "" and fold("stuuuupid") == "stuupid" and fold("Straße") == "straße" and fold("é") == "é"
 
 
 def test_exceptions_and_length():
@@ -41,9 +41,11 @@ def test_held_out_labels_are_not_used(spark, sf_dir):
 
 
 def test_learns_words_and_starts(spark):
-    rows = [(f"some plain words here {i} " + ("you zork there" if i % 2 else "all is well"), i % 2) for i in range(60)] + [(f"bla grumm{c} bla", 1) for c in "abcdefghij"] + [("bla bla bla", 0)] * 10
+    ends = ["".join(p) for p in __import__("itertools").product("abcdef", repeat=2)]
+    rows = [(f"some plain words {i} {i * 7} and {i * 3} " + (f"a zork of {i * 5}" if i % 2 else f"all is {i * 11} well"), i % 2) for i in range(160)] + [(f"bla {i} blu {i * 3} grumm{e} bli {i * 5}", 1) for i, e in enumerate(ends)] + [(f"bla {i} blu {i * 3} bli {i * 7}", 0) for i in range(60)]
     lex = learn(spark.createDataFrame(rows, "text string, toxic int"))
     assert lex.score("a zork") > 0.5 and lex.score("x grummxyz y") > 0.5 and lex.score("some plain words") < 0.3
+    assert " zork " in lex.weights and any(e.startswith(" grum") for e in lex.weights) and not any(e.startswith(" bla") for e in lex.weights)
     assert learn(spark.createDataFrame([], "text string, toxic int")).score("you idiot") > 0.3
 
 
