@@ -6,18 +6,37 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of an input folder, read by Spark alone."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that it need not be installed there."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parents[2]
+        _SHIPPED.add(app)
+        place = tempfile.mkdtemp(prefix="quern-package-")
+        atexit.register(shutil.rmtree, place, ignore_errors=True)
+        path = f"{place}/quern.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted((root / "quern").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        spark.sparkContext.addPyFile(path)
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (`spark.checkpoint.dir`).
 
