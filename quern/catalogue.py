@@ -505,6 +505,50 @@ def dq_orders_without_items(spark, d):
     return o.join(V.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_id")), "order_id", "left_anti")
 
 
+RULES = {
+    "order_without_lines": "lines IS NULL", "not_one_payment": "coalesce(payments, 0) <> 1", "other_warehouse": "lines IS NOT NULL AND (warehouse_id IS DISTINCT FROM fw OR warehouse_id IS DISTINCT FROM lw)",
+    "status_not_listed": "order_status NOT IN ('F', 'O')", "paid_other_amount": "abs(coalesce(paid, 0) - coalesce(due, 0)) > 0.01",
+}
+
+
+@query("dq_order_rules", f"""SELECT unnest({list(RULES)}) AS check_name, unnest([{', '.join(f'count(*) FILTER ({c})' for c in RULES.values())}]) AS failures FROM stg_orders
+ LEFT JOIN (SELECT order_id, count(*) AS lines, sum(price * quantity + freight_value) AS due, min(warehouse_id) AS fw, max(warehouse_id) AS lw FROM stg_order_items GROUP BY 1) USING (order_id)
+ LEFT JOIN (SELECT order_id, count(*) AS payments, sum(payment_value) AS paid FROM stg_order_payments GROUP BY 1) USING (order_id)""")
+def dq_order_rules(spark, d):
+    return quality.order_rules(*enriched_inputs(spark, d))
+
+
+@query("bronze_coverage", "SELECT (SELECT count(*) FROM lineitem) AS rows, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS different_keys, updated_at AS top_updated_at, order_id AS top_order_id, order_item_id AS top_order_item_id FROM stg_versions ORDER BY updated_at DESC, order_id DESC, order_item_id DESC LIMIT 1")
+def bronze_coverage(spark, d):
+    return quality.coverage(V.item_versions(spark, d), V.ITEM_KEY, ("updated_at", *V.ITEM_KEY))
+
+
+@query("due_orders", "SELECT order_id, updated_at FROM stg_orders WHERE (order_status = 'O' AND updated_at <= TIMESTAMP '2001-06-01' - INTERVAL 2 MINUTE) OR (order_status = 'P' AND updated_at <= TIMESTAMP '1999-01-01' - INTERVAL 1 DAY)")
+def due_orders(spark, d):
+    """Orders old enough for their next step, by the age that their status needs."""
+    o = V.stg_orders(spark, d)
+    at = lambda t, age: F.lit(t).cast("timestamp_ntz") - F.expr(age)
+    old_open = (F.col("order_status") == "O") & (F.col("updated_at") <= at("2001-06-01", "interval 2 minutes"))
+    old_pending = (F.col("order_status") == "P") & (F.col("updated_at") <= at("1999-01-01", "interval 1 day"))
+    return o.where(old_open | old_pending).select("order_id", "updated_at")
+
+
+@query("approved_orders_semi", "SELECT order_id, order_status FROM stg_orders WHERE order_id IN (SELECT order_id FROM stg_order_payments WHERE payment_type = 'R')")
+def approved_orders_semi(spark, d):
+    """Orders with a payment of a kind."""
+    paid = V.stg_order_payments(V.stg_order_items(spark, d)).where("payment_type = 'R'").select("order_id")
+    return V.stg_orders(spark, d).join(paid, "order_id", "left_semi").select("order_id", "order_status")
+
+
+@query("star_orders", f"SELECT year(order_purchase_timestamp) AS year, r_name AS state_code, region, CAST(sum(1) AS BIGINT) AS orders, CAST(sum(CAST(total_payment_value AS DECIMAL(20,2))) AS DOUBLE) AS revenue FROM stg_enriched LEFT JOIN customer ON customer_id = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN (VALUES {', '.join(map(repr, V.WAREHOUSES))}) w(warehouse_id, city, region) ON order_warehouse_id = w.warehouse_id GROUP BY 1, 2, 3".replace("year(order_purchase_timestamp)", "CAST(year(order_purchase_timestamp) AS INTEGER)"))
+def star_orders(spark, d):
+    """The order fact with its customer and warehouse dimensions."""
+    fact = fact_orders(spark, d).withColumn("year", F.year("order_purchase_timestamp"))
+    w = F.broadcast(dim_warehouses(spark, d).select(F.col("warehouse_id").alias("order_warehouse_id"), F.col("region")))  # five rows
+    joined = fact.join(dim_customers(spark, d).select("customer_id", "state_code"), "customer_id", "left").join(w, "order_warehouse_id", "left")
+    return joined.groupBy("year", "state_code", "region").agg(F.sum("order_count").alias("orders"), F.sum("total_payment_value").alias("revenue"))
+
+
 # inventory ------------------------------------------------------------------------------------------------------------
 
 

@@ -103,3 +103,20 @@ def order_time_checks(orders: DataFrame) -> DataFrame:
         "pending_with_approval": (s == "P") & approved.isNotNull(), "open_with_delivery": (s != "F") & delivered.isNotNull(), "finished_without_delivery": (s == "F") & delivered.isNull(),
         "approved_before_purchase": approved < bought, "carrier_before_approval": carrier < approved, "delivered_before_carrier": delivered < carrier, "delivered_before_purchase": delivered < bought, "unknown_status": ~s.isin("F", "O", "P"),
     })
+
+
+def order_rules(orders: DataFrame, items: DataFrame, payments: DataFrame) -> DataFrame:
+    """(check_name, failures): orders without lines, with other than one payment, with lines of other warehouses, of unknown origin, or paid for another amount than their lines come to."""
+    lines = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("price") * F.col("quantity") + F.col("freight_value")).alias("due"), F.min("warehouse_id").alias("first_warehouse"), F.max("warehouse_id").alias("last_warehouse"))
+    paid = payments.groupBy("order_id").agg(F.count(F.lit(1)).alias("payments"), F.sum("payment_value").alias("paid"))
+    o = orders.select("order_id", "warehouse_id", "order_status").join(lines, "order_id", "left").join(paid, "order_id", "left")
+    return counters(o, {
+        "order_without_lines": F.col("lines").isNull(), "not_one_payment": F.coalesce("payments", F.lit(0)) != 1, "other_warehouse": F.col("lines").isNotNull() & ~(F.col("warehouse_id").eqNullSafe(F.col("first_warehouse")) & F.col("warehouse_id").eqNullSafe(F.col("last_warehouse"))),
+        "status_not_listed": ~F.col("order_status").isin("F", "O"), "paid_other_amount": F.abs(F.coalesce("paid", F.lit(0)) - F.coalesce("due", F.lit(0))) > F.lit("0.01").cast("decimal(10,2)"),
+    })
+
+
+def coverage(bronze: DataFrame, keys: Sequence[str], cursor: Sequence[str]) -> DataFrame:
+    """(rows, different_keys, and the largest cursor) of a raw table, in one pass; a key with a null part is a key."""
+    top = F.max(F.struct(*cursor))
+    return bronze.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(F.struct(*keys)).alias("different_keys"), *[top[c].alias(f"top_{c}") for c in cursor])
