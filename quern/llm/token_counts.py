@@ -4,7 +4,7 @@ The encoding of a prefix ends in exactly one token, and the rest of it is the en
 So the count at a prefix is one (for bytes that stand for an unknown character: their number) more than the count at an
 earlier prefix. Which token ends a prefix follows from pairs alone: a token may follow another if BPE, applied to both
 joined, gives back just these two. Texts fall into units that no token spans (a unit starts at a space after
-another character, or after a character that no longer token has); counts of units are kept and added up.
+another character, at a line break, or after a letter that something else follows, as far as the vocabulary has no token across); counts of units are kept and added up.
 
 Defined results: a null text is the empty text, which has no tokens; strings of control tokens inside a text are plain
 text, as in the library; other columns are ignored; an empty table gives an empty result.
@@ -26,7 +26,11 @@ from .common import text_or_empty
 
 SPACE = "▁"
 #: Units and token pairs that a worker keeps; they are dropped and found again beyond this.
-KEPT = 400_000
+KEPT, KEPT_PAIRS = 700_000, 400_000
+#: Characters of texts whose units are learnt together.
+LEARNT = 4_000_000
+#: Where a letter is followed by something else.
+AFTER_LETTER = re.compile(r"(?<=[^\W\d_])(?=[\W\d_])")
 
 
 class Units(dict):
@@ -38,8 +42,12 @@ class Units(dict):
     def __missing__(self, key: str) -> int:
         if len(self) >= KEPT:
             self.clear()
-        unit = self.lead + key
-        n = self[key] = self.counter.unit_counts(unit)[-1] if unit else 0
+        unit, parts = self.lead + key, AFTER_LETTER.split(key) if self.counter.splits_after_letter else ()
+        if len(parts) > 1:
+            n = self[parts[0]] + sum(map(self.counter.bare.__getitem__, parts[1:]))
+        else:
+            n = self.counter.unit_counts(unit)[-1] if unit else 0
+        self[key] = n
         return n
 
 
@@ -55,7 +63,7 @@ class PrefixCounter:
         joined = [p for p in self.score if len(p) > 1]
         self.splits_at_space = not any(SPACE in p.lstrip(SPACE) for p in joined)
         self.line = not any("\n" in p for p in joined)
-        self.line_cost = 1
+        self.splits_after_letter = not any(map(AFTER_LETTER.search, joined))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.led, self.bare = Units(self, SPACE), Units(self, "")
         if not self.splits_at_space:
@@ -75,23 +83,60 @@ class PrefixCounter:
     def may_follow(self, a: str, b: str) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) >= KEPT:
+            if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return known
 
-    def unit_counts(self, unit: str) -> list[int]:
-        """Token counts of unit[:1], unit[:2], ... up to the whole unit."""
-        score, last, count = self.score, [""], [0]
-        for i in range(1, len(unit) + 1):
-            for n in range(min(self.longest, i), 0, -1):
+    def extend(self, unit: str, last: list[str], count: list[int]) -> None:
+        """Goes on from the prefix of `unit` that `last` and `count` (last token and token count by prefix) have reached."""
+        score, pairs, longest = self.score, self.pairs, self.longest
+        for i in range(len(count), len(unit) + 1):
+            n = min(i, longest)
+            while True:
                 t = unit[i - n : i]
-                if (n == 1 or t in score) and self.may_follow(last[i - n], t):
-                    break
+                if t in score or n == 1:
+                    fits = pairs.get((last[i - n], t))
+                    if fits or (fits is None and self.may_follow(last[i - n], t)):
+                        break
+                n -= 1
             last.append(t)
             count.append(count[i - n] + (1 if t in score else len(t.encode("utf-8", "surrogatepass"))))
+
+    def unit_counts(self, unit: str) -> list[int]:
+        """Token counts of unit[:1], unit[:2], ... up to the whole unit."""
+        count = [0]
+        self.extend(unit, [""], count)
         return count[1:]
 
+    def learn(self, texts: list[str]) -> None:
+        """Counts the units of some texts in alphabetical order, where each unit goes on from the prefix that it shares with the one before."""
+        led: set[str] = set()
+        bare: set[str] = set()
+        for t in texts:
+            first, *rest = t.split("\n")
+            led.update(first.split(" "))
+            for part in rest:
+                head, *words = part.split(" ")
+                bare.add(head)
+                led.update(words)
+        for kept, keys in ((self.led, led), (self.bare, bare)):
+            if len(kept) + len(keys) >= KEPT:
+                kept.clear()
+            new = keys - kept.keys()
+            if self.splits_after_letter:
+                new = {AFTER_LETTER.split(k, maxsplit=1)[0] for k in new} - kept.keys()
+            last, count, before = [""], [0], ""
+            for key in sorted(new):
+                unit, k = kept.lead + key, 0
+                for x, y in zip(before, unit):
+                    if x != y:
+                        break
+                    k += 1
+                del last[k + 1 :], count[k + 1 :]
+                self.extend(unit, last, count)
+                kept[key], before = count[-1], unit
+
     def units(self, text: str) -> Iterator[tuple[Units, str]]:
         """The units of a text in order; concatenated they are the text with its leading space sign."""
         whole = SPACE + text.replace(" ", SPACE)
@@ -151,8 +196,16 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
 
     @F.pandas_udf("struct<n_tokens:long,limit_points:long>")
     def counts(texts: pd.Series) -> pd.DataFrame:
-        c = counter(model_file)
-        n = [c.count(t) for t in texts]
+        c, n, some, size = counter(model_file), [], [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t)
+            if size >= LEARNT:
+                c.learn(some)
+                n += map(c.count, some)
+                some, size = [], 0
+        c.learn(some)
+        n += map(c.count, some)
         fit = [len(t) if k <= limit else c.fitting(t, limit) for t, k in zip(texts, n, strict=True)]
         return pd.DataFrame({"n_tokens": np.array(n, np.int64), "limit_points": np.array(fit, np.int64)})
 
