@@ -95,7 +95,7 @@ def int_clickstream_sessions(events: DataFrame) -> DataFrame:
     ts = F.col("event_timestamp")
     return events.groupBy("session_id").agg(
         F.min(ts).alias("session_start_at"), F.max(ts).alias("session_end_at"), F.min("event_date").alias("session_start_date"), F.max("event_date").alias("session_end_date"),
-        F.count(F.lit(1)).alias("event_count"), distinct_small("item_id").alias("distinct_item_count"), distinct_small("category").alias("distinct_category_count"),
+        F.count(F.lit(1)).alias("event_count"), F.countDistinct("item_id").alias("distinct_item_count"), F.countDistinct("category").alias("distinct_category_count"),
     ).withColumn("session_duration_seconds", seconds_between(F.col("session_end_at"), F.col("session_start_at")))
 
 
