@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import table, text_or_empty, written
+from quern.llm.common import drop_written, made, table, text_or_empty, written
 from quern.llm.decontamination import contaminated
 from quern.llm.mixing import mix
 from quern.llm.sharding import cell_of, key_of, rendezvous, with_slots
@@ -71,7 +71,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages. What a stage has written for itself, and its input, go as soon as its output is written."""
+    docs, before = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_written(spark, before, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_MADE: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,7 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read again: its lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -65,3 +67,17 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
 def text_or_empty(name: str = "text") -> Column:
     """A null text counts as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables that `written` has made since it had made `since` tables, but for the last `keep`. Frames that read them are of no use afterwards."""
+    until = len(_MADE) - keep
+    for path in _MADE[since:until]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    del _MADE[since:until]
+
+
+def made() -> int:
+    """How many tables `written` has made and that are still there."""
+    return len(_MADE)

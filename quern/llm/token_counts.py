@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -219,7 +218,3 @@ def budget_cut(text: str, budget: int, model_file: str) -> str:
     """The longest prefix of a text within a token budget."""
     return text[: counter(model_file).fitting(text, budget)]
 
-
-def running_total(counts: list[int]) -> list[int]:
-    """Token offsets of documents that are packed one after another."""
-    return [0, *accumulate(counts)]
