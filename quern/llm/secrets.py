@@ -2,7 +2,8 @@
 
 The cost of a value is the least number of bits over all ways to cut it into words, dates, repeats, keyboard walks and
 spans that have to be tried out by brute force, found by dynamic programming from left to right. Values that stand
-where a credential is named are reported where their cost is at least `MIN_BITS`.
+where a credential is named are reported where their cost is at least `MIN_BITS`. Where only blanks or "is" stand between name
+and value, runs of letters that look like an ordinary word cost at most `WORD_BITS` unless letters and digits are mixed.
 
 Defined results: a null text is the empty text; rows that repeat get the same result; other columns are ignored; an
 empty table gives an empty result.
@@ -32,6 +33,11 @@ CONTEXT = re.compile(
     r"""(?:passw(?:or)?d|passphrase|passcode|pwd|secret|token|api[_\x20-]?key|bearer|credentials?|private[_\x20]key|access_key|auth(?:orization)?)["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+|\x20+)["'`]?([!-~]{8,})""",
     re.I | re.A,
 )
+#: What sets a value apart from its name, beyond blanks and words.
+SEPARATOR = re.compile("[:=\"'`]")
+#: Letter runs of a value in prose; bits to pick an ordinary word; the most letters of one.
+RUNS = re.compile("[A-Za-z]+")
+WORD_BITS, WORD_LETTERS = 17.0, 20
 
 # Common passwords and placeholder words, most common first.
 WORDS = (
@@ -111,6 +117,22 @@ def kept_bits(value: str) -> float:
     return guess_bits(value)
 
 
+def prose_bits(value: str) -> float:
+    """`guess_bits` of a value that nothing but blanks or "is" sets apart from its name: without both letters and digits it may
+    be an ordinary word, and what is shaped like words costs no more than picking them."""
+    if re.search("[0-9]", value) and re.search("[A-Za-z]", value):
+        return kept_bits(value)
+    odd = sum(len(r) for r in RUNS.findall(value) if not word_like(r))
+    words = [r for r in RUNS.findall(value) if word_like(r)]
+    bits = sum(min(WORD_BITS, len(r) * char_bits(value)) for r in words) + odd * char_bits(value)
+    return min(bits, kept_bits(value))
+
+
+def word_like(run: str) -> bool:
+    low = run.lower()
+    return run[1:] in (low[1:], run[1:].upper()) and len(run) <= WORD_LETTERS and 4 * sum(c in "aeiouy" for c in low) >= len(run) and not re.search("[^aeiouy]{5}", low)
+
+
 def value_spans(text: str, base: list[tuple[int, int, str, str]], min_bits: float) -> list[tuple[int, int, str, str]]:
     """Values named as credentials whose guess cost is high, where no fixed format has been found."""
     low = text.lower()
@@ -120,8 +142,8 @@ def value_spans(text: str, base: list[tuple[int, int, str, str]], min_bits: floa
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".,;:!?\"'`)]}>")
         a, b = m.start(1), m.start(1) + len(value)
-        mixed = re.search("[0-9]", value) and re.search("[A-Za-z]", value)
-        if len(value) >= 8 and mixed and not any(s < b and a < e for s, e, _, _ in base) and kept_bits(value) >= min_bits:
+        price = kept_bits if SEPARATOR.search(text, m.start(), m.start(1)) else prose_bits
+        if len(value) >= 8 and not any(s < b and a < e for s, e, _, _ in base) and price(value) >= min_bits:
             out.append((a, b, "value", value))
     return out
 

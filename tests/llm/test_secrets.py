@@ -57,3 +57,10 @@ def test_credential_context():
     for t in ["the password is password123 ok", "token = your_api_key_here", "xK9#mQ2$vL7!pq", "the secret is somewhere else today"]:
         assert scan(t)[5] == 0
     assert redacted("token = abcdefghijkl1234 and") == "[SECRET] and" and redacted("") == "" and not base_spans("")
+
+
+def test_values_without_digits():
+    for t in ["password: kQz!vRt#Lm&Xw^pB", "pwd=qzxvkjwpmhgtrbnl", "secret => 'kQzvRtLmXwpBhT'", "bearer qzxvkjwpmhgtrbnl", "the passphrase is kQz!vRt#Lm&Xw^pB", "auth: 83#19!40$27&66?51"]:
+        assert scan(t)[5] == 1, t
+    for t in ["token authentication matters", "the password is straightforward", "credentials (username/password) go here", "auth mechanisms. Then", "pwd=password", "secret: undefined"]:
+        assert scan(t)[5] == 0, t
