@@ -1,11 +1,11 @@
-"""Corpus pipeline: toxicity, SimHash near-dedup, benchmark decontamination, mixing, sharding.
+"""Corpus pipeline: toxicity, near-dedup, benchmark decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of `docs`; what it returns is written and read again as the
 next stage's `docs`. All stages but the last return the columns of their `docs`.
 
 * toxicity: documents that score at or above the threshold go.
-* near_dedup: of each group of linked fingerprints the document with the smallest id stays. Rows that share an id
-  count as one document; rows without an id go by their text.
+* near_dedup: texts are linked if their five-word shingles have a similarity of at least 0.8; of each group of linked texts
+  the document with the smallest id stays. Rows that share an id count as one document; rows without an id go by their text.
 * decontamination: documents that overlap a benchmark item go.
 * mixing: a document stays as many times as the mix uses it, rounded up where it is used in part.
 * sharding: every row gets its `shard` and its `slot` in it; columns of these names that come in are replaced.
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import drop_written, made, table, text_or_empty, written
 from quern.llm.decontamination import contaminated
 from quern.llm.mixing import mix
+from quern.llm.near_copies import near_copies
 from quern.llm.sharding import cell_of, key_of, rendezvous, with_slots
-from quern.llm.simhash import simhash_near_dups
 from quern.llm.toxicity import THRESHOLD, fitted, scorer
 
 SHARDS = 24
@@ -39,7 +39,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.withColumn("__id", row_id())
-    groups = simhash_near_dups(rows, id_col="__id")
+    groups = near_copies(rows, id_col="__id")
     stay = written(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct(), "stay")
     first = W.partitionBy("__id").orderBy(F.xxhash64(text_or_empty()))
     kept = rows.join(stay, "__id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1")
@@ -66,7 +66,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("simhash_near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-#: SQL has neither learnt scores nor fingerprint links; tests hold `run` against a brute-force version.
+#: SQL has neither learnt scores nor links between near copies; tests hold `run` against a brute-force version.
 ORACLE_SQL = None
 
 
