@@ -14,6 +14,7 @@ are ignored; rows that repeat get the same result; other columns stay apart; an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -31,6 +32,8 @@ MASKS = ("1111", "11011", "10111", "11101")
 MIN_WORDS = 12
 LEAST_WORDS = 5
 MATCH = 0.8
+#: Words that agree at least in any overlap.
+LEAST_KNOWN = math.ceil(MATCH * LEAST_WORDS)
 BLOCK_WORDS = 200_000
 KEPT = 300_000
 EDGES = ".,;:!?\"'`()[]{}<>#$%&*|-_=+/\\~^«»“”‘’…¡¿"
@@ -103,7 +106,7 @@ class SeedIndex:
         raw = text.split()
         words = np.fromiter(map(self.ids.__getitem__, raw), np.int64, len(raw))
         words = words[words >= 0]  # without words that are only punctuation
-        if np.count_nonzero(words) < LEAST_WORDS:
+        if np.count_nonzero(words) < LEAST_KNOWN:
             return {}
         lines: set[tuple[int, int]] = set()
         for m in range(len(MASKS)):

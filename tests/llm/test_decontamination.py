@@ -76,3 +76,10 @@ def test_blocks_cover_all_items(spark, sf_dir, monkeypatch):
     whole = decontaminate(docs, bench).orderBy("doc_id").collect()
     monkeypatch.setattr(d, "BLOCK_WORDS", 400)
     assert decontaminate(docs, bench).orderBy("doc_id").collect() == whole
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_short_item_with_a_substitution_and_no_other_known_word(at):
+    words = [f"w{i}" for i in range(5)]
+    item, text = " ".join(words), " ".join(["x", *words[:at], "zzz", *words[at + 1 :], "y"])
+    assert SeedIndex([(0, item)]).overlaps(text) == {0: brute(item, text)} != {0: 0}
