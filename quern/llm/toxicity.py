@@ -2,13 +2,18 @@
 
 Folding undoes homoglyphs, digit substitutions, stretched letters and loose accents, word by word; letters of a language such as é stay. The lexicon
 holds folded words and productive word starts with weights learnt from labelled documents; the automaton matches all of them at word
-borders in one pass. Matches inside an exception phrase don't count. A document's features are the summed weight of its
-different matches, the sum of all over the logarithm of its length, the strongest match, and the number of different ones; logistic regression turns them into a score.
+borders in one pass. Matches inside an exception phrase don't count; such phrases are learnt too (an entry with its neighbour,
+common in clean documents), beside those that are given. A document's features are the summed weight of its different matches, the
+weight of all matches by its length in words, and the number of different ones; logistic regression turns them into a score.
 
-Everything is learnt from a bounded sample of labelled rows (`SAMPLE` of each label, those with the smallest hashes).
+An entry counts if its share of the different words of toxic documents lies so far beyond chance that none of all entries that were tried
+would be expected to. So the bar rises with the number of labels, and a few documents suffice for words that stand out.
+
+Everything is learnt from a bounded sample of labelled rows (`SAMPLE` of each label, those with the smallest hashes; of near copies one).
+The lexicon has as many entries as that sample supports.
 
 Defined results: a null text is the empty text, which is scored like any text without matches; without labels of both
-kinds `SEED_WORDS` have a fixed weight and the curve is fixed; rows that repeat get the same result; other columns are
+kinds the words of `PRIOR` have a fixed weight and the curve is fixed; rows that repeat get the same result; other columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -17,33 +22,42 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from bisect import bisect_right
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from heapq import nsmallest
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import ship_package, text_or_empty, written
 
 #: Labelled rows of either label from which is learnt, at most.
 SAMPLE = 3000
-#: Entries of the lexicon, at most, and the documents that must have an entry.
-ENTRIES, SUPPORT = 20_000, 5
-#: Nats by which an entry's share of toxic documents must lie beyond chance. There are millions of candidates, so most chance finds fall below.
-BEYOND_CHANCE = 18.0
-#: An entry must be this many times as frequent among toxic documents.
-RATIO = 12.0
-STARTS = range(4, 8)
+#: Toxic documents of the sample that must have an entry, and how often one document counts for it at most.
+SUPPORT, MOST = 3, 4
+#: Nats beyond the logarithm of the number of entries tried, and how many times as frequent in toxic documents an entry must be.
+BEYOND_CHANCE, RATIO = 2.0, 5.0
+#: Clean documents that must have a phrase for it to be an exception, and how many times as many as toxic ones.
+PHRASE_SUPPORT, PHRASE_RATIO = 3, 10.0
+STARTS = range(3, 9)
 THRESHOLD = 0.3
-KEPT = 300_000
-
-# Words that count unless the labels speak against them.
-SEED_WORDS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "imbecile", "filth", "vermin")
+#: Words that a worker keeps folded, and the longest of them.
+KEPT, KEPT_LETTERS = 300_000, 48
+#: Entries counted in a worker before they are handed on.
+COUNTED = 400_000
+#: Smallest shingle hashes by which near copies in the sample are told, the share of them that tells, and leaders looked at for one hash.
+SKETCH, ALIKE, LEADERS = 64, 0.5, 200
+
+# Words that need not stand out among all entries, as they are expected to count. They weigh `PRIOR_WEIGHT` at least, unless the labels speak against them.
+PRIOR = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "imbecile", "filth", "vermin")
+PRIOR_WEIGHT = 2.0
 # Phrases in which such words are harmless.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "white trash bag", "sore loser board", "class clown award", "clown fish", "circus clown", "stupid simple", "worthless stock", "pond scum", "soap scum")
 # Look-alikes and digits that stand for letters.
@@ -66,9 +80,11 @@ def fold(word: str) -> str:
 
 class Folded(dict):
     def __missing__(self, word: str) -> str:
-        if len(self) >= KEPT:
-            self.clear()
-        f = self[word] = fold(word)
+        f = fold(word)
+        if len(word) <= KEPT_LETTERS:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = f
         return f
 
 
@@ -76,7 +92,7 @@ FOLDED = Folded()
 
 
 def folded(text: str) -> str:
-    return f" {' '.join(map(FOLDED.__getitem__, text.split()))} "
+    return f" {' '.join(filter(None, map(FOLDED.__getitem__, text.split())))} "
 
 
 @dataclass
@@ -85,7 +101,7 @@ class Lexicon:
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
-    curve: list[float] = field(default_factory=lambda: [-3.5, 1.2, 0.6, 0.6, 0.4])
+    curve: list[float] = field(default_factory=lambda: [-4.0, 1.1, 1.1, 0.6])
     automaton: object = None
 
     def matcher(self) -> ahocorasick.Automaton:
@@ -100,22 +116,28 @@ class Lexicon:
             self.automaton = a
         return self.automaton
 
-    def features(self, text: str) -> tuple[float, float, float, float]:
-        """Of the words that match: summed weight of different ones, summed weight by length, strongest, number of different ones."""
-        a, t = self.matcher(), folded(text)
-        found = [(end, *v) for end, v in a.iter(t)] if len(a) else []
-        if not found:
-            return 0.0, 0.0, 0.0, 0.0
-        spared = [(end - n + 1, end) for end, n, w in found if w is None]
-        by_place: dict[int, float] = {}  # of the entries that begin at a word the strongest counts
-        for end, n, w in found:
-            start = end - n + 1
-            if w is not None and not any(s <= start and end <= e for s, e in spared):
-                by_place[start] = max(w, by_place.get(start, w))
-        if not by_place:
-            return 0.0, 0.0, 0.0, 0.0
-        words = {t[s + 1 : t.index(" ", s + 1)]: w for s, w in by_place.items()}
-        return math.log1p(sum(words.values())), sum(by_place.values()) / math.log2(8 + t.count(" ")), max(words.values()), math.log1p(len(words))
+    def matches(self, t: str) -> dict[int, float]:
+        """Weight by place of the words that match in a folded text; of entries that begin at a word the strongest counts."""
+        a = self.matcher()
+        found = [(end - v[0] + 1, end, v[1]) for end, v in a.iter(t)] if len(a) else []
+        spared = sorted((s, e) for s, e, w in found if w is None)
+        starts, ends = [s for s, _ in spared], list(accumulate((e for _, e in spared), max))
+        out: dict[int, float] = {}
+        for s, e, w in found:
+            if w is not None and w > out.get(s, -math.inf):
+                i = bisect_right(starts, s)
+                if not i or ends[i - 1] < e:
+                    out[s] = w
+        return out
+
+    def features(self, text: str) -> tuple[float, float, float]:
+        """Of the words that match: summed weight of different ones, weight of all by the length of the text, number of different ones."""
+        t = folded(text)
+        at = self.matches(t)
+        if not at:
+            return 0.0, 0.0, 0.0
+        words = {t[s + 1 : t.index(" ", s + 1)]: w for s, w in at.items()}
+        return math.log1p(sum(words.values())), math.log1p(100 * sum(at.values()) / (20 + t.count(" "))), math.log1p(len(words))
 
     def score(self, text: str) -> float:
         z = self.curve[0] + sum(c * f for c, f in zip(self.curve[1:], self.features(text), strict=True))
@@ -125,12 +147,15 @@ class Lexicon:
         return self.__dict__ | {"automaton": None}
 
 
-def entries(text: str) -> set[str]:
-    out = set()
-    for w in set(folded(text).split()):
-        out.add(f" {w} ")
-        out.update(f" {w[:k]}" for k in STARTS if len(w) > k)
-    return out
+def entries(text: str) -> tuple[dict[str, int], int]:
+    """How many different words of a text each entry stands for (at most MOST), and how many there are."""
+    words, out = set(folded(text).split()), Counter()
+    for w in words:
+        out[f" {w} "] = 1
+        for k in STARTS:
+            if len(w) > k:
+                out[f" {w[:k]}"] += 1
+    return {e: min(n, MOST) for e, n in out.items()}, len(words)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE) -> DataFrame:
@@ -139,81 +164,142 @@ def training_rows(docs: DataFrame, labels: DataFrame, keep: Column, sample: int
     spot = F.xxhash64("doc_id", F.lit(6))
     picked = [known.where(F.col("toxic") == x).orderBy(spot, "doc_id").limit(sample) for x in (0, 1)]
     ids = F.broadcast(written(picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"]), "sample"))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id").select("text", "toxic")
-    # near copies would make words of one document look like words of many
-    return written(rows.withColumn("trace", trace("text")).groupBy("trace", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "training")
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id").select("text", "toxic").distinct()
+    rows = written(rows.withColumn("spot", F.xxhash64("text")), "training")
+    # near copies would make words of one document look like words of many; the sketches are bounded as the sample is
+    sketches = rows.select("spot", "toxic", sketch("text").alias("sketch")).orderBy("toxic", "spot").collect()
+    alone = [r["spot"] for x in (0, 1) for r in different([r for r in sketches if r["toxic"] == x])]
+    kept = F.broadcast(docs.sparkSession.createDataFrame([(s,) for s in alone], "spot long"))
+    return rows.join(kept, "spot", "left_semi").select("text", "toxic")
 
 
-def least_shingle(text: str) -> int:
-    """The smallest hash of five words in a row, which near copies share and other documents don't."""
+def least_shingles(text: str) -> list[int]:
+    """The smallest hashes of five words in a row."""
     w = text.split()
-    return min(xxhash.xxh64_intdigest(" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))) - (1 << 63)
+    hashes = {xxhash.xxh64_intdigest(" ".join(w[i : i + 5])) - (1 << 63) for i in range(max(1, len(w) - 4))}
+    return nsmallest(SKETCH, hashes)
 
 
-def trace(text: str) -> Column:
-    @F.pandas_udf("long")
+def sketch(text: str) -> Column:
+    @F.pandas_udf("array<long>")
     def least(texts: pd.Series) -> pd.Series:
-        return pd.Series([least_shingle(t) for t in texts], dtype="int64")
+        return pd.Series([least_shingles(t) for t in texts], dtype="object")
 
     return least(text)
 
 
-def learn(rows: DataFrame) -> Lexicon:
-    """A lexicon and its curve from (text, toxic)."""
-    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if not n.get(0) or not n.get(1):
-        return Lexicon({f" {w} ": 2.0 for w in SEED_WORDS})
+def different(rows: list[Row]) -> list[Row]:
+    """Rows whose texts are no near copies of one before, by their sketches."""
+    out, index = [], defaultdict(list)
+    for r in rows:
+        hits = Counter(k for h in r["sketch"] if len(index[h]) <= LEADERS for k in index[h])
+        size = len(r["sketch"])
+        if any(n >= ALIKE * min(size, len(out[k]["sketch"])) for k, n in hits.items()):
+            continue
+        for h in r["sketch"]:
+            index[h].append(len(out))
+        out.append(r)
+    return out
+
+
+def entry_counts(rows: DataFrame) -> DataFrame:
+    """Written table (entry, toxic, clean, support): different words of either label by entry, and toxic documents. The entry "" has all words."""
 
     def counted(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        total: dict[str, list[int]] = {}
+
+        def handed_on() -> pd.DataFrame:
+            out = pd.DataFrame([(e, *n) for e, n in total.items()], columns=["entry", "toxic", "clean", "support"])
+            total.clear()
+            return out
+
         for pdf in frames:
             for t, x in zip(pdf["text"], pdf["toxic"], strict=True):
-                total[x].update(entries(t))
-        # what no toxic document of this part has is still needed as a count of clean ones
-        words = list(total[0].keys() | total[1].keys())
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            yield pd.DataFrame({"entry": pd.Series(part, dtype="object"), "toxic": [total[1][w] for w in part], "clean": [total[0][w] for w in part]})
-
-    counts = rows.mapInPandas(counted, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    seeds = [f" {w} " for w in SEED_WORDS]
-    odds = lambda toxic, clean: ((toxic + 0.5) / (n[1] + 1)) / ((clean + 0.5) / (n[0] + 1))
-    toxic, clean = F.col("toxic"), F.col("clean")
-    p = n[1] / (n[0] + n[1])
-    nats = toxic * F.ln(toxic / ((toxic + clean) * p)) + F.when(clean > 0, clean * F.ln(clean / ((toxic + clean) * (1 - p)))).otherwise(0.0)
-    found = (toxic >= SUPPORT) & (odds(toxic, clean) >= RATIO) & (toxic >= 2 * clean) & (nats >= BEYOND_CHANCE)
-    best = counts.where(found | F.col("entry").isin(seeds)).orderBy(F.desc("toxic"), "entry").limit(ENTRIES + len(seeds)).collect()
-    weights = {r["entry"]: math.log(odds(r["toxic"], r["clean"])) for r in best if r["entry"] not in seeds}
-    # words that are known to count do so unless the labels speak against them
-    seen = {r["entry"]: (r["toxic"], r["clean"]) for r in best}
-    for w in seeds:
-        t, c = seen.get(w, (0, 0))
-        if t >= 2 * c:
-            weights[w] = max(2.0, math.log(odds(t, c)))
-    lexicon = Lexicon(productive(weights, seen))
+                found, n = entries(t)
+                for e, k in [*found.items(), ("", n)]:
+                    sums = total.setdefault(e, [0, 0, 0])
+                    sums[1 - x] += k
+                    sums[2] += x
+                if len(total) >= COUNTED:
+                    yield handed_on()
+        yield handed_on()
+
+    sums = [F.sum(c).alias(c) for c in ("toxic", "clean", "support")]
+    counts = rows.mapInPandas(counted, "entry string, toxic long, clean long, support long").groupBy("entry").agg(*sums)
+    return written(counts.where((F.col("support") >= SUPPORT) | F.col("entry").isin("", *[f" {w} " for w in PRIOR])), "entries")
+
+
+def chosen(counts: dict[str, tuple[int, int, int]], prior: Sequence[str] = PRIOR) -> dict[str, float]:
+    """Weights of the entries that count. Of entries that stand for much the same words the one that says most stays."""
+    n = counts.get("", (0, 0, 0))
+    p = n[0] / max(1, n[0] + n[1])
+    bar = math.log(max(1, sum(c[2] >= SUPPORT for c in counts.values()))) + BEYOND_CHANCE
+    good = {}
+    for e, (t, c, support) in counts.items():
+        if e and t and support >= SUPPORT:
+            nats = t * math.log(t / ((t + c) * p)) + (c * math.log(c / ((t + c) * (1 - p))) if c else 0.0)
+            ratio = (t + 0.5) / n[0] / ((c + 0.5) / max(1, n[1]))
+            if nats >= bar and ratio >= RATIO:
+                good[e] = nats, math.log(ratio)
+    weights: dict[str, float] = {}
+    above: set[str] = set()  # all starts of entries that have been taken
+    for e in sorted(good, key=lambda e: (-good[e][0], -len(e), e)):
+        if e not in above and not any(e[: k + 1] in weights for k in STARTS if len(e) > k + 1):
+            weights[e] = good[e][1]
+            above.update(e[: k + 1] for k in STARTS)
+    for w in prior:
+        t, c, _ = counts.get(f" {w} ", (0, 0, 0))
+        if t >= 2 * c and not any(f" {w} "[: k + 1] in weights for k in STARTS):
+            weights[f" {w} "] = max(PRIOR_WEIGHT, weights.get(f" {w} ", 0.0))
+    return weights
+
+
+def phrases(lexicon: Lexicon, text: str) -> set[str]:
+    """Each matching word with the word before it and with the word after it."""
+    t = folded(text)
+    out = set()
+    for s in lexicon.matches(t):
+        e = t.index(" ", s + 1)
+        before, after = t.rfind(" ", 0, s), t.find(" ", e + 1)
+        if before >= 0:
+            out.add(t[before + 1 : e])
+        if after >= 0:
+            out.add(t[s + 1 : after])
+    return out
+
+
+def learnt_exceptions(rows: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
+    """Phrases around entries that clean documents have and toxic ones don't."""
+
+    def found(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            got = [(p, 1 - x, x) for t, x in zip(pdf["text"], pdf["toxic"], strict=True) for p in phrases(lexicon, t)]
+            yield pd.DataFrame(got, columns=["phrase", "clean", "toxic"])
+
+    sums = rows.mapInPandas(found, "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    best = sums.where((F.col("clean") >= PHRASE_SUPPORT) & (F.col("clean") >= PHRASE_RATIO * F.col("toxic"))).select("phrase").collect()
+    return tuple(sorted(r["phrase"] for r in best))
+
+
+def learn(rows: DataFrame, prior: Sequence[str] = PRIOR, exceptions: Sequence[str] = EXCEPTIONS) -> Lexicon:
+    """A lexicon and its curve from (text, toxic)."""
+    kinds = {r["toxic"] for r in rows.groupBy("toxic").count().collect()}
+    if kinds != {0, 1}:
+        return Lexicon({f" {w} ": PRIOR_WEIGHT for w in prior}, tuple(exceptions))
+    lexicon = Lexicon(chosen({r["entry"]: (r["toxic"], r["clean"], r["support"]) for r in entry_counts(rows).collect()}, prior), tuple(exceptions))
+    lexicon = Lexicon(lexicon.weights, (*exceptions, *learnt_exceptions(rows, lexicon)))
 
     def features(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if len(pdf):
-                yield pd.DataFrame([(*lexicon.features(t), int(x)) for t, x in zip(pdf["text"], pdf["toxic"], strict=True)], columns=["a", "b", "c", "d", "toxic"])
+                yield pd.DataFrame([(*lexicon.features(t), int(x)) for t, x in zip(pdf["text"], pdf["toxic"], strict=True)], columns=["a", "b", "c", "toxic"])
 
-    got = np.array(rows.mapInPandas(features, "a double, b double, c double, d double, toxic int").collect(), float)
+    got = np.array(rows.mapInPandas(features, "a double, b double, c double, toxic int").collect(), float)
     got = got[np.lexsort(got.T)]  # sums don't depend on which task was first
-    lexicon.curve = logistic(got[:, :4], got[:, 4])
+    lexicon.curve = logistic(got[:, :3], got[:, 3])
     return lexicon
 
 
-def productive(weights: dict[str, float], seen: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """Without word starts that mostly stand for one word of the lexicon or for one longer start."""
-    top: dict[str, int] = {}
-    for e in weights:
-        for k in STARTS:
-            start, bare = f" {e.strip()[:k]}", e.strip()
-            if e != start and len(bare) >= k:
-                top[start] = max(top.get(start, 0), seen.get(e, (0, 0))[0])
-    return {e: w for e, w in weights.items() if e.endswith(" ") or top.get(e, 0) < 0.8 * seen[e][0]}
-
-
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> list[float]:
     """Ridge logistic regression by Newton steps; both labels weigh as in the sample, coefficients stay at 0 or above."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -246,12 +332,14 @@ def scorer(lexicon: Lexicon, text: Column) -> Column:
     return score(text)
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    return learn(training_rows(docs, labels, ~held_out()))
+def fitted(docs: DataFrame, labels: DataFrame, **options: Sequence[str]) -> Lexicon:
+    """What is learnt from the rows that are not held out. options: `prior` and `exceptions` of `learn`."""
+    ship_package(docs.sparkSession)
+    return learn(training_rows(docs, labels, ~held_out()), **options)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, **options: Sequence[str]) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
-    lexicon = fitted(docs, labels)
+    lexicon = fitted(docs, labels, **options)
     rows = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), scorer(lexicon, text_or_empty()).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
