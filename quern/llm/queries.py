@@ -58,7 +58,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    vocabularies = [public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken")]
+    return find_secrets(table(spark, sf_dir, "documents"), vocabularies=vocabularies)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,9 +1,11 @@
 """Secret scan: fixed formats, and credential-context values scored by what guessing them would cost.
 
 The cost of a value is the least number of bits over all ways to cut it into words, dates, repeats, keyboard walks and
-spans that have to be tried out by brute force, found by dynamic programming from left to right. Values that stand
-where a credential is named are reported where their cost is at least `MIN_BITS`. Where only blanks or "is" stand between name
-and value, runs of letters that look like an ordinary word cost at most `WORD_BITS` unless letters and digits are mixed.
+spans that have to be tried out by brute force, found by dynamic programming from left to right. A word costs the logarithm of
+its rank; words are ranked by the vocabulary files of public tokenizers (`dictionary`, the most frequent come first in them), after
+a few common passwords. Values that stand where a credential is named are reported where their cost is at least `MIN_BITS`.
+Where only blanks or "is" stand between name and value, runs of letters that look like an ordinary word cost at most
+`WORD_BITS` unless letters and digits are mixed.
 
 Defined results: a null text is the empty text; rows that repeat get the same result; other columns are ignored; an
 empty table gives an empty result.
@@ -11,16 +13,20 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import math
 import re
-from functools import lru_cache
+from bisect import bisect_left
+from collections.abc import Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import ship_package, text_or_empty
 
 KINDS = ("assign", "access", "hex", "value")
 MIN_BITS = 48.0
@@ -38,6 +44,8 @@ SEPARATOR = re.compile("[:=\"'`]")
 #: Letter runs of a value in prose; bits to pick an ordinary word; the most letters of one.
 RUNS = re.compile("[A-Za-z]+")
 WORD_BITS, WORD_LETTERS = 17.0, 20
+#: Lengths of the words of a dictionary, and the longest keyboard walk or repeat that is tried in all its parts.
+LETTERS, PARTS = range(3, 21), 64
 
 # Common passwords and placeholder words, most common first.
 WORDS = (
@@ -53,11 +61,33 @@ WORDS = (
 # Rows of a keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 
-RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST = max(map(len, WORDS))
 NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {(b, a) for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 PLAIN = str.maketrans("013457@$!", "oieastasi")
-DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
+DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d", re.A)
+DATE_LENGTHS = range(4, 11)
+
+
+def dictionary(files: Sequence[str] = ()) -> dict[str, int]:
+    """Rank by word: common passwords, then the words of tokenizer vocabularies in turn, the most frequent of each first.
+
+    files: vocabularies with word ends (.json) or of byte ranks (.tiktoken), both of which list what is frequent first.
+    """
+    lists = []
+    for f in files:
+        with open(f, encoding="utf-8") as lines:
+            if f.endswith(".json"):
+                pieces = sorted((n, t.removesuffix("</w>")) for t, n in json.load(lines)["model"]["vocab"].items() if t.endswith("</w>"))
+            else:
+                pieces = sorted((int(n), base64.b64decode(t).decode("utf-8", "replace").strip().lower()) for t, n in map(str.split, lines))
+        lists.append([w for _, w in pieces if len(w) in LETTERS and w.isalpha()])
+    rank: dict[str, int] = {}
+    for w in WORDS:
+        rank.setdefault(w, len(rank) + 1)
+    for k in range(max(map(len, lists), default=0)):
+        for words in lists:
+            if k < len(words):
+                rank.setdefault(words[k], len(rank) + 1)
+    return rank
 
 
 def char_bits(value: str) -> float:
@@ -68,37 +98,77 @@ def char_bits(value: str) -> float:
     return math.log2(max(pool, 10))
 
 
-def guess_bits(value: str) -> float:
-    """log2 of the guesses that the cheapest segmentation of a value needs."""
-    n, one = len(value), char_bits(value)
-    low = value.lower()
-    plain = low.translate(PLAIN)
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if low[i].isdigit() and (m := DATE.match(low, i)):
-            dates.setdefault(m.end(), []).append(i)
-    best = [0.0] + [math.inf] * n
-    walk = same = 1  # lengths of the keyboard walk and of the repeat that end here
-    for j in range(1, n + 1):
-        if j > 1:
-            walk = walk + 1 if (low[j - 2], low[j - 1]) in NEXT else 1
-            same = same + 1 if low[j - 1] == low[j - 2] else 1
-        cost = best[j - 1] + one
-        for i in range(max(0, j - LONGEST), j - 2):
-            for form, extra in ((low, 0.0), (plain, 2.0)):
-                if (r := RANK.get(form[i:j])) is not None:
-                    cased = 0.0 if value[i:j] == low[i:j] else 1.0
-                    cost = min(cost, best[i] + CUT_BITS + math.log2(r + 1) + extra + cased)
-        for i in dates.get(j, ()):
-            cost = min(cost, best[i] + CUT_BITS + (7.0 if j - i == 4 else 15.5))
-        for size, start in ((walk, 6.5), (same, one)):
-            for k in {3, size} if size >= 3 else ():
-                cost = min(cost, best[j - k] + CUT_BITS + start + math.log2(k))
-        for width in range(2, min(16, j // 2) + 1):  # a chunk that comes again right after itself
-            if low[j - width : j] == low[j - 2 * width : j - width]:
-                cost = min(cost, best[j - width] + CUT_BITS + 1.0)
-        best[j] = cost
-    return best[n]
+class Guesser:
+    """Guess costs by a dictionary of ranked words."""
+
+    #: Values whose costs are kept, and the longest of them.
+    KEPT, KEPT_LENGTH = 10_000, 200
+
+    def __init__(self, rank: dict[str, int]) -> None:
+        self.rank = rank
+        self.kept: dict[str, float] = {}
+
+    def __getstate__(self) -> dict:
+        return {"rank": self.rank, "kept": {}}
+
+    def word_bits(self, value: str, low: str, plain: str) -> float:
+        """A word costs its rank, letters that stand out two bits more, capitals one."""
+        cased = 0.0 if value == low else 1.0
+        return min(CUT_BITS + math.log2(r + 1) + extra + cased if (r := self.rank.get(form)) else math.inf for form, extra in ((low, 0.0), (plain, 2.0)))
+
+    def bits(self, value: str) -> float:
+        """log2 of the guesses that the cheapest segmentation of a value needs."""
+        got = self.kept.get(value)
+        if got is None:
+            got = self.cheapest(value)
+            if len(value) <= self.KEPT_LENGTH:
+                if len(self.kept) >= self.KEPT:
+                    self.kept.clear()
+                self.kept[value] = got
+        return got
+
+    def cheapest(self, value: str) -> float:
+        n, one = len(value), char_bits(value)
+        low = value.lower() if value.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        plain = low.translate(PLAIN)
+        best = [0.0] + [math.inf] * n
+        walk = same = 1  # lengths of the keyboard walk and of the repeat that end here
+        for j in range(1, n + 1):
+            if j > 1:
+                walk = walk + 1 if (low[j - 2], low[j - 1]) in NEXT else 1
+                same = same + 1 if low[j - 1] == low[j - 2] else 1
+            cost = best[j - 1] + one
+            for k in LETTERS[: max(0, j - LETTERS.start + 1)]:
+                i = j - k
+                cost = min(cost, best[i] + self.word_bits(value[i:j], low[i:j], plain[i:j]))
+            if low[j - 1].isdigit():
+                for k in DATE_LENGTHS[: max(0, j - DATE_LENGTHS.start + 1)]:
+                    if low[j - k].isdigit() and DATE.fullmatch(low, j - k, j):
+                        cost = min(cost, best[j - k] + CUT_BITS + (7.0 if k == 4 else 15.5))
+            for size, start in ((walk, 6.5), (same, one)):
+                for k in {*range(3, min(size, PARTS) + 1), size} if size >= 3 else ():
+                    cost = min(cost, best[j - k] + CUT_BITS + start + math.log2(k))
+            for width in range(2, min(16, j // 2) + 1):  # a chunk that comes again right after itself
+                if low[j - width : j] == low[j - 2 * width : j - width]:
+                    cost = min(cost, best[j - width] + CUT_BITS + 1.0)
+            best[j] = cost
+        return best[n]
+
+    def prose_bits(self, value: str) -> float:
+        """`bits` of a value that nothing but blanks or "is" sets apart from its name: without both letters and digits it may
+        be an ordinary word, and what is shaped like words costs no more than picking them."""
+        if re.search("[0-9]", value) and re.search("[A-Za-z]", value):
+            return self.bits(value)
+        runs = RUNS.findall(value)
+        words = [r for r in runs if word_like(r)]
+        one = char_bits(value)
+        picked = sum(min(WORD_BITS, len(r) * one) for r in words) + (sum(map(len, runs)) - sum(map(len, words))) * one
+        return min(picked, self.bits(value))
+
+
+def word_like(run: str) -> bool:
+    low = run.lower()
+    return run[1:] in (low[1:], run[1:].upper()) and len(run) <= WORD_LETTERS and 4 * sum(c in "aeiouy" for c in low) >= len(run) and not re.search("[^aeiouy]{5}", low)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -112,68 +182,55 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return out + [(m.start(), m.end(), "hex", m[0]) for m in HEX.finditer(text)]
 
 
-@lru_cache(maxsize=10_000)
-def kept_bits(value: str) -> float:
-    return guess_bits(value)
-
-
-def prose_bits(value: str) -> float:
-    """`guess_bits` of a value that nothing but blanks or "is" sets apart from its name: without both letters and digits it may
-    be an ordinary word, and what is shaped like words costs no more than picking them."""
-    if re.search("[0-9]", value) and re.search("[A-Za-z]", value):
-        return kept_bits(value)
-    odd = sum(len(r) for r in RUNS.findall(value) if not word_like(r))
-    words = [r for r in RUNS.findall(value) if word_like(r)]
-    bits = sum(min(WORD_BITS, len(r) * char_bits(value)) for r in words) + odd * char_bits(value)
-    return min(bits, kept_bits(value))
-
-
-def word_like(run: str) -> bool:
-    low = run.lower()
-    return run[1:] in (low[1:], run[1:].upper()) and len(run) <= WORD_LETTERS and 4 * sum(c in "aeiouy" for c in low) >= len(run) and not re.search("[^aeiouy]{5}", low)
-
-
-def value_spans(text: str, base: list[tuple[int, int, str, str]], min_bits: float) -> list[tuple[int, int, str, str]]:
+def value_spans(text: str, base: list[tuple[int, int, str, str]], min_bits: float, guesser: Guesser) -> list[tuple[int, int, str, str]]:
     """Values named as credentials whose guess cost is high, where no fixed format has been found."""
     low = text.lower()
     if not any(c in low for c in CUES):
         return []
+    taken = sorted((a, b) for a, b, _, _ in base)
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     out = []
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".,;:!?\"'`)]}>")
         a, b = m.start(1), m.start(1) + len(value)
-        price = kept_bits if SEPARATOR.search(text, m.start(), m.start(1)) else prose_bits
-        if len(value) >= 8 and not any(s < b and a < e for s, e, _, _ in base) and price(value) >= min_bits:
+        price = guesser.bits if SEPARATOR.search(text, m.start(), m.start(1)) else guesser.prose_bits
+        before = bisect_left(starts, b)
+        if len(value) >= 8 and not (before and ends[before - 1] > a) and price(value) >= min_bits:
             out.append((a, b, "value", value))
     return out
 
 
-def scan(text: str, min_bits: float = MIN_BITS) -> tuple:
+def scan(text: str, guesser: Guesser, min_bits: float = MIN_BITS) -> tuple:
     base = base_spans(text)
-    more = value_spans(text, base, min_bits)
+    more = value_spans(text, base, min_bits, guesser)
     order = lambda s: (s[0], KINDS.index(s[2]))
     said = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k, _ in sorted(spans, key=order))
     count = lambda kind: sum(s[2] == kind for s in base)
-    bits = max((kept_bits(s[3]) for s in base + more if s[2] in ("assign", "value")), default=0.0)
+    bits = max((guesser.bits(s[3]) for s in base + more if s[2] in ("assign", "value")), default=0.0)
     return count("assign"), count("access"), count("hex"), hashlib.sha256(said(base).encode()).hexdigest(), said(base + more), len(more), bits
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bits: float = MIN_BITS) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_value, max_bits) of every row."""
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bits: float = MIN_BITS, vocabularies: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_value, max_bits) of every row.
+
+    vocabularies: files of `dictionary`, read on the driver; what is broadcast is as large as they are.
+    """
     fields = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_value", "max_bits"]
+    ship_package(docs.sparkSession)
+    guesser = docs.sparkSession.sparkContext.broadcast(Guesser(dictionary(vocabularies)))
 
     @F.pandas_udf("struct<n_assign:long,n_access:long,n_hex:long,base_sha256:string,spans:string,n_value:long,max_bits:double>")
     def found(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([scan(t, min_bits) for t in texts], columns=fields)
+        return pd.DataFrame([scan(t, guesser.value, min_bits) for t in texts], columns=fields)
 
     return docs.select(F.col(id_col).alias("doc_id"), found(text_or_empty(text_col)).alias("s")).select("doc_id", "s.*")
 
 
-def redacted(text: str, mask: str = "[SECRET]", min_bits: float = MIN_BITS) -> str:
+def redacted(text: str, guesser: Guesser, mask: str = "[SECRET]", min_bits: float = MIN_BITS) -> str:
     """A text with all found spans masked."""
     base = base_spans(text)
     out, at = [], 0
-    for a, b, _, _ in sorted(base + value_spans(text, base, min_bits)):
+    for a, b, _, _ in sorted(base + value_spans(text, base, min_bits, guesser)):
         if b > at:
             out += [text[at : max(a, at)], mask] if a >= at else []
             at = b
