@@ -4,7 +4,9 @@ The encoding of a prefix ends in exactly one token, and the rest of it is the en
 So the count at a prefix is one (for bytes that stand for an unknown character: their number) more than the count at an
 earlier prefix. Which token ends a prefix follows from pairs alone: a token may follow another if BPE, applied to both
 joined, gives back just these two. Texts fall into units that no token spans (a unit starts at a space after
-another character, at a line break, or after a letter that something else follows, as far as the vocabulary has no token across); counts of units are kept and added up.
+another character, at a line break, or after a letter that something else follows, as far as the vocabulary has no token across); of each
+unit the counts at all its prefixes are kept (`Units.tables`), so that truncation and budget questions are looked up, not encoded
+again. `prefix_tables` writes the counts at every prefix of whole texts, from which `count_at` and `fitting_at` answer without the text.
 
 Defined results: a null text is the empty text, which has no tokens; strings of control tokens inside a text are plain
 text, as in the library; other columns are ignored; an empty table gives an empty result.
@@ -13,7 +15,8 @@ text, as in the library; other columns are ignored; an empty table gives an empt
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -21,11 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import ship_package, text_or_empty
 
 SPACE = "▁"
 #: Units and token pairs that a worker keeps; they are dropped and found again beyond this.
 KEPT, KEPT_PAIRS = 700_000, 400_000
+#: Characters of the longest unit that is kept.
+KEPT_LETTERS = 200
 #: Characters of texts whose units are learnt together.
 LEARNT = 4_000_000
 #: Where a letter is followed by something else.
@@ -33,28 +38,46 @@ AFTER_LETTER = re.compile(r"(?<=[^\W\d_])(?=[\W\d_])")
 
 
 class Units(dict):
-    """Token count by unit, each unit being `lead` + key."""
+    """Token count by unit, each unit being `lead` + key, and the counts at every prefix of units that split no further."""
 
     def __init__(self, counter: PrefixCounter, lead: str) -> None:
         self.counter, self.lead = counter, lead
+        self.tables: dict[str, Sequence[int]] = {}
 
-    def __missing__(self, key: str) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        unit, parts = self.lead + key, AFTER_LETTER.split(key) if self.counter.splits_after_letter else ()
+    def keep(self, key: str, counts: list[int]) -> None:
+        if len(self.tables) >= KEPT:
+            self.tables.clear()
+        self.tables[key] = bytes(counts) if max(counts, default=0) < 256 else array("L", counts)
+
+    def table(self, key: str) -> Sequence[int]:
+        """Token counts at all prefixes of a unit, the last of which is the unit."""
+        parts = AFTER_LETTER.split(key) if self.counter.splits_after_letter else [key]
         if len(parts) > 1:
-            n = self[parts[0]] + sum(map(self.counter.bare.__getitem__, parts[1:]))
-        else:
-            n = self.counter.unit_counts(unit)[-1] if unit else 0
-        self[key] = n
+            out = list(self.table(parts[0]))
+            for p in parts[1:]:
+                before = out[-1] if out else 0
+                out += [before + n for n in self.counter.bare.table(p)]
+            return out
+        if (got := self.tables.get(key)) is None:
+            got = self.counter.unit_counts(self.lead + key)
+            if len(key) <= KEPT_LETTERS:
+                self.keep(key, got)
+        return got
+
+    def __missing__(self, key: str) -> int:
+        n = self.table(key)[-1] if self.lead + key else 0
+        if len(key) <= KEPT_LETTERS:
+            if len(self) >= KEPT:
+                self.clear()
+            self[key] = n
         return n
 
 
 class PrefixCounter:
-    def __init__(self, model_file: str) -> None:
+    def __init__(self, model: bytes) -> None:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         ids = range(sp.get_piece_size())
         special = (sp.is_control, sp.is_unknown, sp.is_byte, sp.is_unused)
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in ids if not any(f(i) for f in special)}
@@ -126,7 +149,7 @@ class PrefixCounter:
             if self.splits_after_letter:
                 new = {AFTER_LETTER.split(k, maxsplit=1)[0] for k in new} - kept.keys()
             last, count, before = [""], [0], ""
-            for key in sorted(new):
+            for key in sorted(k for k in new if len(k) <= KEPT_LETTERS):
                 unit, k = kept.lead + key, 0
                 for x, y in zip(before, unit):
                     if x != y:
@@ -135,6 +158,7 @@ class PrefixCounter:
                 del last[k + 1 :], count[k + 1 :]
                 self.extend(unit, last, count)
                 kept[key], before = count[-1], unit
+                kept.keep(key, count[1:])
 
     def units(self, text: str) -> Iterator[tuple[Units, str]]:
         """The units of a text in order; concatenated they are the text with its leading space sign."""
@@ -161,7 +185,7 @@ class PrefixCounter:
         """Token counts of text[:0], text[:1], ... up to the whole text."""
         out, total = [0], 0
         for k, (kept, u) in enumerate(self.units(text) if text else ()):
-            counts = [total + c for c in self.unit_counts(kept.lead + u)]
+            counts = [total + c for c in kept.table(u)]
             total = counts[-1]
             out += counts[1:] if k == 0 else counts  # the leading space sign is not of the text
         return out
@@ -176,26 +200,33 @@ class PrefixCounter:
             if total + n <= budget:
                 best = at + width
             elif total <= budget:
-                counts = self.unit_counts(kept.lead + u)[(1 if k == 0 else 0) :]
+                counts = kept.table(u)[(1 if k == 0 else 0) :]
                 best = max([best, *(at + j + 1 for j, c in enumerate(counts) if total + c <= budget)])
             total, at = total + n, at + width
         return best
 
 
 @lru_cache(maxsize=4)
-def counter(model_file: str) -> PrefixCounter:
-    return PrefixCounter(model_file)
+def counter(model: bytes) -> PrefixCounter:
+    return PrefixCounter(model)
+
+
+def model_bytes(model_file: str) -> bytes:
+    with open(model_file, "rb") as f:
+        return f.read()
 
 
 def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit, limit_points) of every row.
 
-    limit_points: code points of the longest prefix of at most `limit` tokens.
+    limit_points: code points of the longest prefix of at most `limit` tokens. The model is read on the driver and broadcast.
     """
+    ship_package(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(model_bytes(model_file))
 
     @F.pandas_udf("struct<n_tokens:long,limit_points:long>")
     def counts(texts: pd.Series) -> pd.DataFrame:
-        c, n, some, size = counter(model_file), [], [], 0
+        c, n, some, size = counter(model.value), [], [], 0
         for t in texts:
             some.append(t)
             size += len(t)
@@ -216,5 +247,29 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
 
 def budget_cut(text: str, budget: int, model_file: str) -> str:
     """The longest prefix of a text within a token budget."""
-    return text[: counter(model_file).fitting(text, budget)]
+    return text[: counter(model_bytes(model_file)).fitting(text, budget)]
+
+
+def prefix_tables(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, steps) of every row; steps: for each code point how the token count changes there, as 16-bit numbers."""
+    ship_package(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(model_bytes(model_file))
+
+    @F.pandas_udf("binary")
+    def steps(texts: pd.Series) -> pd.Series:
+        c = counter(model.value)
+        return pd.Series([np.diff(np.array(c.prefix_counts(t), np.int64)).astype("<i2").tobytes() for t in texts], dtype="object")
+
+    return docs.select(F.col(id_col).alias("doc_id"), steps(text_or_empty(text_col)).alias("steps"))
+
+
+def count_at(steps: bytes, points: int) -> int:
+    """Tokens of the first `points` code points of a text, from its steps."""
+    return int(np.frombuffer(steps, "<i2")[:points].sum(dtype=np.int64))
+
+
+def fitting_at(steps: bytes, budget: int) -> int:
+    """Code points of the longest prefix of at most `budget` tokens, from the steps of a text."""
+    fits = np.flatnonzero(np.cumsum(np.frombuffer(steps, "<i2"), dtype=np.int64) <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
 
