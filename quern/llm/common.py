@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +70,42 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Bits of a filter for each key, and the most bits of one that is broadcast (64 MB).
+BITS_A_KEY, MOST_BITS = 16, 1 << 29
+#: Keys with more than a part of this many of all rows are few enough to be broadcast.
+PARTS = 10_000
+
+
+@dataclass
+class Filter:
+    """Bitmaps (bucket, bits) of the hashes of some keys; None where they would be too large to broadcast."""
+
+    bitmaps: DataFrame | None
+    size: int
+
+
+def filter_of(keys: DataFrame, key: str, n: int, most_bits: int = MOST_BITS) -> Filter:
+    """A filter of `n` keys, sized by their number."""
+    size = max(1 << 15, 1 << max(0, n * BITS_A_KEY - 1).bit_length())
+    if size > most_bits:
+        return Filter(None, size)
+    spot = F.pmod(F.xxhash64(key), F.lit(size))
+    buckets = keys.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("__bucket"))
+    return Filter(written(buckets.agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("__bits")), "filter"), size)
+
+
+def may_have(rows: DataFrame, key: str, known: Filter) -> DataFrame:
+    """`rows` with `__may`: false only where the filter's keys have no such key; true everywhere without bitmaps."""
+    if known.bitmaps is None:
+        return rows.withColumn("__may", F.lit(True))
+    spot = F.pmod(F.xxhash64(key), F.lit(known.size))
+    rows = rows.withColumns({"__bucket": F.bitmap_bucket_number(spot), "__at": F.bitmap_bit_position(spot)})
+    byte = F.expr("cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)")
+    bit = F.expr("shiftleft(1, cast(__at % 8 as int))")
+    found = rows.join(F.broadcast(known.bitmaps), "__bucket", "left")
+    return found.withColumn("__may", F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))).drop("__bucket", "__at", "__bits")
+
+
 def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     """Deletes the tables that `written` has made since it had made `since` tables, but for the last `keep`. Frames that read them are of no use afterwards."""
     until = len(_MADE) - keep

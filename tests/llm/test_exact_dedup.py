@@ -3,7 +3,8 @@ from collections import defaultdict
 
 import pytest
 
-from quern.llm.exact_dedup import compact, exact_dedup, flush_runs, passing
+from quern.llm.common import filter_of, may_have
+from quern.llm.exact_dedup import compact, exact_dedup, flush_runs
 
 from .helpers import documents, no_docs, odd_docs
 
@@ -33,13 +34,33 @@ def test_equals_brute_force(spark, sf_dir, digest_bytes, make):
     assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
 
 
-def test_filter_loses_no_digest(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    runs = flush_runs(docs)
-    contested = compact(runs).where("group_size > 1").select("digest")
-    rows = runs.select("digest", "id")
-    assert passing(rows, contested).join(contested, "digest", "left_semi").count() == rows.join(contested, "digest", "left_semi").count() > 0
-    assert passing(rows, contested).count() < rows.count() / 2
+@pytest.mark.parametrize("n", [0, 1, 1000, 60_000])
+def test_filter_loses_no_key(spark, n):
+    keys = spark.range(n).selectExpr("cast(id * 7 as string) key")
+    known = filter_of(keys, "key", n)
+    rows = may_have(spark.range(3 * n + 10).selectExpr("cast(id as string) key"), "key", known)
+    assert rows.where("__may").join(keys, "key", "left_semi").count() == rows.join(keys, "key", "left_semi").count()
+    assert rows.where("__may").join(keys, "key", "left_anti").count() <= 0.1 * rows.count()
+    assert filter_of(keys, "key", n, most_bits=1).bitmaps is None
+
+
+@pytest.mark.parametrize("options", [{"fan": 2}, {"most_bits": 1}, {"fan": 2, "most_bits": 1, "digest_bytes": 1}])
+def test_levels_and_large_filters_give_the_same(spark, sf_dir, options):
+    docs = documents(spark, sf_dir).repartition(9)
+    a, b = (sorted(map(tuple, df.collect()), key=repr) for df in (exact_dedup(docs), exact_dedup(docs, **options)))
+    assert [(*r[:3], r[4]) for r in a] == [(*r[:3], r[4]) for r in b]
+
+
+def test_compaction_merges_levels(spark, sf_dir):
+    runs = flush_runs(documents(spark, sf_dir).repartition(9))
+    want = sorted(map(tuple, compact(runs, fan=100).collect()))
+    assert sorted(map(tuple, compact(runs, fan=2).collect())) == want and sum(r[3] for r in want) == runs.count()
+
+
+def test_hot_group(spark):
+    rows = [(i, "same text" if i % 3 else f"own {i}") for i in range(4000)]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=repr) == brute([{"doc_id": i, "text": t} for i, t in rows])
 
 
 def test_main_path_has_no_python(spark, sf_dir):
