@@ -1,16 +1,19 @@
+import itertools
+import math
 import random
+import time
 
 import numpy as np
 import pytest
 
-from quern.llm.decontamination import MATCH, MIN_WORDS, SeedIndex, decontaminate, plain, stretch
+from quern.llm.decontamination import LEAST_HITS, MASKS, MATCH, MIN_WORDS, SeedIndex, clean_documents, decontaminate, plain, raw_words, stretch
 
 from .helpers import documents, no_docs, odd_docs
 
 
 def brute(item, text):
     """Longest overlap over all shifts and stretches."""
-    a, b = ([w for w in map(plain, t.split()) if w] for t in (item, text))
+    a, b = ([w for w in map(plain, raw_words(t)) if w] for t in (item, text))
     best = 0
     for shift in range(-len(a) + 1, len(b)):
         for i in range(len(a)):
@@ -23,7 +26,7 @@ def brute(item, text):
 def test_overlaps_equal_brute_force():
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(300)]
-    items = [" ".join(rnd.choices(words, k=n)) for n in (5, 8, 13, 20, 30)]
+    items = [" ".join(rnd.choices(words, k=n)) for n in (1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 13, 20, 30)]
     index = SeedIndex(list(enumerate(items)))
     for i, item in enumerate(items):
         w = item.split()
@@ -64,7 +67,7 @@ def test_documents(spark, sf_dir, make):
 
 
 def test_empty_benchmark(spark, sf_dir):
-    bench = spark.createDataFrame([(None, None), (1, ""), (2, "too short")], "item_id long, text string")
+    bench = spark.createDataFrame([(None, None), (1, ""), (2, " ... ")], "item_id long, text string")
     assert decontaminate(documents(spark, sf_dir), bench).where("contaminated").count() == 0
     assert decontaminate(documents(spark, sf_dir), bench.limit(0)).where("contaminated or n_items > 0").count() == 0
 
@@ -83,3 +86,48 @@ def test_short_item_with_a_substitution_and_no_other_known_word(at):
     words = [f"w{i}" for i in range(5)]
     item, text = " ".join(words), " ".join(["x", *words[:at], "zzz", *words[at + 1 :], "y"])
     assert SeedIndex([(0, item)]).overlaps(text) == {0: brute(item, text)} != {0: 0}
+
+
+def test_least_hits():
+    def hits(same):
+        return sum(all(same[p + k] for k, c in enumerate(m) if c == "1") for m in MASKS for p in range(len(same) - len(m) + 1))
+
+    def least(n):
+        return min(hits([i not in bad for i in range(n)]) for bad in itertools.combinations(range(n), n - math.ceil(MATCH * n - 1e-9)))
+
+    assert {n: least(n) for n in range(5, 12)} == {n: h for n, h in LEAST_HITS.items() if n < 12}
+    assert min(least(n) for n in range(12, 20)) == LEAST_HITS[12]
+
+
+@pytest.mark.parametrize("block_words", [200_000, 60])
+def test_real_documents_equal_brute_force(spark, sf_dir, monkeypatch, block_words):
+    """Whole operator on real rows, with short and unspaced items, against all shifts and stretches."""
+    from quern.llm import decontamination as d
+
+    monkeypatch.setattr(d, "BLOCK_WORDS", block_words)
+    monkeypatch.setattr(d, "LINES", 500)
+    rnd = random.Random(1)
+    texts = [" ".join((r["text"] or "").split()[:60]) for r in documents(spark, sf_dir).limit(60).collect()]
+    items = [(i, r["text"]) for i, r in enumerate(spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(8).collect())]
+    items += [(100, "中文没有空格的句子在这里"), (101, "two words"), (102, "zork"), (103, "Ja, nein! vielleicht doch")]
+    for i, (_, t) in enumerate(items[:8]):
+        w = t.split()
+        texts[i] += " " + " ".join(x if rnd.random() > 0.15 else "zzz" for x in w)
+    texts += ["一些 中文没有空格的句子在这里。 more", "just two words.", "a Zork!", "ja nein vielleicht doch", "ja nein vielleicht"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {k: {i: n for i, t in items if (n := brute(t, x))} for k, x in enumerate(texts)}
+    got = decontaminate(docs, bench).collect()
+    assert {r["doc_id"]: (r["items"], r["overlap_words"]) for r in got} == {k: (sorted(v), max(v.values(), default=0)) for k, v in want.items()}
+    assert sum(map(bool, want.values())) >= 10
+    assert sorted(r["doc_id"] for r in clean_documents(docs, bench).collect()) == [k for k, v in want.items() if not v]
+
+
+def test_shared_phrases_are_pruned():
+    phrase = "choose the right answer from"
+    items = [(i, f"{phrase} " + " ".join(f"w{i}x{j}" for j in range(20))) for i in range(4000)]
+    index = SeedIndex(items)
+    start = time.time()
+    assert index.overlaps(f"{phrase} y " * 530) == {}
+    assert index.overlaps(f"{phrase} y " * 100 + items[7][1]) == {7: 25}
+    assert time.time() - start < 20
