@@ -61,6 +61,8 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
     _MADE.append(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)  # what nobody drops before goes with the driver
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -73,6 +75,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def joined_by_size(rows: DataFrame, small: DataFrame, on: str, count_col: str, many: int) -> DataFrame:
+    """Inner join with `small` (one row for each key): keys with more than `many` rows by broadcast, the others by shuffle.
+
+    There are fewer than all rows / many of the former, so `many` bounds what is broadcast.
+    """
+    often = F.broadcast(small.where(F.col(count_col) > many))
+    rest = rows.join(often.select(on), on, "left_anti").join(small.where(F.col(count_col) <= many), on)
+    return rows.join(often, on).unionByName(rest)
+
+
 def text_or_empty(name: str = "text") -> Column:
     """A null text counts as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -14,19 +14,21 @@ empty result. The last document before a threshold may be taken in part, which m
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict, deque
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import PARTS, joined_by_size, text_or_empty, written
 
 CELLS = 4096
 SEED = 7
-#: Patterns and sources that the driver solves for. Above this the mix is refused, not cut.
+#: Patterns that the driver solves the flow for. With more, documents of one source each need no flow and are summed on the
+#: cluster (`single_plan`); overlapping sources are refused then, not cut.
 MAX_PATTERNS = 20_000
 
 
@@ -138,20 +140,8 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = SEED, cells: int = CELLS, keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of `docs`.
-
-    members: the array of a document's sources, by default its `source` alone. With several, `source_size` and `target`
-    are those of the first in order.
-    """
-    members = F.array("source") if members is None else F.sort_array(F.array_distinct(members))
-    size = word_count(text_or_empty(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), members.alias("members"), size.alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-    rows = written(rows.withColumn("spot", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("cell", F.pmod("spot", F.lit(cells))), "sizes")
-    sums = rows.groupBy("members").agg(F.sum("size").alias("size"))
-    found = sums.limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns of sources")
+def flow_plan(spark: SparkSession, found: Sequence[Row], weights: Sequence[float], share: float, epochs: int) -> DataFrame:
+    """(members, source_size, target, full, rest) of each pattern: how often all of it is used, and how many words once more."""
     by_source: dict[str | None, int] = defaultdict(int)
     for r in found:
         for x in r["members"] or [None]:
@@ -160,20 +150,80 @@ def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id",
     names = sorted(goal, key=lambda x: (x is None, x or ""))
     number = {x: i for i, x in enumerate(names)}
     given = route([([number[x] for x in r["members"] or [None]], r["size"]) for r in found], [round(goal[x]) for x in names], epochs)
-    spark = docs.sparkSession
     plan = []
     for r, words in zip(found, given, strict=True):
         first = min((number[x] for x in r["members"] or [None]))
         full, rest = divmod(words, r["size"]) if r["size"] else (0, 0)
         plan.append((r["members"], by_source[names[first]], goal[names[first]], full, rest))
-    plan_df = F.broadcast(spark.createDataFrame(plan, "members array<string>, source_size long, target double, full long, rest long"))
+    return spark.createDataFrame(plan, "members array<string>, source_size long, target double, full long, rest long")
+
+
+def single_plan(sums: DataFrame, weights: Sequence[float], share: float, epochs: int) -> DataFrame:
+    """The same, with `n`, for documents of one source each, without a limit: a source's flow is its target or all it has.
+
+    Sources are numbered by parts of their order. The level to which targets are filled up comes from sums, one row a round.
+    """
+    source = F.col("members")[0]
+    parts = written(sums.orderBy(source.asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
+    ahead, before = 0, []
+    for r in parts.groupBy("part").count().orderBy("part").collect():
+        before.append((r["part"], ahead))
+        ahead += r["count"]
+    starts = F.broadcast(sums.sparkSession.createDataFrame(before, "part int, ahead long"))
+    place = F.col("ahead") + F.row_number().over(W.partitionBy("part").orderBy(source.asc_nulls_last())) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    of = written(parts.join(starts, "part").select("members", "size", "n", weight.alias("weight")), "weights")
+    room = F.col("size") * float(epochs)
+    total, open_weight, n = of.agg(F.sum("size"), F.sum("weight"), F.count(F.lit(1))).first()
+    level, closed = share * total / open_weight, 0
+    while True:
+        full = room < F.col("weight") * level
+        over, used, left = of.agg(F.count_if(full), F.sum(F.when(full, room).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if over == closed:
+            break
+        closed, level = over, (share * total - used) / left if left else math.inf
+        if over == n:
+            break
+    target = F.least(room, F.col("weight") * level)
+    given = F.least(F.bround(target).cast("long"), F.col("size") * epochs)
+    some = F.col("size") > 0
+    return written(of.select(
+        "members", F.col("size").alias("source_size"), target.alias("target"), "n",
+        F.when(some, F.floor(given / F.col("size"))).otherwise(0).cast("long").alias("full"), F.when(some, given % F.col("size")).otherwise(0).cast("long").alias("rest"),
+    ), "plan")
+
+
+def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = SEED, cells: int = CELLS, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row of `docs`.
+
+    members: the array of a document's sources, by default its `source` alone. With several, `source_size` and `target`
+    are those of the first in order.
+    """
+    members = F.array("source") if members is None else F.sort_array(F.array_distinct(members))
+    size = word_count(text_or_empty(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), members.alias("members"), size.alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    rows = written(rows.withColumn("spot", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("cell", F.pmod("spot", F.lit(cells))), "sizes")
+    sums = written(rows.groupBy("members").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "patterns")
+    found = sums.limit(MAX_PATTERNS + 1).collect()
+    if len(found) <= MAX_PATTERNS:
+        plan = flow_plan(docs.sparkSession, found, weights, share, epochs)
+        with_plan = lambda df: df.join(F.broadcast(plan), "members")
+        small = F.broadcast
+    elif sums.where(F.size("members") != 1).isEmpty():
+        plan = single_plan(sums, weights, share, epochs)
+        many = max(1000, rows.count() // PARTS)
+        with_plan = lambda df: joined_by_size(df, plan, "members", "n", many).drop("n")
+        small = lambda df: df
+    else:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns of overlapping sources")
 
     cell_sums = rows.groupBy("members", "cell").agg(F.sum("size").alias("words"))
     before = W.partitionBy("members").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    run = cell_sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(plan_df, ["members"])
+    run = cell_sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
     # the cell in which the threshold lies; none where nothing or everything is taken once more
-    cuts = F.broadcast(run.where("before < rest and rest <= before + words").select(F.col("members").alias("m"), F.col("cell").alias("cut"), F.col("before").alias("cut_before")))
-    dealt = rows.join(plan_df, ["members"]).join(cuts, F.col("members") == F.col("m"), "left")
+    run = run.join(small(plan.drop("n")), "members").where("before < rest and rest <= before + words")
+    plan = written(plan.join(small(run.select("members", F.col("cell").alias("cut"), F.col("before").alias("cut_before"))), "members", "left"), "plan")
+    dealt = with_plan(rows)
     inside = F.col("cell") == F.col("cut")
     out = ["doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("more")).alias("taken"), *[F.col(f"kept_{c}").alias(c) for c in keep]]
     plain = dealt.where(F.coalesce(~inside, F.lit(True))).withColumn("more", F.when(F.col("cell") < F.col("cut"), F.col("size")).otherwise(F.lit(0).cast("long")))

@@ -79,3 +79,18 @@ def test_overlapping_sources(spark, sf_dir):
     rows = mix(docs, members=F.col("of"), share=1.0, weights=(1, 1)).collect()
     total = sum(r["size"] for r in rows)
     assert abs(sum(r["taken"] for r in rows) - total) <= 2
+
+
+@pytest.mark.parametrize("make", ["odd", "real", "many"])
+def test_many_sources_need_no_flow(spark, sf_dir, monkeypatch, make):
+    from quern.llm import mixing as M
+
+    many = lambda s: s.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") % 17).cast("int")).alias("text"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), (F.col("id") % 700).cast("string"))).alias("source"))
+    docs = {"odd": odd_docs, "many": many}.get(make, lambda s: documents(s, sf_dir))(spark)
+    want = mix(docs, cells=16).collect()
+    monkeypatch.setattr(M, "MAX_PATTERNS", 1)
+    got = mix(docs, cells=16).collect()
+    key = lambda rows: Counter((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in rows)
+    assert key(got) == key(want)
+    with pytest.raises(ValueError, match="overlapping"):
+        mix(docs, members=F.array(F.lit("a"), F.col("source")))
