@@ -254,7 +254,7 @@ def components(links: DataFrame) -> DataFrame:
     Links and stars stay in written tables; only the count of changes reaches the driver.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    for _ in range(100):
+    while True:  # each round brings every node nearer to the smallest of its component, so it ends
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
