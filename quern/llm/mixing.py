@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict, deque
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -193,41 +193,84 @@ def single_plan(sums: DataFrame, weights: Sequence[float], share: float, epochs:
     ), "plan")
 
 
-def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = SEED, cells: int = CELLS, keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of `docs`.
+@dataclass
+class Mix:
+    """rows: (doc_id, members, size, spot, cell). plan: what is taken of each pattern, and the cell where the threshold lies.
 
-    members: the array of a document's sources, by default its `source` alone. With several, `source_size` and `target`
-    are those of the first in order.
+    join: joins a frame with `members` with the plan.
     """
-    members = F.array("source") if members is None else F.sort_array(F.array_distinct(members))
-    size = word_count(text_or_empty(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), members.alias("members"), size.alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-    rows = written(rows.withColumn("spot", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("cell", F.pmod("spot", F.lit(cells))), "sizes")
+
+    rows: DataFrame
+    join: Callable[[DataFrame], DataFrame]
+
+    def edge(self) -> DataFrame:
+        """(doc_id, spot, size, taken, ...) of the rows in cells with a threshold, put in order row by row."""
+        edge = self.join(self.rows).where("cell = cut")
+        order = W.partitionBy("members").orderBy("spot", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+        ahead = F.coalesce(F.sum("size").over(order), F.lit(0))
+        more = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("cut_before") - ahead))
+        return edge.withColumn("taken", F.col("full") * F.col("size") + more)
+
+
+def drawn(docs: DataFrame, members: Column, id_col: str, text_col: str, seed: int, cells: int) -> dict[str, Column]:
+    """What decides about a document: its sources, its size, its place in the seeded order and the cell of that place."""
+    text = text_or_empty(text_col)
+    size = word_count(text)
+    spot = F.xxhash64(id_col, F.xxhash64(text), F.lit(seed))
+    return {"members": members, "size": size, "spot": spot, "cell": F.pmod(spot, F.lit(cells))}
+
+
+def planned(docs: DataFrame, members: Column, id_col: str, text_col: str, weights: Sequence[float], share: float, epochs: int, seed: int, cells: int) -> Mix:
+    what = drawn(docs, members, id_col, text_col, seed, cells)
+    rows = written(docs.select(F.col(id_col).alias("doc_id"), *[c.alias(k) for k, c in what.items()]), "sizes")
     sums = written(rows.groupBy("members").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "patterns")
     found = sums.limit(MAX_PATTERNS + 1).collect()
-    if len(found) <= MAX_PATTERNS:
+    few = len(found) <= MAX_PATTERNS
+    if few:
         plan = flow_plan(docs.sparkSession, found, weights, share, epochs)
-        with_plan = lambda df: df.join(F.broadcast(plan), "members")
-        small = F.broadcast
     elif sums.where(F.size("members") != 1).isEmpty():
         plan = single_plan(sums, weights, share, epochs)
-        many = max(1000, rows.count() // PARTS)
-        with_plan = lambda df: joined_by_size(df, plan, "members", "n", many).drop("n")
-        small = lambda df: df
     else:
         raise ValueError(f"more than {MAX_PATTERNS} patterns of overlapping sources")
-
-    cell_sums = rows.groupBy("members", "cell").agg(F.sum("size").alias("words"))
+    small = F.broadcast if few else lambda df: df
     before = W.partitionBy("members").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    run = cell_sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    cell_sums = rows.groupBy("members", "cell").agg(F.sum("size").alias("words"))
+    run = cell_sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(small(plan.drop("n")), "members")
     # the cell in which the threshold lies; none where nothing or everything is taken once more
-    run = run.join(small(plan.drop("n")), "members").where("before < rest and rest <= before + words")
-    plan = written(plan.join(small(run.select("members", F.col("cell").alias("cut"), F.col("before").alias("cut_before"))), "members", "left"), "plan")
-    dealt = with_plan(rows)
-    inside = F.col("cell") == F.col("cut")
-    out = ["doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("more")).alias("taken"), *[F.col(f"kept_{c}").alias(c) for c in keep]]
-    plain = dealt.where(F.coalesce(~inside, F.lit(True))).withColumn("more", F.when(F.col("cell") < F.col("cut"), F.col("size")).otherwise(F.lit(0).cast("long")))
-    order = W.partitionBy("members").orderBy("spot", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    edge = dealt.where(inside).withColumn("ahead", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    edge = edge.withColumn("more", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("cut_before") - F.col("ahead"))))
-    return plain.select(*out).unionByName(edge.select(*out))
+    cuts = run.where("before < rest and rest <= before + words").select("members", F.col("cell").alias("cut"), F.col("before").alias("cut_before"))
+    plan = written(plan.join(small(cuts), "members", "left"), "plan")
+    if few:
+        return Mix(rows, lambda df: df.join(F.broadcast(plan), "members"))
+    many = max(1000, rows.count() // PARTS)
+    return Mix(rows, lambda df: joined_by_size(df, plan, "members", "n", many).drop("n"))
+
+
+def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = SEED, cells: int = CELLS) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row of `docs`.
+
+    members: the array of a document's sources, by default its `source` alone. With several, `source_size` and `target`
+    are those of the first in order.
+    """
+    members = F.array("source") if members is None else F.sort_array(F.array_distinct(members))
+    m = planned(docs, members, id_col, text_col, weights, share, epochs, seed, cells)
+    out = ["doc_id", "size", "source_size", "target", "taken"]
+    once_more = F.when(F.col("cell") < F.col("cut"), F.col("size")).otherwise(F.lit(0).cast("long"))
+    plain = m.join(m.rows).where("cell <> cut or cut is null").withColumn("taken", F.col("full") * F.col("size") + once_more)
+    return plain.select(*out).unionByName(m.edge().select(*out))
+
+
+def copies(docs: DataFrame, id_col: str, text_col: str = "text", name: str = "copies", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = SEED, cells: int = CELLS) -> DataFrame:
+    """`docs` with the column `name`: how often the mix of its `source` uses a document, in part counting whole.
+
+    Outside the cells with a threshold this follows from the plan where the document is read; only documents of those
+    cells are joined by id. Rows that are equal in id and text get the largest number of theirs.
+    """
+    m = planned(docs, F.array("source"), id_col, text_col, weights, share, epochs, seed, cells)
+    what = drawn(docs, F.array("source"), id_col, text_col, seed, cells)
+    wide = m.join(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in what.items()]))
+    some = F.col("size") > 0
+    plain = wide.where("cell <> cut or cut is null").withColumn("n", F.when(some, F.col("full") + F.when(F.col("cell") < F.col("cut"), 1).otherwise(0)).otherwise(0))
+    ceil = F.when(some, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
+    edge = written(m.edge().withColumn("n", ceil).groupBy(F.col("spot").alias("at"), F.col("doc_id").alias("id")).agg(F.max("n").alias("n")), "edge")
+    inside = wide.where("cell = cut").join(edge, (F.col("spot") == F.col("at")) & F.col(f"row.`{id_col}`").eqNullSafe(F.col("id")))
+    return plain.select("row", "n").unionByName(inside.select("row", "n")).select("row.*", F.col("n").cast("int").alias(name))

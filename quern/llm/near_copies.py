@@ -1,6 +1,9 @@
 """Near copies: texts whose sets of five-word shingles have a similarity (shared over all) of at least 4/5, joined exactly.
 
-Texts with the same set are one node. Shingles are ordered, rare ones first as far as a table of counts of fixed size
+Texts with the same set are one node. SimHash comes first: 64-bit fingerprints of the five-word shingles are joined within
+`BUDGET` bits by the binary tries of `simhash`, and the links are verified by whole sets. A fingerprint can't show all pairs
+of this similarity (two texts at 0.83 may differ in 17 bits), so what it leaves in different components is
+joined by shared rare shingles (a prefix filter). Shingles are ordered, rare ones first as far as a table of counts of fixed size
 tells, the rest by hash. Two sets that are similar enough share one of the first n - ceil(4n/5) + 1 shingles of each, so
 nodes are dealt to the cells of these alone. What stands together in a cell is compared by whole sets: first all with the
 cell's most central node, and once these links are joined, what is left between different components, pair by pair.
@@ -21,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
-from .simhash import components, shingle_hashes
+from .common import ship_package, text_or_empty, written
+from .simhash import bits_of, components, hamming_links, shingle_hashes
 
 WORDS = 5
 #: The least similarity as a fraction.
 NUM, DEN = 4, 5
+#: Bits in which fingerprints may differ to be linked at once.
+BUDGET = 3
 #: Slots of the tables of counts, and slots that are summed in one row.
 SLOTS, CHUNK = 1 << 19, 1 << 14
 #: Rounds of comparing with a cell's most central node, before what is left is compared pair by pair.
@@ -72,17 +77,23 @@ def sliced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def keys_and_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = np.zeros(SLOTS, np.int64)
+    """The carried columns with node and fingerprint of each text; at the end the table of counts of the task."""
+    counts, empty = np.zeros(SLOTS, np.int64), None
     for pdf in frames:
-        nodes = []
+        nodes, prints = [], []
         for t in pdf["text"]:
-            s = shingle_set(t.encode())
+            hashes = np.array(shingle_hashes(t.encode(), WORDS), dtype="<u8")
+            s = np.unique(hashes)
             nodes.append(node_of(s))
+            prints.append(bits_of(hashes))
             np.add.at(counts, slots(s), 1)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": nodes, "chunk": pd.array([None] * len(pdf), "Int64"), "counts": None})
-    sums = chunked(counts)
-    none = pd.array([None] * len(sums), "Int64")
-    yield pd.DataFrame({"doc_id": none, "node": none, "chunk": sums["chunk"], "counts": sums["counts"]})
+        kept = {c: pdf[c].astype("object") if pd.api.types.is_string_dtype(pdf[c]) else pdf[c] for c in pdf.columns if c != "text"}
+        out = pd.DataFrame(kept).assign(node=nodes, fp=np.array(prints, np.uint64).view(np.int64), chunk=pd.array([None] * len(pdf), "Int64"), counts=None)
+        empty = out.iloc[:0] if empty is None else empty
+        yield out
+    if empty is not None:
+        sums = chunked(counts)
+        yield pd.DataFrame({c: sums[c] if c in sums else pd.Series([None] * len(sums), dtype="object") for c in empty.columns})
 
 
 def first_cells(frames: Iterator[pd.DataFrame], counts: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -128,14 +139,24 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(whole.where(both * (NUM + DEN) >= NUM * (F.size("sa") + F.size("sb"))).select("a", "b"), "similar")
 
 
-def similar_links(texts: DataFrame, counts: np.ndarray) -> DataFrame | None:
-    """Links (a, b) between nodes whose connected components are those of all pairs that are similar enough. texts: (text)."""
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that SimHash proposes, by way of one node for each fingerprint. nodes: (node, fp)."""
+    heads = written(nodes.groupBy("fp").agg(F.min("node").alias("head")), "prints")
+    same = nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    links = hamming_links(heads.select("fp"), BUDGET)
+    ends = lambda x: heads.select(F.col("fp").alias(x), F.col("head").alias(f"{x}_head"))
+    near = links.join(ends("a"), "a").join(ends("b"), "b").select(F.least("a_head", "b_head").alias("a"), F.greatest("a_head", "b_head").alias("b"))
+    return same.unionByName(near).where("a <> b")
+
+
+def similar_links(texts: DataFrame, counts: np.ndarray, proposed: DataFrame) -> DataFrame | None:
+    """Links (a, b) between nodes whose connected components are those of all pairs that are similar enough. texts: (text); proposed: pairs to look at first."""
     spark = texts.sparkSession
     table = spark.sparkContext.broadcast(counts.astype(np.int32 if counts.max(initial=0) < 1 << 31 else np.int64))
     cell = W.partitionBy("cell")
     cells = texts.mapInPandas(lambda it: first_cells(it, table.value), "cell long, node long, size long, pos long, central long")
-    ends = lambda c: cells.withColumn("lo", F.min(c).over(cell)).withColumn("hi", F.max(c).over(cell)).where("lo < hi").drop("lo", "hi")
-    cells = written(ends("node").distinct(), "shared-cells")
+    ends = lambda c, cells: cells.withColumn("lo", F.min(c).over(cell)).withColumn("hi", F.max(c).over(cell)).where("lo < hi").drop("lo", "hi")
+    cells = written(ends("node", cells).distinct(), "shared-cells")
 
     def marks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = np.zeros(SLOTS, np.int64)
@@ -145,37 +166,48 @@ def similar_links(texts: DataFrame, counts: np.ndarray) -> DataFrame | None:
 
     wanted = spark.sparkContext.broadcast(summed(cells.select("node").mapInPandas(marks, "chunk long, counts binary")) > 0)
     sets = written(texts.mapInPandas(lambda it: sets_of(it, wanted.value), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    links = None
+    links = linked(proposed, sets)
 
     def more(pairs: DataFrame) -> DataFrame:
-        new = linked(pairs, sets)
-        return new if links is None else links.unionByName(new)
+        return links.unionByName(linked(pairs, sets))
+
+    def open_cells(cells: DataFrame) -> DataFrame:
+        """The cells with nodes of different components."""
+        roots = written(components(links), "roots")
+        return written(ends("root", cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))), "open-cells")
 
+    cells = open_cells(cells)
     for _ in range(ROUNDS):
         if cells.isEmpty():
             return links
         head = F.first(F.struct("node", "size", "pos")).over(cell.orderBy(F.desc("central"), "node"))
         cells = written(cells.withColumn("h", head).select("*", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("node", "size", "pos")]).drop("h").where("node <> h_node"), "headed")
         links = more(cells.where(may_reach("", "h_")).select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b")))
-        roots = written(components(links), "roots")
-        cells = cells.drop("root", "h_node", "h_size", "h_pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        cells = written(ends("root"), "open-cells")
+        cells = open_cells(cells.drop("root", "h_node", "h_size", "h_pos"))
     a, b = (cells.select("cell", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "size", "pos", "root")]) for x in "ab")
     return more(a.join(b, (a.cell == b.cell) & (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & may_reach("a_", "b_")).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
 
 
+def near_copy_groups(rows: DataFrame) -> DataFrame:
+    """The columns of `rows` but `text`, and `root`: a number that is the same for near copies, the near copies of these, and so on.
+
+    rows: `text` and columns without nulls.
+    """
+    ship_package(rows.sparkSession)
+    carried = [f for f in rows.schema.fields if f.name != "text"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in carried] + ["node long", "fp long", "chunk long", "counts binary"])
+    both = written(rows.mapInPandas(keys_and_counts, schema), "nodes")
+    keys = both.where("chunk is null").drop("chunk", "counts")
+    proposed = simhash_pairs(keys.select("node", "fp").distinct())
+    links = similar_links(rows.select("text"), summed(both.where("chunk is not null").select("chunk", "counts")), proposed)
+    roots = written(components(links), "roots")
+    return keys.drop("fp").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row of `docs`: the smallest id among its near copies, the near copies of these, and so on."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    both = written(rows.mapInPandas(keys_and_counts, "doc_id long, node long, chunk long, counts binary"), "nodes")
-    keys = both.where("chunk is null").select("doc_id", "node")
-    links = similar_links(rows.select("text"), summed(both.where("chunk is not null").select("chunk", "counts")))
-    nodes = keys.groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    if links is None:
-        roots = nodes.select("node", F.col("node").alias("root"), "least_id")
-    else:
-        roots = nodes.join(written(components(links), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = written(roots.select("node", "root", "least_id"), "node-roots")
-    ids = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known = written(roots.join(ids, "root").select("node", "component_id"), "known")
-    return keys.join(known, "node").select("doc_id", "component_id")
+    no_id = F.col(id_col).isNull()
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), no_id.alias("no_id"), text_or_empty(text_col).alias("text"))
+    groups = written(near_copy_groups(rows).withColumn("doc_id", F.when(~F.col("no_id"), F.col("id"))), "groups")
+    ids = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return groups.join(ids, "root").select("doc_id", "component_id")

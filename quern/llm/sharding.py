@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import free_name, text_or_empty
 
 #: Cells into which the records of a shard are dealt for numbering; no task orders more than a cell at a time.
 CELLS = 4096
@@ -41,25 +41,28 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (-best["s"]).cast("int")
 
 
-def with_slots(rows: DataFrame, order: Sequence[str], cells: int = CELLS) -> DataFrame:
-    """`slot`: gapless numbers from 0 within each shard, in the order of (cell, order).
+def with_slots(rows: DataFrame, cell: str, order: Sequence[str | Column]) -> DataFrame:
+    """`slot`: gapless numbers from 0 within each shard, in the order of (cell, order). The column `cell` goes.
 
     Counts by shard and cell are summed up first, so that each cell is numbered on its own. Their number is bounded by
-    shards x cells, which is what is broadcast. `rows` has the columns `shard` and `__cell`.
+    shards x cells, which is what is broadcast.
     """
-    counts = rows.groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy("shard").orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("shard", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    numbered = rows.withColumn("__at", F.row_number().over(W.partitionBy("shard", "__cell").orderBy(*order)))
-    return numbered.join(F.broadcast(starts), ["shard", "__cell"]).withColumn("slot", F.col("__start") + F.col("__at") - 1).drop("__cell", "__start", "__at")
+    n, start, at = (free_name(rows, x) for x in ("__n", "__start", "__at"))
+    counts = rows.groupBy("shard", cell).agg(F.count(F.lit(1)).alias(n))
+    before = W.partitionBy("shard").orderBy(cell).rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("shard", cell, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    numbered = rows.withColumn(at, F.row_number().over(W.partitionBy("shard", cell).orderBy(*order)))
+    return numbered.join(F.broadcast(starts), ["shard", cell]).withColumn("slot", F.col(start) + F.col(at) - 1).drop(cell, start, at)
 
 
-def cell_of(key: Column, cells: int = CELLS) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(SEED + 1)), F.lit(cells))
+def cell_of(key: Column, text: Column, cells: int = CELLS) -> Column:
+    """Rows of one key are dealt by their texts too, as ids may repeat or be null."""
+    return F.pmod(F.xxhash64(key, text, F.lit(SEED + 1)), F.lit(cells))
 
 
 def key_of(key_col: str) -> Column:
-    return F.coalesce(F.col(key_col).cast("string"), F.lit(""))
+    """The key as a string; a null is apart from the empty string."""
+    return F.coalesce(F.col(key_col).cast("string"), F.lit("\0null"))
 
 
 def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * 24, key_col: str = "doc_id", text_col: str = "text", overhead: int = 8, cells: int = CELLS) -> DataFrame:
@@ -68,6 +71,6 @@ def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * 24, key
     grown = [*weights, sum(weights) / len(weights)]
     rows = docs.select(
         F.col(key_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
-        rendezvous(key, weights).alias("shard"), rendezvous(key, grown).alias("grown_shard"), cell_of(key, cells).alias("__cell"),
+        rendezvous(key, weights).alias("shard"), rendezvous(key, grown).alias("grown_shard"), cell_of(key, text, cells).alias("cell"),
     )
-    return with_slots(rows, ["doc_id", "text_crc32", "size"], cells).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return with_slots(rows, "cell", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

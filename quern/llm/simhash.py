@@ -46,10 +46,12 @@ def shingle_hashes(text: bytes, k: int) -> list[int]:
 
 def fingerprint(text: bytes, k: int = 3) -> int:
     """A bit is 1 if set in over half the hashes of the k-word shingles; unsigned."""
-    hashes = shingle_hashes(text, k)
-    if not hashes:
+    return bits_of(np.array(shingle_hashes(text, k), dtype="<u8"))
+
+
+def bits_of(h: np.ndarray) -> int:
+    if not len(h):
         return 0
-    h = np.array(hashes, dtype="<u8")
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 8192):
         ones += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from quern.llm.common import table
@@ -9,8 +10,7 @@ from quern.llm.mixing import mix
 from quern.llm.toxicity import score_toxicity
 
 from .helpers import no_docs, odd_docs
-from .test_simhash import brute as groups
-from .test_simhash import slow_fingerprint
+from .test_near_copies import brute as groups
 
 
 def key(rows, cols):
@@ -29,7 +29,7 @@ def test_stages_against_brute_force(spark, sf_dir):
 
     docs, rows = spark.createDataFrame(want, docs.schema), want
     out = P.near_dedup(spark, docs, sf_dir)
-    stay = {d for d, _, c in groups([(r["doc_id"], slow_fingerprint(r["text"])) for r in rows]) if d == c}
+    stay = {d for d, c in groups([(r["doc_id"], r["text"]) for r in rows]) if d == c}
     want = [r for r in rows if r["doc_id"] in stay]
     assert len(want) < len(rows) and out.columns == cols and key(out.collect(), cols) == key(want, cols)
 
@@ -65,3 +65,31 @@ def test_odd_documents(spark, sf_dir, make):
             assert len(rows) <= docs.count()
     kept = P.near_dedup(spark, docs, sf_dir).collect()
     assert len({r["text"] for r in kept}) == len({r["text"] or "" for r in kept}) <= len(kept)
+
+
+def test_near_dedup_keeps_different_texts_under_one_id(spark, sf_dir):
+    def text(k):
+        return " ".join(f"w{k}x{i}" for i in range(40))
+
+    rows = [(1, text(1)), (1, text(2)), (None, text(3)), (None, text(4)), (None, text(4)), (5, text(4)), (7, text(7)), (6, text(7) + " more"), (8, text(8)), (8, text(8)), (9, None), (10, "")]
+    for cast in (lambda i: i, lambda i: None if i is None else f"doc-{i:02d}"):
+        kind = "long" if cast(1) == 1 else "string"
+        docs = spark.createDataFrame([(cast(i), t, 0, 1) for i, t in rows], f"doc_id {kind}, text string, k1 int, row int")
+        got = P.near_dedup(spark, docs, sf_dir)
+        assert got.columns == docs.columns
+        assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter((cast(i), t) for i, t in [(1, text(1)), (1, text(2)), (None, text(3)), (5, text(4)), (6, text(7) + " more"), (8, text(8)), (9, None)])
+
+
+def test_clashing_columns(spark, sf_dir):
+    names = ["__id", "__n", "__cell", "__at", "__start", "__copies", "__key", "__overlaps", "__may", "k1", "k2", "root", "row", "n", "size", "spot", "cell", "members", "shard", "slot", "fp", "node"]
+    docs = table(spark, sf_dir, "documents").limit(40)
+    plain = {name: Counter(map(tuple, stage(spark, docs, sf_dir).select("doc_id", "text").collect())) for name, stage in P.STAGES}
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(100 + i))
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        last = name == "sharding"
+        assert set(docs.columns) == set(out.columns) and (last or out.columns == docs.columns), name
+        assert Counter((r["doc_id"], r["text"]) for r in rows) == plain[name], name
+        assert all(r[n] == 100 + i for r in rows for i, n in enumerate(names) if not (last and n in ("shard", "slot"))), name
