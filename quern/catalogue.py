@@ -18,6 +18,8 @@ from quern.plans import kpis as K
 from quern.plans import marts as M
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The statuses of the test tables: finished, open, pending.
+STATUSES = quality.Statuses(("F", "O", "P"), ("P",), ("F",), ("P",), ("F", "O"))
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -123,6 +125,13 @@ def enriched_inputs(spark, d):
 
 @query("int_orders_enriched", "SELECT * FROM stg_enriched")
 def int_orders_enriched(spark, d):
+    """Lines are read and dealt by order once; items, payments and shipping dates come from the same rows."""
+    return M.enriched(V.orders_with(spark, d, V.order_measures(V.order_lines(spark, d))))
+
+
+@query("int_orders_enriched_from_tables", "SELECT * FROM stg_enriched")
+def int_orders_enriched_from_tables(spark, d):
+    """The same from tables of orders, items and payments, as the domain has them."""
     return M.int_orders_enriched(*enriched_inputs(spark, d))
 
 
@@ -132,7 +141,7 @@ FACT_ORDERS = f"""SELECT *, {dk('order_purchase_timestamp')} AS purchase_date_ke
 
 @query("fact_orders", FACT_ORDERS)
 def fact_orders(spark, d):
-    return M.fact_orders(*enriched_inputs(spark, d))
+    return M.with_order_keys(int_orders_enriched(spark, d))
 
 
 @query("fact_order_items", f"SELECT * REPLACE ({doubles('unit_price', 'freight_value', 'merchandise_value', 'item_total_value')}) FROM stg_fact_items")
@@ -467,9 +476,9 @@ RELATIONS = (("order_id", "stg_orders", "order_id"), ("customer_id", "(SELECT c_
 @query("dq_relationships", " UNION ALL ".join(f"SELECT 'relationship_items_{c}' AS check_name, count(*) AS failures FROM stg_fact_items i WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} p WHERE p.{k} = i.{c})" for c, p, k in RELATIONS))
 def dq_relationships(spark, d):
     """Foreign keys of order items; some parents are left out so that there is something to find."""
-    fact = fact_order_items(spark, d)
-    parents = {"order_id": V.stg_orders(spark, d), "customer_id": V.stg_customers(spark, d).where("customer_id % 100 <> 0"), "seller_id": V.stg_sellers(spark, d), "product_id": V.stg_products(spark, d).where("product_id % 10 <> 0")}
-    return quality.all_checks(*[quality.relationship(fact, c, p, c, f"items_{c}") for c, p in parents.items()])
+    orders = V.read(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"))
+    parents = {"order_id": orders, "customer_id": V.stg_customers(spark, d).where("customer_id % 100 <> 0"), "seller_id": V.stg_sellers(spark, d), "product_id": V.stg_products(spark, d).where("product_id % 10 <> 0")}
+    return quality.relationships(fact_order_items(spark, d), [(c, p, c, f"items_{c}") for c, p in parents.items()])
 
 
 @query("dq_date_relationships", f"WITH d AS (SELECT CAST(strftime(x, '%Y%m%d') AS INTEGER) AS k FROM (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1999-12-31', INTERVAL 1 DAY)) AS x)), o AS (SELECT {dk('o_orderdate')} AS k FROM orders) SELECT 'relationship_orders_purchase_date_key' AS check_name, count(*) AS failures FROM o WHERE k NOT IN (SELECT k FROM d)")
@@ -496,7 +505,7 @@ TIME_CHECKS = {"pending_with_approval": "order_status = 'P' AND order_approved_a
 
 @query("dq_time_matrix", f"SELECT unnest({list(TIME_CHECKS)}) AS check_name, unnest([{', '.join(f'count(*) FILTER ({c})' for c in TIME_CHECKS.values())}]) AS failures FROM stg_orders")
 def dq_time_matrix(spark, d):
-    return quality.order_time_checks(V.stg_orders(spark, d))
+    return quality.order_time_checks(V.stg_orders(spark, d), STATUSES)
 
 
 @query("dq_orders_without_items", "SELECT o_orderkey AS order_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -515,7 +524,7 @@ RULES = {
  LEFT JOIN (SELECT order_id, count(*) AS lines, sum(price * quantity + freight_value) AS due, min(warehouse_id) AS fw, max(warehouse_id) AS lw FROM stg_order_items GROUP BY 1) USING (order_id)
  LEFT JOIN (SELECT order_id, count(*) AS payments, sum(payment_value) AS paid FROM stg_order_payments GROUP BY 1) USING (order_id)""")
 def dq_order_rules(spark, d):
-    return quality.order_rules(*enriched_inputs(spark, d))
+    return quality.order_rules(*enriched_inputs(spark, d), STATUSES)
 
 
 @query("bronze_coverage", "SELECT (SELECT count(*) FROM lineitem) AS rows, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS different_keys, updated_at AS top_updated_at, order_id AS top_order_id, order_item_id AS top_order_item_id FROM stg_versions ORDER BY updated_at DESC, order_id DESC, order_item_id DESC LIMIT 1")
@@ -593,7 +602,7 @@ def status_funnel(spark, d):
 
 @query("kpi_orders", "SELECT CAST(CAST(sum(CAST(total_payment_value AS DECIMAL(20,2))) AS DECIMAL(38,2)) AS DOUBLE) AS total_revenue, count(*) AS total_orders, count(DISTINCT customer_id) AS total_customers, CAST(sum(CAST(total_payment_value AS DECIMAL(20,2))) AS DOUBLE) / count(*) AS average_order_value, count(*) FILTER (is_delivered) AS delivered_orders, CAST(count(*) FILTER (is_delivered) AS DOUBLE) / count(*) AS delivered_rate, count(*) FILTER (order_status = 'P') AS pending_orders, CAST(count(*) FILTER (order_status = 'P') AS DOUBLE) / count(*) AS pending_rate, CAST(sum(delivery_days) AS DOUBLE) / count(delivery_days) AS avg_delivery_days FROM stg_enriched")
 def kpi_orders(spark, d):
-    return K.orders_summary(fact_orders(spark, d))
+    return K.orders_summary(fact_orders(spark, d), ("P",), "pending")
 
 
 @query("kpi_items", "SELECT CAST(sum(quantity) AS BIGINT) AS items_sold, CAST(sum(merchandise_value) AS DOUBLE) AS merchandise_value, CAST(sum(freight_value) AS DOUBLE) AS freight_value, CAST(sum(item_total_value) AS DOUBLE) AS order_item_value, count(DISTINCT order_id) AS item_orders, count(DISTINCT product_id) AS distinct_products, count(DISTINCT seller_id) AS active_sellers, round(avg(CAST(unit_price AS DOUBLE)), 6) AS avg_price_per_item, CAST(sum(freight_value) AS DOUBLE) / CAST(sum(merchandise_value) + sum(freight_value) AS DOUBLE) AS freight_share FROM stg_fact_items")
@@ -671,3 +680,6 @@ def stream_ingest(spark, d):
     from quern.streaming.ingest import daily_counts_of_stream
 
     return daily_counts_of_stream(spark, d)
+
+
+from quern import validations  # noqa: E402, F401  (they add their queries)

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def require_one_fact(*facts: DataFrame) -> None:
+    """Refuses frames of two facts: a join of facts would multiply their measures. A fact is told by its counting column."""
+    kinds = {c for f in facts for c in ("order_count", "item_line_count", "session_count") if c in f.columns and not (c == "item_line_count" and "order_count" in f.columns)}
+    if len(kinds) > 1:
+        raise ValueError(f"measures of different facts don't mix: {sorted(kinds)}")
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b as a double, null where b is 0."""
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def orders_summary(fact: DataFrame) -> DataFrame:
-    n, revenue, delivered, canceled = F.sum("order_count"), F.sum("total_payment_value"), F.count_if("is_delivered"), F.count_if(F.col("order_status") == "P")
+def orders_summary(fact: DataFrame, canceled_statuses: Sequence[str] = ("canceled",), name: str = "canceled") -> DataFrame:
+    """name: what the columns about orders of `canceled_statuses` are called after."""
+    n, revenue, delivered, canceled = F.sum("order_count"), F.sum("total_payment_value"), F.count_if("is_delivered"), F.count_if(F.col("order_status").isin(*canceled_statuses))
     return fact.agg(
         revenue.alias("total_revenue"), n.alias("total_orders"), F.countDistinct("customer_id").alias("total_customers"), ratio(revenue, n).alias("average_order_value"), delivered.alias("delivered_orders"), ratio(delivered, n).alias("delivered_rate"),
-        canceled.alias("pending_orders"), ratio(canceled, n).alias("pending_rate"), F.avg("delivery_days").alias("avg_delivery_days"),
+        canceled.alias(f"{name}_orders"), ratio(canceled, n).alias(f"{name}_rate"), F.avg("delivery_days").alias("avg_delivery_days"),
     )
 
 

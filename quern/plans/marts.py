@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.scalar import date_key, hours_between, iso_weekday, seconds_between
@@ -21,23 +21,35 @@ def distinct_small(c: str):
     return F.size(F.collect_set(c)).cast("long")
 
 
-def int_order_items_agg(items: DataFrame) -> DataFrame:
-    return items.groupBy("order_id").agg(
+def item_measures() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("item_line_count"), F.sum("quantity").cast("long").alias("total_quantity"), distinct_small("product_id").alias("distinct_product_count"),
         distinct_small("seller_id").alias("distinct_seller_count"), distinct_small("warehouse_id").alias("distinct_warehouse_count"),
         F.sum(F.col("price") * F.col("quantity")).cast("decimal(38,2)").alias("merchandise_value"), F.sum("freight_value").cast("decimal(38,2)").alias("total_freight_value"),
-    )
+    ]
 
 
-def int_order_payments_agg(payments: DataFrame) -> DataFrame:
-    return payments.groupBy("order_id").agg(
+def payment_measures() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("payment_count"), F.sum("payment_value").cast("decimal(38,2)").alias("total_payment_value"),
         F.max("payment_installments").alias("max_payment_installments"), distinct_small("payment_type").alias("payment_type_count"),
-    )
+    ]
+
+
+def int_order_items_agg(items: DataFrame) -> DataFrame:
+    return items.groupBy("order_id").agg(*item_measures())
+
+
+def int_order_payments_agg(payments: DataFrame) -> DataFrame:
+    return payments.groupBy("order_id").agg(*payment_measures())
 
 
 def int_orders_enriched(orders: DataFrame, items: DataFrame, payments: DataFrame) -> DataFrame:
-    rows = orders.join(int_order_items_agg(items), "order_id", "left").join(int_order_payments_agg(payments), "order_id", "left")
+    return enriched(orders.join(int_order_items_agg(items), "order_id", "left").join(int_order_payments_agg(payments), "order_id", "left"))
+
+
+def enriched(rows: DataFrame) -> DataFrame:
+    """Orders that have been joined with the measures of their items and payments, each null where there is none."""
     delivered = F.col("order_delivered_customer_date").isNotNull()
     return rows.select(
         "order_id", "customer_id", F.col("warehouse_id").alias("order_warehouse_id"), "order_status", *LIFECYCLE, *ITEM_MEASURES, *PAYMENT_MEASURES,
@@ -47,8 +59,12 @@ def int_orders_enriched(orders: DataFrame, items: DataFrame, payments: DataFrame
 
 
 def fact_orders(orders: DataFrame, items: DataFrame, payments: DataFrame) -> DataFrame:
+    return with_order_keys(int_orders_enriched(orders, items, payments))
+
+
+def with_order_keys(rows: DataFrame) -> DataFrame:
     names = ("purchase_date_key", "approved_date_key", "carrier_date_key", "delivered_date_key", "estimated_delivery_date_key")
-    return int_orders_enriched(orders, items, payments).select("*", *[date_key(c).alias(n) for c, n in zip(LIFECYCLE, names, strict=True)], F.lit(1).alias("order_count"))
+    return rows.select("*", *[date_key(c).alias(n) for c, n in zip(LIFECYCLE, names, strict=True)], F.lit(1).alias("order_count"))
 
 
 def fact_order_items(items: DataFrame, orders: DataFrame) -> DataFrame:

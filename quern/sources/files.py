@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.contracts import TIME_FORMAT
@@ -36,6 +36,11 @@ class Manifest:
     def save(self) -> None:
         self.files.write(self.path, json.dumps({"version": 1, "entries": [self.entries[k] for k in sorted(self.entries)]}))
 
+    def known(self, spark: SparkSession) -> DataFrame:
+        """What is known of processed files, so that they need not be read again to see that they are the same."""
+        rows = [(e["relative_path"], e["size"], e["last_modified"], e["etag"]) for e in self.entries.values() if e["status"] == "PROCESSED"]
+        return spark.createDataFrame(rows, "relative_path string, size long, last_modified string, etag string").withColumn("last_modified", F.to_timestamp("last_modified"))
+
     def changed(self, path: str, etag: str) -> bool:
         return any(p == path and e != etag for p, e in self.entries)
 
@@ -43,7 +48,7 @@ class Manifest:
 def ingest_files(spark: SparkSession, landing: str, bronze: str, manifest_path: str, source_name: str = "clicks", now: Callable[[], datetime] = utc_now, fail: Callable[[str], None] = lambda step: None) -> dict[str, int]:
     """Takes in the files that the manifest doesn't have as processed. Returns how many were new, retried and skipped."""
     manifest, tally = Manifest(spark, manifest_path), {"new": 0, "retried": 0, "skipped": 0}
-    for f in discover(spark, landing).toLocalIterator():  # a row a file, streamed
+    for f in discover(spark, landing, known=manifest.known(spark)).toLocalIterator():  # a row a file, streamed
         key = f["relative_path"], f["etag"]
         e = manifest.entries.get(key)
         if e and e["status"] == "PROCESSED":
@@ -70,7 +75,30 @@ def ingest_files(spark: SparkSession, landing: str, bronze: str, manifest_path:
     return tally
 
 
-def split_by_date(spark: SparkSession, raw: str, target: str) -> None:
-    """Raw lines into a folder for each date, as they are."""
+def split_by_date(spark: SparkSession, raw: str, target: str, chunk_lines: int = 250_000, max_chunks: int | None = None) -> None:
+    """Raw lines into a folder for each date, as they are, in files of at most `chunk_lines`; with `max_chunks` only so many chunks of lines."""
     lines = spark.read.text(raw).where("value <> ''")
-    lines.withColumn("event_date", F.substring(F.split_part("value", F.lit(","), F.lit(2)), 1, 10)).write.mode("overwrite").partitionBy("event_date").text(target)
+    if max_chunks is not None:
+        lines = lines.limit(chunk_lines * max_chunks)
+    dated = lines.withColumn("event_date", F.substring(F.split_part("value", F.lit(","), F.lit(2)), 1, 10))
+    dated.write.mode("overwrite").option("maxRecordsPerFile", chunk_lines).partitionBy("event_date").text(target)
+
+
+def upload_landing(spark: SparkSession, source: str, landing: str, pattern: str = "*.csv") -> dict[str, int]:
+    """Copies files into the landing folder. One of the same size is skipped, one of another size is an error; each copy's size is verified."""
+    from .readers import listed
+
+    files, tally = Files(spark), {"uploaded": 0, "skipped": 0}
+    for f in listed(spark, source, pattern).orderBy("relative_path").toLocalIterator():  # a row a file, streamed
+        place = f"{landing}/{f['relative_path']}"
+        if files.exists(place):
+            if files.size(place) != f["size"]:
+                raise ValueError(f"{f['relative_path']} has {files.size(place)} bytes in landing, {f['size']} at its source")
+            tally["skipped"] += 1
+            continue
+        files.copy(f["path"], place)
+        if files.size(place) != f["size"]:
+            files.delete(place)
+            raise OSError(f"{f['relative_path']} was not copied whole")
+        tally["uploaded"] += 1
+    return tally

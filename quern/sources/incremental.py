@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from quern.contracts import TIME_FORMAT, TYPES, TableContract
 from quern.functions.scalar import safe_run_id, utc_now
-from quern.operators.versions import keyset_batch, upper_watermark
+from quern.operators.versions import any_null, keyset_batch, keyset_predicate, upper_watermark
 from quern.storage import Files
 
 METHOD = "timestamp_incremental"
+#: Columns of staged rows: their place in cursor order, and the number of their batch.
+PLACE, BATCH = "__place", "__batch"
 
 
 class StateError(ValueError):
@@ -110,7 +112,7 @@ class Ingestion:
         if not isinstance(batch_size, int) or isinstance(batch_size, bool) or batch_size < 1:
             raise ValueError(f"batch size {batch_size!r}")
         self.spark, self.contract, self.source, self.bronze, self.batch_size, self.now, self.fail = spark, contract, source, bronze, batch_size, now, fail
-        self.state = State(spark, contract, state)
+        self.root, self.state = state, State(spark, contract, state)
 
     def mark_of(self, row) -> dict | None:
         return None if row is None else {c: row[c] for c in self.contract.cursor}
@@ -157,6 +159,28 @@ class Ingestion:
         self.finish(rows, p)
         return p.batch_upper, 1
 
+    def staged(self, checkpoint: dict, top: dict) -> DataFrame:
+        """The source's rows above the checkpoint and up to `top`, written once in cursor order, with the number of their batch.
+
+        The source is read once for all batches of a run, and what a batch writes can't change while it does.
+        """
+        o, cursor = self.contract.order, self.contract.cursor
+        rows = self.contract.select(self.source())
+        rows = rows.where(F.col(cursor[0]).isNotNull() & keyset_predicate(cursor, o(top), "<=") & keyset_predicate(cursor, o(checkpoint), ">"))
+        place = f"{self.root}/staged/{self.contract.name}"
+        rows.orderBy(*cursor).withColumn(PLACE, F.monotonically_increasing_id()).write.mode("overwrite").parquet(place)
+        got = self.spark.read.parquet(place)
+        # sorted parts are numbered in order; a part's first place is the number of rows before it
+        part, inside = F.shiftright(F.col(PLACE), 33), F.col(PLACE).bitwiseAND(F.lit((1 << 33) - 1))
+        sizes = got.groupBy(part.alias("part")).count().orderBy("part").collect()  # a row a part
+        starts, before = [], 0
+        for r in sizes:
+            starts.append((r["part"], before))
+            before += r["count"]
+        ahead = F.broadcast(self.spark.createDataFrame(starts, "part long, ahead long"))
+        number = F.floor((F.col("ahead") + inside) / self.batch_size).alias(BATCH)
+        return got.join(ahead, part == F.col("part")).select(*self.contract.columns, number)
+
     def run(self, run_id: str) -> dict:
         """All batches up to the largest cursor at the start. Returns the status and the number of batches."""
         checkpoint = self.state.checkpoint()
@@ -172,19 +196,66 @@ class Ingestion:
         n, safe = 0, safe_run_id(run_id)
         taken = [int(x.rsplit("_", 1)[1]) for d in Files(self.spark).names(f"{self.bronze}/{self.contract.name}") for x in Files(self.spark).names(f"{self.bronze}/{self.contract.name}/{d}") if x.startswith(f"extraction_id={safe}_batch_")]
         number = max(taken, default=0)
-        while order(checkpoint) < order(top):
-            self.fail("read")
-            rows = self.batch(checkpoint, top, self.batch_size).cache()
-            try:
-                end = self.upper(rows)
-                if end is None or order(end) <= order(checkpoint):
-                    raise StateError("a batch must move the cursor")
-                n, number = n + 1, number + 1
-                p = Pending(run_id, top, checkpoint, end, f"{safe}_batch_{number:06d}", self.now().strftime(TIME_FORMAT), self.batch_size)
-                self.fail("pending")
-                self.state.save_pending(p)
-                self.finish(rows, p)
-            finally:
-                rows.unpersist()
+        self.fail("read")
+        staged = self.staged(checkpoint, top)
+        cursor = self.contract.cursor
+        ends = staged.groupBy(BATCH).agg(F.max(F.struct(*cursor)).alias("end")).orderBy(BATCH).select("end.*")
+        for r in ends.toLocalIterator():  # a row a batch, streamed
+            end = self.mark_of(r)
+            if order(end) <= order(checkpoint):
+                raise StateError("a batch must move the cursor")
+            rows = staged.where(keyset_predicate(cursor, order(checkpoint), ">") & keyset_predicate(cursor, order(end), "<=")).drop(BATCH)
+            n, number = n + 1, number + 1
+            p = Pending(run_id, top, checkpoint, end, f"{safe}_batch_{number:06d}", self.now().strftime(TIME_FORMAT), self.batch_size)
+            self.fail("pending")
+            self.state.save_pending(p)
+            self.finish(rows, p)
             checkpoint = end
+        if checkpoint != top:
+            raise StateError("the batches don't reach the upper bound of the run")
+        Files(self.spark).delete(f"{self.root}/staged/{self.contract.name}")
         return {"status": "run_completed", "batches": n, "replayed": replayed}
+
+
+def bronze_checks(spark: SparkSession, contract: TableContract, source: DataFrame, bronze: str, state: str, ignored: str = "test_") -> DataFrame:
+    """(check_name, failures) of a raw table against its source and control state, end to end.
+
+    Folders are those of dates and extractions, metadata says where rows come from, every key of the source is there, and the
+    checkpoint, the largest raw cursor and the source's agree, with no batch pending. Extractions whose id begins with `ignored` don't count.
+    """
+    control, keys = State(spark, contract, state), contract.key
+    path = F.col("_metadata.file_path")
+    rows = spark.read.schema(contract.bronze_schema()).option("recursiveFileLookup", True).parquet(f"{bronze}/{contract.name}").withColumn("__path", path)
+    folder = rf"/{contract.name}/ingestion_date=([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})/extraction_id=([^/]+)/[^/]+\.parquet$"
+    rows = rows.withColumns({"__id": F.regexp_extract("__path", folder, 2), "__date": F.regexp_extract("__path", folder, 1)}).where(~F.col("__id").startswith(ignored))
+    upper = lambda df: df.where(F.col(contract.watermark).isNotNull()).agg(F.max(F.struct(*contract.cursor)).alias("w"))
+    want = source.agg(F.count(F.lit(1)).alias("source_rows")).join(upper(contract.select(source)).withColumnRenamed("w", "source_top"))
+    got = rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct(F.struct(*keys)).alias("keys"), F.max(F.struct(*contract.cursor)).alias("top"), F.count_if(F.col("__id") == "").alias("wrong_path"),
+        F.count_if((F.col("__id") != "") & (F.col("__date") != F.date_format("_ingested_at", "yyyy-MM-dd"))).alias("wrong_date"), F.count_if(~F.col("_source_table").eqNullSafe(F.lit(contract.name))).alias("wrong_source_table"),
+        F.count_if(~F.col("_ingestion_id").eqNullSafe(F.col("__id"))).alias("wrong_ingestion_id"), F.count_if(~F.col("_ingestion_method").eqNullSafe(F.lit(METHOD))).alias("wrong_method"),
+        F.count_if(F.col("_ingested_at").isNull()).alias("null_ingested_at"), F.count_if(F.col("_source_updated_at").isNull()).alias("null_source_updated_at"),
+        F.count_if(~F.col("_source_updated_at").eqNullSafe(F.col(contract.watermark))).alias("other_updated_at"), F.count_if(any_null(keys)).alias("null_key"),
+    )
+    mark = control.checkpoint()
+    at = F.struct(*[F.lit(mark[c]).cast(TYPES[contract.columns[c]]).alias(c) for c in contract.cursor])
+    both = got.join(want).select(
+        *[c for c in got.columns if c not in ("rows", "keys", "top")], (F.col("rows") == 0).cast("long").alias("no_rows"), F.abs(F.col("keys") - F.col("source_rows")).alias("missing_keys"),
+        (~F.col("top").eqNullSafe(F.col("source_top"))).cast("long").alias("top_is_not_source_upper"), (~at.eqNullSafe(F.col("source_top"))).cast("long").alias("checkpoint_is_not_source_upper"),
+        F.lit(int(control.pending() is not None)).cast("long").alias("batch_pending"),
+    )
+    return both.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(n).alias("failures")) for n in both.columns])).alias("c")).select("c.*")
+
+
+def type_checks(spark: SparkSession, contract: TableContract, bronze: str) -> DataFrame:
+    """(check_name, failures): files whose own types aren't those of the contract (microseconds, never nanoseconds; a column of nulls keeps its type)."""
+    files = Files(spark).walk_files(f"{bronze}/{contract.name}", ".parquet")
+    bad = dict.fromkeys(contract.bronze_schema().names, 0)
+    for f in files:  # footers only
+        try:
+            types = {x.name: x.dataType for x in spark.read.parquet(f).schema}
+        except Exception:  # noqa: BLE001  (a type that Spark refuses, as nanoseconds)
+            types = {}
+        for field in contract.bronze_schema():
+            bad[field.name] += types.get(field.name) != field.dataType
+    return spark.createDataFrame([(f"type_{c}", n) for c, n in bad.items()], "check_name string, failures long")

@@ -24,10 +24,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_clicks(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Four strings for each line, without a header; another number of fields is an error, empty fields stay empty strings."""
-    part = F.split("value", ",")
-    bad = F.when(F.size(part) != len(RAW), F.raise_error(F.concat(F.lit("not four fields: "), "value")))
-    return spark.read.text(path).where("value <> ''").withColumn("_bad", bad).where(F.col("_bad").isNull()).select(*[F.get(part, F.lit(i)).alias(c) for i, c in enumerate(RAW)])
+    """Four strings for each record, without a header, quoted where need be; another number of fields is an error, empty fields stay empty strings."""
+    # a column more than a record may have: what it takes shows records that are too long, nulls show those that are too short
+    schema = ", ".join(f"{c} string" for c in (*RAW, "_more"))
+    options = {"mode": "PERMISSIVE", "escape": '"', "nullValue": "\u0000", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df = spark.read.schema(schema).options(**options).csv(path)
+    bad = F.col(RAW[-1]).isNull() | F.col("_more").isNotNull()
+    checked = F.when(bad, F.raise_error(F.concat(F.lit("not four fields: "), F.concat_ws(",", *RAW, "_more"))).cast("string")).otherwise(F.col(RAW[0]))
+    return df.select(checked.alias(RAW[0]), *RAW[1:])
 
 
 def read_responses(spark: SparkSession, units: Sequence[str]) -> DataFrame:
@@ -41,11 +45,36 @@ def read_metadata(spark: SparkSession, units: Sequence[str]) -> DataFrame:
     return spark.read.schema(METADATA_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json([f"{u}/metadata.json" for u in units])
 
 
-def discover(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
-    """(relative_path, etag, size, last_modified) of the files below a folder, by path; the etag is that of the contents."""
+#: Files above this size aren't read whole for their etag; size and time of change stand for their contents.
+LARGEST_HASHED = 1 << 30
+
+
+def listed(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
+    """(path, relative_path, size, last_modified) of the files below a folder; no contents are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     base = root.rstrip("/").split("://")[-1].lstrip("/") + "/"
-    return files.select(F.substring_index("path", base, -1).alias("relative_path"), F.md5("content").alias("etag"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified")).orderBy("relative_path")
+    return files.select("path", F.substring_index("path", base, -1).alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
+
+
+def discover(spark: SparkSession, root: str, pattern: str = "*.csv", known: DataFrame | None = None) -> DataFrame:
+    """(relative_path, etag, size, last_modified) of the files below a folder, by path; the etag is that of the contents.
+
+    known: (relative_path, size, last_modified, etag) of files seen before. Where size and time of change are the same, the
+    known etag stands and the file isn't read.
+    """
+    found = listed(spark, root, pattern)
+    if known is not None:
+        found = found.join(known.select("relative_path", "size", "last_modified", F.col("etag").alias("known_etag")), ["relative_path", "size", "last_modified"], "left")
+    else:
+        found = found.withColumn("known_etag", F.lit(None).cast("string"))
+    large = F.md5(F.concat_ws(":", F.col("size").cast("string"), F.unix_micros("last_modified").cast("string")).cast("binary"))
+    told = found.where(F.col("known_etag").isNotNull() | (F.col("size") > LARGEST_HASHED)).select("relative_path", F.coalesce("known_etag", large).alias("etag"), "size", "last_modified")
+    unread = [r["path"] for r in found.where(F.col("known_etag").isNull() & (F.col("size") <= LARGEST_HASHED)).select("path").collect()]  # a row a new file
+    if not unread:
+        return told.orderBy("relative_path")
+    base = root.rstrip("/").split("://")[-1].lstrip("/") + "/"
+    read = spark.read.format("binaryFile").load(unread).select(F.substring_index("path", base, -1).alias("relative_path"), F.md5("content").alias("etag"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
+    return told.unionByName(read).orderBy("relative_path")
 
 
 def committed_units(spark: SparkSession, root: str) -> list[str]:
@@ -55,7 +84,20 @@ def committed_units(spark: SparkSession, root: str) -> list[str]:
 
 def read_seed(spark: SparkSession, contract: TableContract, path: str, **constants: str) -> DataFrame:
     """A CSV with a header as a source table; columns that the file lacks come from `constants`."""
-    df = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+    df = spark.read.option("header", True).option("mode", "FAILFAST").option("multiLine", True).option("escape", '"').csv(path)
     for c, v in constants.items():
         df = df.withColumn(c, F.lit(v))
     return df.select(*[F.col(c).cast(TYPES[t]).alias(c) if c in df.columns else F.lit(None).cast(TYPES[t]).alias(c) for c, t in contract.columns.items()])
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, str], partition: tuple[str, int, int, int] | None = None) -> DataFrame:
+    """A table or `(select ...) q` of a database whose driver is on the class path. partition: (column, lowest, highest, parts)."""
+    if partition is None:
+        return spark.read.jdbc(url, table, properties=properties)
+    column, low, high, parts = partition
+    return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=properties)
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str], parts: int = 4, batch: int = 5000, mode: str = "overwrite") -> None:
+    """Writes a table over at most `parts` connections."""
+    df.coalesce(parts).write.option("batchsize", batch).jdbc(url, table, mode=mode, properties=properties)

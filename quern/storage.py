@@ -11,7 +11,7 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import versions as R
@@ -64,6 +64,15 @@ class Files:
     def delete(self, p: str) -> None:
         self.fs(p).delete(self.path(p), True)
 
+    def size(self, p: str) -> int:
+        return self.fs(p).getFileStatus(self.path(p)).getLen()
+
+    def copy(self, source: str, target: str) -> None:
+        """The whole file or none of it."""
+        temp = f"{target}.{uuid.uuid4().hex}.tmp"
+        self.jvm.org.apache.hadoop.fs.FileUtil.copy(self.fs(source), self.path(source), self.fs(target), self.path(temp), False, self.conf)
+        self.fs(target).rename(self.path(temp), self.path(target))
+
     def names(self, p: str) -> list[str]:
         if not self.exists(p):
             return []
@@ -80,6 +89,15 @@ class Files:
                 out.append(f.getParent().toString())
         return sorted(out)
 
+    def walk_files(self, p: str, ending: str) -> list[str]:
+        """Files below p whose name ends so, sorted."""
+        out, it = [], self.fs(p).listFiles(self.path(p), True)
+        while it.hasNext():
+            f = it.next().getPath().toString()
+            if f.endswith(ending):
+                out.append(f)
+        return sorted(out)
+
 
 class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -104,11 +122,17 @@ class SnapshotTable:
 
     def staged(self, df: DataFrame, partition_by: Sequence[str] = ()) -> str:
         part = f"data-{uuid.uuid4().hex}"
-        df.write.partitionBy(*partition_by).parquet(f"{self.path}/{part}")
+        df.write.option("maxRecordsPerFile", 500_000).partitionBy(*partition_by).parquet(f"{self.path}/{part}")
         return part
 
-    def point(self, parts: Sequence[str], schema: str) -> None:
-        self.files.write(self.pointer, json.dumps({"version": self.version() + 1, "parts": list(parts), "schema": schema}))
+    def point(self, parts: Sequence[str], schema: str, **more: object) -> None:
+        self.files.write(self.pointer, json.dumps({"version": self.version() + 1, "parts": list(parts), "schema": schema} | more))
+
+    def staged_buckets(self, df: DataFrame, keys: Sequence[str], buckets: int) -> list[str]:
+        """Parts by bucket of the key, each a folder of its own."""
+        rows = df.withColumn(BUCKET, bucket_of(keys, buckets))
+        part = self.staged(rows.repartition(BUCKET), [BUCKET])
+        return [f"{part}/{n}" for n in self.files.names(f"{self.path}/{part}") if n.startswith(f"{BUCKET}=")]
 
     def overwrite(self, df: DataFrame, check: Callable[[DataFrame], None] | None = None) -> None:
         """A new version; with a check it only becomes current if that passes on what was written."""
@@ -121,46 +145,94 @@ class SnapshotTable:
             raise
         self.point([part], schema)
 
-    def append(self, df: DataFrame) -> None:
+    def append(self, df: DataFrame, check: Callable[[DataFrame], None] | None = None, partition_by: Sequence[str] = ()) -> None:
+        """Another part; with a check it only becomes current if that passes on what was written. partition_by: columns that are kept in the files too."""
+        if check or partition_by:
+            return self.append_checked(df, check, partition_by)
         if not self.exists():
             return self.overwrite(df)
         state = self.state()
         have = self.spark.createDataFrame([], state["schema"]).columns
+        if "buckets" in state:
+            raise ValueError(f"{self.path} is dealt by key; merge into it")
         self.point([*state["parts"], self.staged(df.select(*have))], state["schema"])
         return None
 
-    def merge(self, source: DataFrame, keys: Sequence[str], watermark: str = "updated_at", ingested: str = "_ingested_at") -> int:
-        """Applies what is new or newer; returns the number of rows applied, 0 leaving the version as it is."""
+    def append_checked(self, df: DataFrame, check: Callable[[DataFrame], None] | None, partition_by: Sequence[str]) -> None:
+        state = self.state() if self.exists() else {"parts": [], "schema": schema_of(df)}
+        have = self.spark.createDataFrame([], state["schema"]).columns
+        rows = df.select(*have).withColumns({f"{PARTITION}{c}": F.col(c) for c in partition_by})
+        part = self.staged(rows, [f"{PARTITION}{c}" for c in partition_by])
+        try:
+            if check:
+                check(self.spark.read.schema(state["schema"]).parquet(f"{self.path}/{part}"))
+        except Exception:
+            self.files.delete(f"{self.path}/{part}")
+            raise
+        self.point([*state["parts"], part], state["schema"])
+
+    def merge(self, source: DataFrame, keys: Sequence[str], watermark: str = "updated_at", ingested: str = "_ingested_at", buckets: int = 1) -> int:
+        """Applies what is new or newer; returns the number of rows applied, 0 leaving the version as it is.
+
+        The first merge deals the table out by `buckets` of the key. Later ones read and write only buckets that the source meets.
+        """
         if not self.exists():
-            self.overwrite(source)
+            self.point(self.staged_buckets(source, keys, buckets), schema_of(source), buckets=buckets, keys=list(keys))
             return self.read().count()
+        state = self.state()
+        dealt = state.get("keys") == list(keys)  # else the whole table is read, and dealt out when something changes
+        buckets = state["buckets"] if dealt else buckets
+        met_by = lambda df: {r[0] for r in df.select(bucket_of(keys, buckets)).distinct().collect()}  # noqa: E731  (at most as many as buckets)
         applied = SnapshotTable(self.spark, f"{self.path}/_changes-{uuid.uuid4().hex}")
         try:
-            applied.overwrite(R.changes(source, self.read(), keys, watermark, ingested))
+            applied.overwrite(R.changes(source, self.read_buckets(met_by(source)) if dealt else self.read(), keys, watermark, ingested))
             n = applied.read().count()
             if not applied.read().groupBy(*keys).count().where("count > 1").isEmpty():
                 raise QualityError("several source rows for a key")
             if n:
-                self.overwrite(R.merged(self.read(), applied.read(), keys))
+                met = met_by(applied.read()) if dealt else set(range(buckets))
+                old = self.read_buckets(met) if dealt else self.read()
+                untouched = [p for p in state["parts"] if bucket_in(p) not in met] if dealt else []
+                new = self.staged_buckets(R.merged(old, applied.read(), keys), keys, buckets)
+                self.point(untouched + new, state["schema"], buckets=buckets, keys=list(keys))
             return n
         finally:
             self.files.delete(applied.path)
 
+    def read_buckets(self, buckets: set[int]) -> DataFrame:
+        state = self.state()
+        parts = [f"{self.path}/{p}" for p in state["parts"] if bucket_in(p) in buckets]
+        return self.spark.read.schema(state["schema"]).parquet(*parts) if parts else self.spark.createDataFrame([], state["schema"])
+
     def insert_new(self, source: DataFrame, keys: Sequence[str]) -> None:
         """Appends the rows whose key is not there yet."""
         if not self.exists():
             return self.overwrite(source.dropDuplicates(list(keys)))
+        if "buckets" in self.state():
+            self.merge(R.insert_new(self.read(), source, keys), keys)
+            return None
         return self.append(R.insert_new(self.read(), source, keys))
 
     def vacuum(self) -> int:
         """Removes the folders of older versions; not while something reads them."""
-        keep = set(self.state()["parts"])
+        keep = {p.split("/")[0] for p in self.state()["parts"]}
         old = [n for n in self.files.names(self.path) if n.startswith("data-") and n not in keep]
         for n in old:
             self.files.delete(f"{self.path}/{n}")
         return len(old)
 
 
+BUCKET, PARTITION = "__bucket", "part_"
+
+
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def bucket_in(part: str) -> int | None:
+    return int(part.rsplit("=", 1)[1]) if f"/{BUCKET}=" in part else None
+
+
 def schema_of(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 

@@ -44,6 +44,25 @@ def stg_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(item_versions(spark, sf_dir), ITEM_KEY, ITEM_ORDER, clustered_by="order_id")
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest version of each line with the first and last shipping date of all its versions, in one pass over the lines.
+
+    The rows are dealt by order, so that what follows for each order needs no shuffle.
+    """
+    v = item_versions(spark, sf_dir).repartition("order_id")
+    rest = [c for c in v.columns if c not in (*ITEM_KEY, *ITEM_ORDER)]
+    best = F.max(F.struct(*ITEM_ORDER, *rest)).alias("l")
+    return v.groupBy(*ITEM_KEY).agg(best, F.min("shipping_limit_date").alias("first_ship"), F.max("shipping_limit_date").alias("last_ship")).select(*ITEM_KEY, "l.*", "first_ship", "last_ship")
+
+
+def order_measures(lines: DataFrame) -> DataFrame:
+    """Measures of items and payments and shipping dates of each order; a line is a payment too."""
+    from quern.plans.marts import item_measures, payment_measures
+
+    both = lines.withColumns({"payment_value": F.col("price"), "payment_installments": F.col("order_item_id"), "payment_type": F.col("return_flag")})
+    return both.groupBy("order_id").agg(*item_measures(), *payment_measures(), F.min("first_ship").alias("first_ship"), F.max("last_ship").alias("last_ship"))
+
+
 def stg_order_payments(items: DataFrame) -> DataFrame:
     return items.select(
         "order_id", F.col("order_item_id").alias("payment_sequential"), F.col("return_flag").alias("payment_type"), F.col("order_item_id").alias("payment_installments"), F.col("price").alias("payment_value"), "created_at", "updated_at"
@@ -51,17 +70,35 @@ def stg_order_payments(items: DataFrame) -> DataFrame:
 
 
 def stg_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders")
-    shipped = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
-    bought = F.col("o_orderdate")
-    return o.join(shipped, "o_orderkey", "left").select(
-        F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), warehouse_of(F.col("o_orderkey")).alias("warehouse_id"), F.col("o_orderstatus").alias("order_status"),
-        bought.alias("order_purchase_timestamp"), F.when(F.col("o_orderstatus") != "P", bought + F.expr("interval 1 hour")).alias("order_approved_at"),
-        F.when(F.col("o_orderstatus") == "F", F.col("first_ship")).alias("order_delivered_carrier_date"), F.when(F.col("o_orderstatus") == "F", F.col("last_ship")).alias("order_delivered_customer_date"),
-        (bought + F.expr("interval 30 days")).alias("order_estimated_delivery_date"), F.lit("seed").alias("source_system"), bought.alias("created_at"), bought.alias("updated_at"),
+    shipped = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
+    return orders_with(spark, sf_dir, shipped).select(*ORDER_COLUMNS)
+
+
+ORDER_COLUMNS = (
+    "order_id", "customer_id", "warehouse_id", "order_status", "order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date", "order_estimated_delivery_date",
+    "source_system", "created_at", "updated_at",
+)
+
+
+def orders_with(spark: SparkSession, sf_dir: str, shipped: DataFrame) -> DataFrame:
+    """Orders with what is known of each from `shipped`: (order_id, first_ship, last_ship, ...)."""
+    o = read(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "order_id")
+    bought, status = F.col("o_orderdate"), F.col("o_orderstatus")
+    more = [c for c in shipped.columns if c not in ("order_id", "first_ship", "last_ship")]
+    return o.join(shipped, "order_id", "left").select(
+        "order_id", F.col("o_custkey").alias("customer_id"), warehouse_of(F.col("order_id")).alias("warehouse_id"), status.alias("order_status"),
+        bought.alias("order_purchase_timestamp"), F.when(status != "P", bought + F.expr("interval 1 hour")).alias("order_approved_at"),
+        F.when(status == "F", F.col("first_ship")).alias("order_delivered_carrier_date"), F.when(status == "F", F.col("last_ship")).alias("order_delivered_customer_date"),
+        (bought + F.expr("interval 30 days")).alias("order_estimated_delivery_date"), F.lit("seed").alias("source_system"), bought.alias("created_at"), bought.alias("updated_at"), *more,
     )
 
 
+def stg_order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A review for each first line of an order; a review may name several orders, and lines repeat."""
+    li = read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    return li.select((F.col("l_orderkey") % 5000).alias("review_id"), F.col("l_orderkey").alias("order_id"), (F.col("l_partkey") % 5 + 1).cast("int").alias("review_score"))
+
+
 def stg_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     place = F.broadcast(n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name"))
