@@ -682,4 +682,4 @@ def stream_ingest(spark, d):
     return daily_counts_of_stream(spark, d)
 
 
-from quern import validations  # noqa: E402, F401  (they add their queries)
+from quern import protocols, validations  # noqa: E402, F401  (they add their queries)
