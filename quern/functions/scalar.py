@@ -66,6 +66,11 @@ def checked_identifier(name: str) -> str:
     return name
 
 
+def quoted(name: str, mark: str = "`") -> str:
+    """An identifier quoted for SQL, whatever it holds; dots are part of it."""
+    return mark + name.replace(mark, mark * 2) + mark
+
+
 def request_id(*parts: str) -> str:
     """The same id for the same request, however often it is made."""
     return str(uuid.uuid5(uuid.NAMESPACE_URL, ":".join(parts)))

@@ -32,21 +32,64 @@ def next_of_created(draw: Column) -> Column:
     return pick(draw, NEXT_OF_CREATED)
 
 
-def generate_orders(spark: SparkSession, n: int, products: DataFrame, customers: int, at: str, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(orders, items, payments) of n new orders. products: (product_id, price), looked up by number, not collected."""
+def latest_prices(items: DataFrame) -> DataFrame:
+    """(product_id, price): the price of each product's latest line; nulls have no price."""
+    from quern.operators.versions import first_of_group
+
+    return first_of_group(items.where("price is not null"), "product_id", "updated_at", ["price", "order_id"]).select("product_id", "price")
+
+
+def numbered(rows: DataFrame, key: str, parts: int = 64) -> tuple[DataFrame, int]:
+    """Rows with gapless numbers from 0 in the order of (part of the key's hash, key), and how many there are. No task orders more than a part."""
     from pyspark.sql import Window as W
 
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(parts)))
+    ahead, starts = 0, []
+    for r in dealt.groupBy("__part").count().orderBy("__part").collect():  # a row a part
+        starts.append((r["__part"], ahead))
+        ahead += r["count"]
+    before = F.broadcast(rows.sparkSession.createDataFrame(starts, "__part long, __ahead long"))
+    inside = F.row_number().over(W.partitionBy("__part").orderBy(key)) - 1
+    return dealt.withColumn("__inside", inside).join(before, "__part").withColumn("number", F.col("__ahead") + F.col("__inside")).drop("__part", "__ahead", "__inside"), ahead
+
+
+def generate_orders(spark: SparkSession, n: int, products: DataFrame, customers: int, at: str, seed: int = 1, stock: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(orders, items, payments) of n new orders. products: (product_id, price), looked up by number, not collected.
+
+    stock: (warehouse_id, product_id, quantity_available); with it each order has a warehouse and only lines that the
+    warehouse can serve, the first orders being served first (`decremented` gives what is left).
+    """
     ts = F.lit(at).cast("timestamp_ntz")
     ids = spark.range(n).withColumn("order_id", F.concat(F.lit(f"sim-{seed}-"), F.col("id")))
-    orders = ids.select("order_id", (F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(customers))).alias("customer_id"), F.lit("created").alias("order_status"), ts.alias("order_purchase_timestamp"), F.lit("simulator").alias("source_system"), ts.alias("created_at"), ts.alias("updated_at"))
-    total = products.count()
-    numbered = products.withColumn("number", F.row_number().over(W.orderBy("product_id")) - 1)
+    orders = ids.select("id", "order_id", (F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(customers))).alias("customer_id"), F.lit("created").alias("order_status"), ts.alias("order_purchase_timestamp"), F.lit("simulator").alias("source_system"), ts.alias("created_at"), ts.alias("updated_at"))
+    with_number, total = numbered(products, "product_id")
     lines = ids.withColumn("order_item_id", F.explode(F.sequence(F.lit(1), pick(percent(F.col("id"), seed=seed), PRODUCT_COUNTS))))
-    lines = lines.withColumn("number", F.pmod(F.xxhash64("id", F.lit(seed + 2)) + F.col("order_item_id") * 7, F.lit(total)))
-    items = lines.join(numbered, "number").select("order_id", "order_item_id", "product_id", (F.pmod(F.xxhash64("id", "order_item_id", F.lit(seed + 3)), F.lit(3)) + 1).cast("int").alias("quantity"), "price", (F.col("price") * F.lit("0.10").cast("decimal(3,2)")).cast("decimal(10,2)").alias("freight_value"))
+    lines = lines.withColumn("number", F.pmod(F.xxhash64("id", F.lit(seed + 2)) + F.col("order_item_id") * 7, F.lit(max(1, total))))
+    items = lines.join(with_number, "number").select("id", "order_id", "order_item_id", "product_id", (F.pmod(F.xxhash64("id", "order_item_id", F.lit(seed + 3)), F.lit(3)) + 1).cast("int").alias("quantity"), "price", (F.col("price") * F.lit("0.10").cast("decimal(3,2)")).cast("decimal(10,2)").alias("freight_value"))
+    if stock is not None:
+        items = served(items, stock, seed)
+        orders = orders.join(items.groupBy("order_id").agg(F.min("warehouse_id").alias("warehouse_id")), "order_id")
     value = F.sum(F.col("price") * F.col("quantity") + F.col("freight_value")).cast("decimal(10,2)")
     payments = items.groupBy("order_id").agg(value.alias("payment_value")).select("order_id", F.lit(1).alias("payment_sequential"), F.element_at(F.array(*map(F.lit, PAYMENT_TYPES)), (F.pmod(F.xxhash64("order_id"), F.lit(4)) + 1).cast("int")).alias("payment_type"), F.lit(1).alias("payment_installments"), "payment_value")
-    return orders, items, payments
+    return orders.drop("id"), items.drop("id"), payments
+
+
+def served(items: DataFrame, stock: DataFrame, seed: int) -> DataFrame:
+    """The lines that the order's warehouse can serve, in order of the orders; a running sum for each warehouse and product."""
+    from pyspark.sql import Window as W
+
+    places = stock.select("warehouse_id").distinct().withColumn("draw", F.xxhash64("warehouse_id", F.lit(seed)))
+    homes = F.broadcast(places.agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", "warehouse_id"))), lambda x: x["warehouse_id"]).alias("homes")))  # a name for each warehouse
+    at = items.join(homes).withColumn("warehouse_id", F.element_at("homes", (F.pmod(F.xxhash64("id", F.lit(seed + 4)), F.size("homes")) + 1).cast("int"))).drop("homes")
+    so_far = F.sum("quantity").over(W.partitionBy("warehouse_id", "product_id").orderBy("id", "order_item_id").rowsBetween(W.unboundedPreceding, 0))
+    return at.join(stock, ["warehouse_id", "product_id"]).withColumn("so_far", so_far).where("so_far <= quantity_available").drop("so_far", "quantity_available")
+
+
+def decremented(stock: DataFrame, items: DataFrame) -> DataFrame:
+    """What is left of the stock after these lines; the guard of `withdrawn` holds, so nothing falls below 0."""
+    from quern.operators.inventory import withdrawn
+
+    return withdrawn(stock, items).drop("refused")
 
 
 def advance(orders: DataFrame, now: str, seed: int = 1) -> DataFrame:

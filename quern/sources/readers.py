@@ -25,13 +25,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_clicks(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Four strings for each record, without a header, quoted where need be; another number of fields is an error, empty fields stay empty strings."""
-    # a column more than a record may have: what it takes shows records that are too long, nulls show those that are too short
-    schema = ", ".join(f"{c} string" for c in (*RAW, "_more"))
-    options = {"mode": "PERMISSIVE", "escape": '"', "nullValue": "\u0000", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df = spark.read.schema(schema).options(**options).csv(path)
-    bad = F.col(RAW[-1]).isNull() | F.col("_more").isNotNull()
-    checked = F.when(bad, F.raise_error(F.concat(F.lit("not four fields: "), F.concat_ws(",", *RAW, "_more"))).cast("string")).otherwise(F.col(RAW[0]))
-    return df.select(checked.alias(RAW[0]), *RAW[1:])
+    schema = ", ".join(f"{c} string" for c in (*RAW, "_bad"))
+    df = spark.read.schema(schema).options(mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", escape='"').csv(path)
+    checked = F.when(F.col("_bad").isNotNull(), F.raise_error(F.concat(F.lit("not four fields: "), "_bad")).cast("string")).otherwise(F.coalesce(RAW[0], F.lit("")))
+    return df.select(checked.alias(RAW[0]), *[F.coalesce(c, F.lit("")).alias(c) for c in RAW[1:]])
 
 
 def read_responses(spark: SparkSession, units: Sequence[str]) -> DataFrame:

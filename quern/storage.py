@@ -118,7 +118,11 @@ class SnapshotTable:
 
     def read(self) -> DataFrame:
         state = self.state()
-        return self.spark.read.schema(state["schema"]).parquet(*[f"{self.path}/{p}" for p in state["parts"]])
+        return self.of_parts(state["parts"], state["schema"])
+
+    def of_parts(self, parts: Sequence[str], schema: str) -> DataFrame:
+        """Columns are those in the files; folder names become none. Files hold one value of a partition column, so their statistics prune."""
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*[f"{self.path}/{p}" for p in parts])
 
     def staged(self, df: DataFrame, partition_by: Sequence[str] = ()) -> str:
         part = f"data-{uuid.uuid4().hex}"
@@ -139,7 +143,7 @@ class SnapshotTable:
         part, schema = self.staged(df), schema_of(df)
         try:
             if check:
-                check(self.spark.read.schema(schema).parquet(f"{self.path}/{part}"))
+                check(self.of_parts([part], schema))
         except Exception:
             self.files.delete(f"{self.path}/{part}")
             raise
@@ -165,7 +169,7 @@ class SnapshotTable:
         part = self.staged(rows, [f"{PARTITION}{c}" for c in partition_by])
         try:
             if check:
-                check(self.spark.read.schema(state["schema"]).parquet(f"{self.path}/{part}"))
+                check(self.of_parts([part], state["schema"]))
         except Exception:
             self.files.delete(f"{self.path}/{part}")
             raise
@@ -201,8 +205,8 @@ class SnapshotTable:
 
     def read_buckets(self, buckets: set[int]) -> DataFrame:
         state = self.state()
-        parts = [f"{self.path}/{p}" for p in state["parts"] if bucket_in(p) in buckets]
-        return self.spark.read.schema(state["schema"]).parquet(*parts) if parts else self.spark.createDataFrame([], state["schema"])
+        parts = [p for p in state["parts"] if bucket_in(p) in buckets]
+        return self.of_parts(parts, state["schema"]) if parts else self.spark.createDataFrame([], state["schema"])
 
     def insert_new(self, source: DataFrame, keys: Sequence[str]) -> None:
         """Appends the rows whose key is not there yet."""
