@@ -597,6 +597,56 @@ def status_funnel(spark, d):
     return V.read(spark, d, "orders").select(next_of_created(draw).alias("next_status")).groupBy("next_status").agg(F.count(F.lit(1)).alias("orders"))
 
 
+SIMULATED = """sim AS (SELECT o_orderkey AS order_id, ['created', 'approved', 'processing', 'shipped', 'delivered'][CAST(o_orderkey % 5 AS INTEGER) + 1] AS order_status, o_orderdate AS updated_at, (o_orderkey * 7919) % 100 AS draw FROM orders WHERE o_orderkey % 3 <> 0),
+ picked AS (SELECT *, CASE order_status WHEN 'created' THEN CASE WHEN draw < 90 THEN 'approved' WHEN draw < 98 THEN 'canceled' ELSE 'unavailable' END WHEN 'approved' THEN 'processing' WHEN 'processing' THEN 'shipped' ELSE 'delivered' END AS new_status FROM sim
+  WHERE updated_at <= TIMESTAMP '1996-02-01' - CASE order_status WHEN 'created' THEN INTERVAL 2 MINUTE WHEN 'approved' THEN INTERVAL 15 MINUTE WHEN 'processing' THEN INTERVAL 2 HOUR WHEN 'shipped' THEN INTERVAL 1 DAY ELSE INTERVAL 1000 YEAR END ORDER BY updated_at, order_id LIMIT 1000)"""
+
+
+def simulated(spark, d):
+    """Orders in every status, two of three from the simulator."""
+    k = F.col("o_orderkey")
+    status = F.element_at(F.array(*map(F.lit, ("created", "approved", "processing", "shipped", "delivered"))), (k % 5 + 1).cast("int"))
+    none = F.lit(None).cast("timestamp_ntz")
+    return V.read(spark, d, "orders").select(k.alias("order_id"), status.alias("order_status"), F.col("o_orderdate").alias("updated_at"), F.when(k % 3 != 0, "simulator").otherwise("seed").alias("source_system"), none.alias("order_approved_at"), none.alias("order_delivered_carrier_date"), none.alias("order_delivered_customer_date"))
+
+
+AT, CYCLE = "1996-02-01", 1000
+
+
+@query("status_cycle", f"""WITH {SIMULATED} SELECT order_id, new_status AS order_status, order_status AS old_status, TIMESTAMP '{AT}' AS updated_at, CASE WHEN new_status = 'approved' THEN TIMESTAMP '{AT}' END AS order_approved_at,
+ CASE WHEN new_status = 'shipped' THEN TIMESTAMP '{AT}' END AS order_delivered_carrier_date, CASE WHEN new_status = 'delivered' THEN TIMESTAMP '{AT}' END AS order_delivered_customer_date FROM picked""")
+def status_cycle(spark, d):
+    """The orders that a cycle of the simulator moves: the oldest that are due."""
+    from quern.simulator import cycle
+
+    return cycle(simulated(spark, d), AT, CYCLE, draw=(F.col("order_id") * 7919) % 100).drop("source_system")
+
+
+@query("status_transitions", f"WITH {SIMULATED} SELECT order_status AS old_status, new_status AS order_status, count(*) AS orders FROM picked GROUP BY 1, 2")
+def status_transitions(spark, d):
+    from quern.simulator import transitions
+
+    return transitions(status_cycle(spark, d))
+
+
+@query("status_restock", f"SELECT warehouse_id, product_id, CAST(quantity_available + coalesce(back, 0) AS INTEGER) AS quantity_available FROM stg_inventory LEFT JOIN (SELECT warehouse_id, product_id, sum(quantity) AS back FROM (SELECT l_orderkey AS order_id, l_partkey AS product_id, ['WH_HCM', 'WH_HN', 'WH_DN', 'WH_CT', 'WH_HP'][CAST(l_partkey % 5 AS INTEGER) + 1] AS warehouse_id, CAST(l_quantity AS INTEGER) AS quantity FROM lineitem) WHERE order_id IN (WITH {SIMULATED} SELECT order_id FROM picked WHERE new_status IN ('canceled', 'unavailable')) GROUP BY 1, 2) USING (warehouse_id, product_id)")
+def status_restock(spark, d):
+    """Stock with the pieces of orders that a cycle has called off."""
+    from quern.simulator import returned_stock
+
+    home = F.element_at(F.array(*[F.lit(w[0]) for w in V.WAREHOUSES]), (F.col("l_partkey") % 5 + 1).cast("int"))
+    items = V.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"), home.alias("warehouse_id"), F.col("l_quantity").cast("int").alias("quantity"))
+    return returned_stock(stock(spark, d), status_cycle(spark, d), items)
+
+
+@query("status_applied", f"WITH {SIMULATED} SELECT o_orderkey AS order_id, coalesce(new_status, ['created', 'approved', 'processing', 'shipped', 'delivered'][CAST(o_orderkey % 5 AS INTEGER) + 1]) AS order_status FROM orders LEFT JOIN picked ON order_id = o_orderkey")
+def status_applied(spark, d):
+    """All orders after a cycle."""
+    from quern.simulator import applied
+
+    return applied(simulated(spark, d), status_cycle(spark, d)).select("order_id", "order_status")
+
+
 # measures -------------------------------------------------------------------------------------------------------------
 
 

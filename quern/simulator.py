@@ -10,9 +10,12 @@ PRODUCT_COUNTS = ((1, 40), (2, 35), (3, 20), (4, 5))
 NEXT_OF_CREATED = (("approved", 90), ("canceled", 8), ("unavailable", 2))
 PAYMENT_TYPES = ("credit_card", "boleto", "voucher", "debit_card")
 # Status, the next one, and the age that an order needs for it.
-STEPS = (("approved", "processing", "interval 2 minutes"), ("processing", "shipped", "interval 15 minutes"), ("shipped", "delivered", "interval 2 hours"))
+STEPS = (("approved", "processing", "interval 15 minutes"), ("processing", "shipped", "interval 2 hours"), ("shipped", "delivered", "interval 1 day"))
 CREATED_AGE = "interval 2 minutes"
-STALE_AGE = "interval 1 day"
+# The time that an order gets with a status, statuses whose pieces go back into stock, and where simulated orders come from.
+TIME_OF = {"approved": "order_approved_at", "shipped": "order_delivered_carrier_date", "delivered": "order_delivered_customer_date"}
+RETURNED = ("canceled", "unavailable")
+SOURCE = "simulator"
 
 
 def percent(*key: Column, seed: int = 0) -> Column:
@@ -92,21 +95,59 @@ def decremented(stock: DataFrame, items: DataFrame) -> DataFrame:
     return withdrawn(stock, items).drop("refused")
 
 
-def advance(orders: DataFrame, now: str, seed: int = 1) -> DataFrame:
-    """One step of the status machine for orders that are old enough; final statuses stay."""
+def due(now: Column) -> Column:
+    """Whether an order is old enough for its next step; final statuses never are."""
+    out = F.lit(False)
+    for status, age in (("created", CREATED_AGE), *((s, a) for s, _, a in STEPS)):
+        out = out | ((F.col("order_status") == status) & (F.col("updated_at") <= now - F.expr(age)))
+    return out
+
+
+def advance(orders: DataFrame, now: str, seed: int = 1, draw: Column | None = None) -> DataFrame:
+    """One step of the status machine for orders that are old enough; final statuses stay.
+
+    draw: 0 to 99 for each order, by default from a hash of its id. A step sets `updated_at` and the time that goes with the new status.
+    """
     t = F.lit(now).cast("timestamp_ntz")
-    old = lambda age: F.col("updated_at") <= t - F.expr(age)
-    new = F.when((F.col("order_status") == "created") & old(CREATED_AGE), next_of_created(percent(F.col("order_id"), seed=seed)))
-    for status, after, age in STEPS:
-        new = new.when((F.col("order_status") == status) & old(age), F.lit(after))
-    new = new.otherwise(F.col("order_status"))
-    return orders.withColumn("__new", new).withColumn("updated_at", F.when(F.col("__new") != F.col("order_status"), t).otherwise(F.col("updated_at"))).withColumn("order_status", F.col("__new")).drop("__new")
+    new = F.when(F.col("order_status") == "created", next_of_created(percent(F.col("order_id"), seed=seed) if draw is None else draw))
+    for status, after, _ in STEPS:
+        new = new.when(F.col("order_status") == status, F.lit(after))
+    moved = orders.withColumn("__new", F.when(due(t), new))
+    times = {c: F.when(F.col("__new") == status, t).otherwise(F.col(c)) for status, c in TIME_OF.items() if c in orders.columns}
+    moved = moved.withColumns(times | {"updated_at": F.when(F.col("__new").isNotNull(), t).otherwise(F.col("updated_at"))})
+    return moved.withColumn("order_status", F.coalesce("__new", "order_status")).drop("__new")
 
 
 def oldest_due(orders: DataFrame, now: str, limit: int) -> DataFrame:
     """The orders that are due for a step, oldest first; `limit` is the size of a cycle."""
-    t = F.lit(now).cast("timestamp_ntz")
-    due = F.lit(False)
-    for status, age in (("created", CREATED_AGE), *((s, a) for s, _, a in STEPS)):
-        due = due | ((F.col("order_status") == status) & (F.col("updated_at") <= t - F.expr(age)))
-    return orders.where(due).orderBy("updated_at", "order_id").limit(limit)
+    return orders.where(due(F.lit(now).cast("timestamp_ntz"))).orderBy("updated_at", "order_id").limit(limit)
+
+
+def cycle(orders: DataFrame, now: str, limit: int, seed: int = 1, draw: Column | None = None) -> DataFrame:
+    """The simulated orders that a cycle moves, as they are afterwards, with `old_status`."""
+    picked = oldest_due(orders.where(F.col("source_system") == SOURCE), now, limit)
+    return advance(picked.withColumn("old_status", F.col("order_status")), now, seed, draw)
+
+
+def applied(orders: DataFrame, moved: DataFrame) -> DataFrame:
+    """Orders after a cycle. One whose status is no longer the one that the cycle saw is an error: two cycles took the same order."""
+    now = orders.join(moved.select("order_id", F.struct(*[c for c in moved.columns if c != "order_id"]).alias("__m")), "order_id", "left")
+    drift = F.col("__m").isNotNull() & (F.col("order_status") != F.col("__m.old_status"))
+    checked = now.withColumn("order_id", F.when(drift, F.raise_error(F.concat(F.lit("moved by another cycle: "), F.col("order_id").cast("string"))).cast(orders.schema["order_id"].dataType)).otherwise(F.col("order_id")))
+    return checked.select(*[F.col(c) if c == "order_id" or c not in moved.columns else F.when(F.col("__m").isNotNull(), F.col(f"__m.{c}")).otherwise(F.col(c)).alias(c) for c in orders.columns])
+
+
+def transitions(moved: DataFrame) -> DataFrame:
+    """(old_status, order_status, orders) of a cycle."""
+    return moved.groupBy("old_status", "order_status").agg(F.count(F.lit(1)).alias("orders"))
+
+
+def returned_stock(stock: DataFrame, moved: DataFrame, items: DataFrame) -> DataFrame:
+    """Stock with the pieces of orders that a cycle has called off. Pieces that no stock row can take are an error."""
+    from quern.operators.inventory import KEY, restocked
+
+    back = items.join(moved.where(F.col("order_status").isin(*RETURNED)).select("order_id"), "order_id", "left_semi")
+    lost = back.join(stock.select(*KEY), KEY, "left_anti").count()
+    if lost:
+        raise ValueError(f"no stock row for {lost} lines")
+    return restocked(stock, back)

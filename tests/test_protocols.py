@@ -183,6 +183,31 @@ def test_simulated_orders_take_from_stock(spark):
     assert len(due) == 7 and [r["order_id"] for r in due] == sorted(r["order_id"] for r in due)
 
 
+def test_steps_of_an_order(spark):
+    from quern import simulator as S
+
+    cols = "order_id string, order_status string, updated_at timestamp_ntz, order_approved_at timestamp_ntz, order_delivered_carrier_date timestamp_ntz, order_delivered_customer_date timestamp_ntz, source_system string"
+    at = lambda *a: datetime(2026, 1, *a)
+    orders = spark.createDataFrame([("o", "created", at(1), None, None, None, "simulator")], cols)
+    seen = []
+    for now in ("2026-01-01 00:01:59", "2026-01-01 00:02:00", "2026-01-01 00:16:59", "2026-01-01 00:17:00", "2026-01-01 02:17:00", "2026-01-02 02:16:00", "2026-01-02 02:17:00", "2027-01-01 00:00:00"):
+        moved = S.cycle(orders, now, 10, draw=F.lit(5))
+        orders = spark.createDataFrame(S.applied(orders, moved).collect(), cols)
+        seen.append(orders.first()["order_status"])
+    assert seen == ["created", "approved", "approved", "processing", "shipped", "shipped", "delivered", "delivered"]
+    r = orders.first()
+    assert (r["order_approved_at"], r["order_delivered_carrier_date"], r["order_delivered_customer_date"]) == (at(1, 0, 2), at(1, 2, 17), at(2, 2, 17))
+    moved = S.cycle(spark.createDataFrame([("o", "created", at(1), None, None, None, "simulator")], cols), "2026-01-02 00:00:00", 1, draw=F.lit(95))
+    assert moved.first()["order_status"] == "canceled" and [tuple(x) for x in S.transitions(moved).collect()] == [("created", "canceled", 1)]
+    with pytest.raises(Exception, match="another cycle"):
+        S.applied(orders, moved).collect()
+    stock = spark.createDataFrame([("A", "p", 1)], "warehouse_id string, product_id string, quantity_available int")
+    items = spark.createDataFrame([("o", "A", "p", 3)], "order_id string, warehouse_id string, product_id string, quantity int")
+    assert S.returned_stock(stock, moved, items).first()["quantity_available"] == 4
+    with pytest.raises(Exception, match="no stock row"):
+        S.returned_stock(stock.where("false"), moved, items).collect()
+
+
 def test_small_guards():
     assert quoted("a`b.c") == "`a``b.c`" and quoted('x"', '"') == '"x"""'
 
