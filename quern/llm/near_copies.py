@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ship_package, text_or_empty, written
+from .common import filter_of, may_have, ship_package, text_or_empty, written
 from .simhash import bits_of, components, hamming_links, shingle_hashes
 
 WORDS = 5
@@ -132,9 +132,11 @@ def may_reach(a: str, b: str) -> Column:
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """The pairs (a, b) whose whole sets are similar enough. Only sets of nodes that a pair names move, as far as a filter can tell."""
     pairs = written(pairs.distinct(), "pairs")
-    whole = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = may_have(sets, "node", filter_of(nodes, "node", nodes.count())).where("__may").drop("__may")
+    whole = pairs.join(named.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(named.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return written(whole.where(both * (NUM + DEN) >= NUM * (F.size("sa") + F.size("sb"))).select("a", "b"), "similar")
 
