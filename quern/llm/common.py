@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that are sent to a Python worker at once.
+ROWS = 1000
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _MADE: list[str] = []
@@ -25,7 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session, so that it need not be installed there."""
+    """Sends this package to the executors, once a session, so that it need not be installed there.
+
+    Rows also go to Python workers in batches of at most `ROWS`: the default of 10,000 is meant for numbers, not for whole texts.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parents[2]

@@ -44,7 +44,7 @@ LEAST_KNOWN = math.ceil(MATCH * LEAST_WORDS)
 BLOCK_WORDS = 200_000
 LINES = 2_000_000
 #: Words that a worker keeps, and the longest of them.
-KEPT, KEPT_LETTERS = 300_000, 48
+KEPT, KEPT_LETTERS = 100_000, 48
 EDGES = ".,;:!?\"'`()[]{}<>#$%&*|-_=+/\\~^«»“”‘’…¡¿、。，！？：；（）「」『』"
 #: Thai, Lao, Myanmar, Khmer, kana and ideographs.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")

@@ -49,9 +49,9 @@ PHRASE_SUPPORT, PHRASE_RATIO = 3, 10.0
 STARTS = range(3, 9)
 THRESHOLD = 0.3
 #: Words that a worker keeps folded, and the longest of them.
-KEPT, KEPT_LETTERS = 300_000, 48
+KEPT, KEPT_LETTERS = 100_000, 48
 #: Entries counted in a worker before they are handed on.
-COUNTED = 400_000
+COUNTED = 60_000
 #: Smallest shingle hashes by which near copies in the sample are told, the share of them that tells, and leaders looked at for one hash.
 SKETCH, ALIKE, LEADERS = 64, 0.5, 200
 
@@ -206,20 +206,22 @@ def entry_counts(rows: DataFrame) -> DataFrame:
     """Written table (entry, toxic, clean, support): different words of either label by entry, and toxic documents. The entry "" has all words."""
 
     def counted(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, list[int]] = {}
+        total: dict[str, int] = {}  # three sums in one number, 40 bits each
 
         def handed_on() -> pd.DataFrame:
-            out = pd.DataFrame([(e, *n) for e, n in total.items()], columns=["entry", "toxic", "clean", "support"])
+            part = (1 << 40) - 1
+            n = list(total.values())
+            out = pd.DataFrame({"entry": pd.Series(list(total), dtype="object"), "toxic": [x & part for x in n], "clean": [x >> 40 & part for x in n], "support": [x >> 80 for x in n]})
             total.clear()
             return out
 
         for pdf in frames:
-            for t, x in zip(pdf["text"], pdf["toxic"], strict=True):
+            for t, x in zip(pdf["text"], pdf["toxic"].tolist(), strict=True):
                 found, n = entries(t)
-                for e, k in [*found.items(), ("", n)]:
-                    sums = total.setdefault(e, [0, 0, 0])
-                    sums[1 - x] += k
-                    sums[2] += x
+                one = 1 | 1 << 80 if x else 1 << 40
+                for e, k in found.items():
+                    total[e] = total.get(e, 0) + k * (one & (1 << 80) - 1) + (one >> 80 << 80)
+                total[""] = total.get("", 0) + n * (one & (1 << 80) - 1) + (one >> 80 << 80)
                 if len(total) >= COUNTED:
                     yield handed_on()
         yield handed_on()
