@@ -47,7 +47,10 @@ class Units(dict):
     def keep(self, key: str, counts: list[int]) -> None:
         if len(self.tables) >= KEPT:
             self.tables.clear()
-        self.tables[key] = bytes(counts) if max(counts, default=0) < 256 else array("L", counts)
+        try:
+            self.tables[key] = bytes(counts)
+        except ValueError:  # more than a byte
+            self.tables[key] = array("L", counts)
 
     def table(self, key: str) -> Sequence[int]:
         """Token counts at all prefixes of a unit, the last of which is the unit."""
@@ -65,7 +68,11 @@ class Units(dict):
         return got
 
     def __missing__(self, key: str) -> int:
-        n = self.table(key)[-1] if self.lead + key else 0
+        parts = AFTER_LETTER.split(key) if self.counter.splits_after_letter else ()
+        if len(parts) > 1:
+            n = self[parts[0]] + sum(map(self.counter.bare.__getitem__, parts[1:]))
+        else:
+            n = self.table(key)[-1] if self.lead + key else 0
         if len(key) <= KEPT_LETTERS:
             if len(self) >= KEPT:
                 self.clear()
@@ -81,7 +88,12 @@ class PrefixCounter:
         ids = range(sp.get_piece_size())
         special = (sp.is_control, sp.is_unknown, sp.is_byte, sp.is_unused)
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in ids if not any(f(i) for f in special)}
-        self.longest = max(map(len, self.score))
+        #: Lengths of tokens by their last three characters, longest first; shorter ones are always tried.
+        by_end: dict[str, set[int]] = {}
+        for t in self.score:
+            if len(t) > 2:
+                by_end.setdefault(t[-3:], {1, 2}).add(len(t))
+        self.lengths = {e: tuple(sorted(n, reverse=True)) for e, n in by_end.items()}
         joined = [p for p in self.score if len(p) > 1]
         self.splits_at_space = not any(SPACE in p.lstrip(SPACE) for p in joined)
         self.line = not any("\n" in p for p in joined)
@@ -93,13 +105,16 @@ class PrefixCounter:
 
     def merged(self, text: str) -> list[str]:
         """BPE by its definition: again and again the leftmost of the best merges."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.score.get(parts[i] + parts[i + 1], -np.inf), -i) for i in range(len(parts) - 1)))
-            if best[0] == -np.inf:
-                break
-            i = -best[1]
+        parts, get, none = list(text), self.score.get, -np.inf
+        ranks = [get(x + y, none) for x, y in zip(parts, parts[1:])]
+        while ranks and (best := max(ranks)) != none:
+            i = ranks.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = get(parts[i] + parts[i + 1], none)
         return parts
 
     def may_follow(self, a: str, b: str) -> bool:
@@ -112,16 +127,14 @@ class PrefixCounter:
 
     def extend(self, unit: str, last: list[str], count: list[int]) -> None:
         """Goes on from the prefix of `unit` that `last` and `count` (last token and token count by prefix) have reached."""
-        score, pairs, longest = self.score, self.pairs, self.longest
+        score, pairs, lengths = self.score, self.pairs, self.lengths
         for i in range(len(count), len(unit) + 1):
-            n = min(i, longest)
-            while True:
-                t = unit[i - n : i]
+            for n in lengths.get(unit[i - 3 : i], (2, 1)) if i > 2 else (i, 1):
+                t = unit[i - n : i] if n <= i else ""
                 if t in score or n == 1:
                     fits = pairs.get((last[i - n], t))
                     if fits or (fits is None and self.may_follow(last[i - n], t)):
                         break
-                n -= 1
             last.append(t)
             count.append(count[i - n] + (1 if t in score else len(t.encode("utf-8", "surrogatepass"))))
 
