@@ -349,6 +349,16 @@ def boost(sample: DataFrame) -> Boosted | None:
     return model
 
 
+_MODELS: dict[int, Boosted | None] = {}
+
+
+def trained(spark: SparkSession, n: int = GENERATED) -> Boosted | None:
+    """The model from `n` generated texts. They are the same every time, so it is boosted once in a driver's life."""
+    if n not in _MODELS:
+        _MODELS[n] = boost(labelled(spark, n))
+    return _MODELS[n]
+
+
 def joined(spans: Column) -> Column:
     """kind:start:stop in order of start and kind, comma-joined. spans: array of (start, kind number, stop)."""
     names = F.array(*map(F.lit, KINDS))
@@ -378,7 +388,7 @@ def chosen(model: Boosted, raw: Column) -> Column:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_other) of every row."""
     rows = candidates(docs, id_col, text_col)
-    model = boost(labelled(docs.sparkSession))
+    model = trained(docs.sparkSession)
     span = lambda kind: lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["stop"].alias("stop"))
     base = F.concat(*[F.transform(k, span(i)) for i, k in enumerate(KINDS[:4])])
     rows = rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]], base.alias("base"), "raw")
