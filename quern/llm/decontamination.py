@@ -44,14 +44,19 @@ LEAST_KNOWN = math.ceil(MATCH * LEAST_WORDS)
 BLOCK_WORDS = 200_000
 LINES = 2_000_000
 #: Words that a worker keeps, and the longest of them.
-KEPT, KEPT_LETTERS = 100_000, 48
+KEPT, KEPT_LETTERS = 200_000, 48
 EDGES = ".,;:!?\"'`()[]{}<>#$%&*|-_=+/\\~^«»“”‘’…¡¿、。，！？：；（）「」『』"
 #: Thai, Lao, Myanmar, Khmer, kana and ideographs.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def raw_words(text: str) -> list[str]:
-    return (text if text.isascii() else UNSPACED.sub(r" \g<0> ", text)).split()
+    if not text.isascii():
+        try:
+            text.encode("latin-1")  # much faster than looking for such characters
+        except UnicodeEncodeError:
+            text = UNSPACED.sub(r" \g<0> ", text)
+    return text.split()
 
 
 def plain(word: str) -> str:
@@ -65,7 +70,8 @@ class Ids(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: str) -> int:
-        n = self.vocabulary.get(plain(word), -1 if not plain(word) else 0)
+        bare = plain(word)
+        n = self.vocabulary.get(bare, 0) if bare else -1
         if len(word) <= KEPT_LETTERS:
             if len(self) >= KEPT:
                 self.clear()
