@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free_name, text_or_empty
+from .common import free_name, text_or_empty, written
 
 #: Cells into which the records of a shard are dealt for numbering; no task orders more than a cell at a time.
 CELLS = 4096
@@ -73,4 +73,5 @@ def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * 24, key
         F.col(key_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
         rendezvous(key, weights).alias("shard"), rendezvous(key, grown).alias("grown_shard"), cell_of(key, text, cells).alias("cell"),
     )
-    return with_slots(rows, "cell", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    # texts are read once; numbering works on the narrow rows
+    return with_slots(written(rows, "shards"), "cell", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
