@@ -23,3 +23,8 @@ def no_docs(spark):
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def more_docs(spark):
+    """A thousand documents."""
+    return documents(spark, "/root/testdata/sf0.01")

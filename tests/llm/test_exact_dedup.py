@@ -6,7 +6,7 @@ import pytest
 from quern.llm.common import filter_of, may_have
 from quern.llm.exact_dedup import compact, exact_dedup, flush_runs
 
-from .helpers import documents, no_docs, odd_docs
+from .helpers import documents, more_docs, no_docs, odd_docs
 
 
 def brute(rows):
@@ -23,9 +23,9 @@ def brute(rows):
 
 
 @pytest.mark.parametrize("digest_bytes", [32, 1])
-@pytest.mark.parametrize("make", ["odd", "real", "none"])
+@pytest.mark.parametrize("make", ["odd", "real", "more", "none"])
 def test_equals_brute_force(spark, sf_dir, digest_bytes, make):
-    docs = {"odd": odd_docs, "none": no_docs}.get(make, lambda s: documents(s, sf_dir))(spark)
+    docs = {"odd": odd_docs, "none": no_docs, "more": more_docs}.get(make, lambda s: documents(s, sf_dir))(spark)
     got = exact_dedup(docs, digest_bytes=digest_bytes).collect()
     want = brute(docs.select("doc_id", "text").collect())
     assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=repr) == want

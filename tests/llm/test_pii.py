@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.pii import SPAN, Boosted, Split, apart, boost, check97, chosen, find_pii, labelled, running
 
-from .helpers import documents, no_docs, odd_docs
+from .helpers import documents, more_docs, no_docs, odd_docs
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -39,9 +39,9 @@ def said(spans):
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-@pytest.mark.parametrize("make", ["tricky", "odd", "real", "none"])
+@pytest.mark.parametrize("make", ["tricky", "odd", "real", "more", "none"])
 def test_base_spans_equal_brute_force(spark, sf_dir, make):
-    docs = {"odd": odd_docs, "none": no_docs, "tricky": lambda s: s.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")}.get(make, lambda s: documents(s, sf_dir))(spark)
+    docs = {"odd": odd_docs, "none": no_docs, "more": more_docs, "tricky": lambda s: s.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")}.get(make, lambda s: documents(s, sf_dir))(spark)
     rows = find_pii(docs).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").where("doc_id is not null").collect()}
     assert len(rows) == docs.count()

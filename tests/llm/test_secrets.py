@@ -10,7 +10,7 @@ import pytest
 from quern.llm import secrets as S
 from quern.llm.secrets import Guesser, base_spans, dictionary, find_secrets, redacted
 
-from .helpers import documents, no_docs, odd_docs
+from .helpers import documents, more_docs, no_docs, odd_docs
 
 VOCABULARIES = [public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken")]
 GUESSER = Guesser(dictionary(VOCABULARIES))
@@ -35,9 +35,9 @@ def brute(t):
     return sorted(out)
 
 
-@pytest.mark.parametrize("make", ["tricky", "odd", "real", "none"])
+@pytest.mark.parametrize("make", ["tricky", "odd", "real", "more", "none"])
 def test_base_spans_equal_brute_force(spark, sf_dir, make):
-    docs = {"odd": odd_docs, "none": no_docs, "tricky": lambda s: s.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")}.get(make, lambda s: documents(s, sf_dir))(spark)
+    docs = {"odd": odd_docs, "none": no_docs, "more": more_docs, "tricky": lambda s: s.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")}.get(make, lambda s: documents(s, sf_dir))(spark)
     texts = {r["doc_id"]: r["text"] or "" for r in docs.where("doc_id is not null").select("doc_id", "text").collect()}
     rows = find_secrets(docs, vocabularies=VOCABULARIES).collect()
     assert len(rows) == docs.count()

@@ -4,7 +4,7 @@ import sentencepiece
 
 from quern.llm.token_counts import budget_cut, count_at, counter, fitting_at, model_bytes, prefix_tables, token_counts
 
-from .helpers import documents, no_docs, odd_docs
+from .helpers import documents, more_docs, no_docs, odd_docs
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TRICKY = ["", " ", "a", "  a  b ", "\n", " \n x\n\ny ", "▁a ▁▁b", "<s>hi</s> <unk> <0x0A>", "ﬁ①😀\t x", "aaaaaaaaaaaaaaaa", "the\nthe The", "été é", "▁", "x" * 3000, "1234567890" * 20, "\x00a\x7f"]
@@ -15,9 +15,9 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=MODEL)
 
 
-@pytest.mark.parametrize("make", ["tricky", "odd", "real", "none"])
+@pytest.mark.parametrize("make", ["tricky", "odd", "real", "more", "none"])
 def test_counts_equal_the_library(spark, sf_dir, library, make):
-    docs = {"odd": odd_docs, "none": no_docs, "tricky": lambda s: s.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")}.get(make, lambda s: documents(s, sf_dir))(spark)
+    docs = {"odd": odd_docs, "none": no_docs, "more": more_docs, "tricky": lambda s: s.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")}.get(make, lambda s: documents(s, sf_dir))(spark)
     texts = sorted(((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()), key=repr)
     got = sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts(docs, MODEL).collect()), key=repr)
     want = [(i, len(t.encode()), n := len(library.encode(t)), n > 4096) for i, t in texts]
