@@ -7,10 +7,11 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that are sent to a Python worker at once.
@@ -145,3 +146,18 @@ def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
 def made() -> int:
     """How many tables `written` has made and that are still there."""
     return len(_MADE)
+
+
+def numbered(rows: DataFrame, order: Sequence[Column], name: str = "n") -> DataFrame:
+    """`rows` with their place in `order`, from 0. The order has to tell all rows apart.
+
+    Rows are dealt by ranges of the order and numbered in their tasks; the ranges' starts (a row for each task) are all that is
+    added up. `rows` is read twice, so it should be narrow and written.
+    """
+    tag, part, start = (free_name(rows, x) for x in ("__tag", "__part", "__start"))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(tag, F.monotonically_increasing_id())
+    dealt = written(dealt.withColumn(part, F.shiftright(tag, 33)), "numbered")
+    counts = dealt.groupBy(part).agg(F.count(F.lit(1)).alias(start))
+    starts = counts.select(part, F.coalesce(F.sum(start).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(start))
+    within = F.col(tag).bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(F.broadcast(starts), part).withColumn(name, F.col(start) + within).drop(tag, part, start)
