@@ -1,7 +1,7 @@
 """Importance resampling towards a target distribution, by hashed word features, without exploding scores.
 
 * A document's features are its runs of one to `longest` words, hashed to `BUCKETS` buckets; higher-order functions make the array
-  of its buckets where the text is read.
+  of its buckets where the text is read, once; the arrays are written.
 * Of both corpora only the totals by bucket are shuffled (at most `BUCKETS` rows a task). The gain of each bucket follows from the
   totals; all gains together are one literal array in the plan.
 * A document's weight is the floored mean of the gains that `element_at` finds for its buckets, summed by `aggregate` in place. A
@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 from .common import numbered, ship_package, text_or_empty, written
 
 BUCKETS = 10_000
-#: A word is a run of digits, small letters and characters beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words, which are runs of digits, small letters and characters beyond ASCII.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def words_of(text: Column) -> Column:
     """Words after A to Z became a to z; other capitals stay."""
     plain = F.octet_length(text) == F.char_length(text)
-    return F.regexp_extract_all(F.when(plain, F.lower(text)).otherwise(F.translate(text, CAPITALS, CAPITALS.lower())), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.when(plain, F.lower(text)).otherwise(F.translate(text, CAPITALS, CAPITALS.lower())), BETWEEN), "")
 
 
 def buckets_of(words: Column, longest: int = 2, buckets: int = BUCKETS) -> Column:
@@ -50,10 +50,12 @@ def buckets_of(words: Column, longest: int = 2, buckets: int = BUCKETS) -> Colum
 
 def totals(rows: DataFrame, buckets: int) -> list[int]:
     """Features by bucket; `buckets` numbers come to the driver."""
-    counts = rows.select(F.explode("buckets").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
+    # not `explode`, for which the optimizer would add a filter that makes the arrays several times over
+    counts = rows.select(F.explode_outer("buckets").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
     out = [0] * buckets
     for b, n in counts:
-        out[b] = n
+        if b is not None:
+            out[b] = n
     return out
 
 
@@ -64,8 +66,10 @@ def gains(source: list[int], target: list[int]) -> list[int]:
 
 
 def featured(docs: DataFrame, text_col: str, longest: int, buckets: int, *others: Column) -> DataFrame:
+    """`others`, n_words and the buckets of every row, written: texts are read once."""
     rows = docs.select(*others, words_of(text_or_empty(text_col)).alias("words"))
-    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != "words"], F.size("words").alias("n_words"), buckets_of(F.col("words"), longest, buckets).alias("buckets"))
+    rows = rows.withColumns({"n_words": F.size("words"), "buckets": buckets_of(F.col("words"), longest, buckets)}).drop("words")
+    return written(rows, "buckets", compression="zstd")
 
 
 def gumbel(key: Column, seed: int) -> Column:
@@ -74,10 +78,9 @@ def gumbel(key: Column, seed: int) -> Column:
     return F.floor(F.lit(-1000.0) * F.ln(-F.ln((h + F.lit(0.5)) / F.lit(4294967296.0))))
 
 
-def scored(docs: DataFrame, gain: list[int], seed: int, id_col: str, text_col: str, longest: int) -> DataFrame:
-    """(doc_id, n_features, n_words, weight, score) of every row."""
+def scored(rows: DataFrame, gain: list[int], seed: int) -> DataFrame:
+    """(doc_id, n_features, n_words, weight, score) of every row of (doc_id, n_words, buckets)."""
     literal = F.split(F.lit(",".join(map(str, gain))), ",").cast("array<int>")
-    rows = featured(docs, text_col, longest, len(gain), F.col(id_col).alias("doc_id"))
     total = F.aggregate("buckets", F.lit(0).cast("long"), lambda acc, b: acc + F.element_at(literal, b + 1))
     rows = rows.select("doc_id", "n_words", F.size("buckets").cast("long").alias("n_features"), total.alias("total"))
     mean = F.when(F.col("n_features") > 0, F.expr("(total - pmod(total, n_features)) div n_features")).otherwise(F.lit(0).cast("long"))
@@ -107,6 +110,7 @@ def drawn(rows: DataFrame, percent: int, least_words: int) -> DataFrame:
 def importance_resample(docs: DataFrame, target: DataFrame, percent: int = 25, least_words: int = 20, longest: int = 2, buckets: int = BUCKETS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text") -> DataFrame:
     """(doc_id, n_features, weight, score, rank, n_words) of every row of `docs`, drawn towards the texts of `target`."""
     ship_package(docs.sparkSession)
-    source, aim = (totals(featured(df, c, longest, buckets), buckets) for df, c in ((docs, text_col), (target, target_col)))
-    rows = scored(docs, gains(source, aim), seed, id_col, text_col, longest).withColumn("tag", F.monotonically_increasing_id())
+    source = featured(docs, text_col, longest, buckets, F.col(id_col).alias("doc_id"))
+    aim = featured(target, target_col, longest, buckets)
+    rows = scored(source, gains(totals(source, buckets), totals(aim, buckets)), seed).withColumn("tag", F.monotonically_increasing_id())
     return drawn(written(rows, "scores"), percent, least_words).select("doc_id", "n_features", "weight", "score", "rank", F.col("n_words").cast("long").alias("n_words"))
