@@ -730,6 +730,3 @@ def stream_ingest(spark, d):
     from quern.streaming.ingest import daily_counts_of_stream
 
     return daily_counts_of_stream(spark, d)
-
-
-from quern import protocols, validations  # noqa: E402, F401  (they add their queries)

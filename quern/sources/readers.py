@@ -85,16 +85,3 @@ def read_seed(spark: SparkSession, contract: TableContract, path: str, **constan
     for c, v in constants.items():
         df = df.withColumn(c, F.lit(v))
     return df.select(*[F.col(c).cast(TYPES[t]).alias(c) if c in df.columns else F.lit(None).cast(TYPES[t]).alias(c) for c, t in contract.columns.items()])
-
-
-def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, str], partition: tuple[str, int, int, int] | None = None) -> DataFrame:
-    """A table or `(select ...) q` of a database whose driver is on the class path. partition: (column, lowest, highest, parts)."""
-    if partition is None:
-        return spark.read.jdbc(url, table, properties=properties)
-    column, low, high, parts = partition
-    return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=properties)
-
-
-def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str], parts: int = 4, batch: int = 5000, mode: str = "overwrite") -> None:
-    """Writes a table over at most `parts` connections."""
-    df.coalesce(parts).write.option("batchsize", batch).jdbc(url, table, mode=mode, properties=properties)

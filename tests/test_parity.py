@@ -1,6 +1,6 @@
 import pytest
 
-from quern.catalogue import QUERIES, SQL
+from quern.registered import QUERIES, SQL
 
 from .parity import compare
 
