@@ -92,12 +92,22 @@ def require_same_count(a: DataFrame, b: DataFrame, what: str) -> None:
         raise QualityError(f"{what}: {x} rows against {y}")
 
 
-def click_checks(df: DataFrame, source_date: str = "_source_event_date") -> DataFrame:
-    """Rows without a source date pass the date check."""
-    return counters(df, {
+def require_zero(failures: Mapping[str, int]) -> None:
+    """Raises for checks whose counts were taken while rows were written."""
+    if bad := {k: n for k, n in failures.items() if n}:
+        raise QualityError(", ".join(f"{k}={n}" for k, n in bad.items()))
+
+
+def click_conditions(source_date: str = "_source_event_date") -> dict[str, Column]:
+    """What is wrong with an event. Rows without a source date pass the date check."""
+    return {
         "null_session_id": F.col("session_id").isNull(), "null_event_timestamp": F.col("event_timestamp").isNull(), "null_item_id": F.col("item_id").isNull(),
         "blank_category": F.col("category").isNull() | (F.trim("category") == ""), "wrong_event_date": F.col("event_date") != F.col(source_date),
-    })
+    }
+
+
+def click_checks(df: DataFrame, source_date: str = "_source_event_date") -> DataFrame:
+    return counters(df, click_conditions(source_date))
 
 
 def weather_range_checks(df: DataFrame) -> DataFrame:

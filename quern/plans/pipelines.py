@@ -15,13 +15,16 @@ from quern.operators import quality as Q
 from quern.operators import versions as R
 from quern.operators import weather as H
 from quern.sources.readers import committed_units, read_bronze, read_metadata, read_responses
-from quern.storage import Files, SnapshotTable, load_staging
+from quern.partitioned import PartitionedTable, by_month
+from quern.storage import Files, SnapshotTable, digests, load_staging, same_as_served
 
 #: Changes of a table between raw and cleaned layer, by table.
 TRANSFORMS: dict[str, Callable[[DataFrame], DataFrame]] = {"orders": lambda df: df.withColumn("order_purchase_date", F.to_date("order_purchase_timestamp"))}
 
 
-#: Buckets of the key that a cleaned table is dealt out by when it is made.
+#: What tells the partition of a row, by table: something that stays the same for a key.
+PARTITIONS: dict[str, str] = {"orders": "order_purchase_timestamp"}
+#: Buckets of the key that other cleaned tables are dealt out by when they are made.
 BUCKETS = 16
 
 
@@ -37,27 +40,41 @@ def since(spark: SparkSession, name: str, bronze: str, last: datetime | None) ->
     return df.select(*c.columns, *METADATA).where(F.col("_ingested_at") >= F.lit(last))
 
 
+def cleaned(spark: SparkSession, name: str, silver: str) -> PartitionedTable | None:
+    """The cleaned table of those that are dealt out by a column of their own."""
+    if name not in PARTITIONS:
+        return None
+    c = contract_of(name)
+    rows = TRANSFORMS.get(name, lambda df: df)(spark.createDataFrame([], c.bronze_schema()))
+    schema = rows.withColumn("_silver_processed_at", F.current_timestamp()).schema
+    return PartitionedTable(spark, f"{silver}/{name}", schema, c.key, by_month(PARTITIONS[name]))
+
+
+def silver_rows(spark: SparkSession, name: str, silver: str) -> DataFrame:
+    return (cleaned(spark, name, silver) or SnapshotTable(spark, f"{silver}/{name}")).read()
+
+
 def silver_table(spark: SparkSession, name: str, bronze: str, silver: str, buckets: int = BUCKETS, now: Callable[[], Column] = F.current_timestamp) -> int:
     """Latest version of each key merged into the cleaned table; returns the number of rows that changed.
 
-    What has come since the table's last ingestion time is read, and only buckets of keys that it meets are written again.
+    What has come since the table's last ingestion time is read, and only the partitions, or else the buckets of keys, that it meets
+    are read and written; only those are checked.
     """
     c = contract_of(name)
-    table = SnapshotTable(spark, f"{silver}/{name}")
-    last = table.read().agg(F.max("_ingested_at")).first()[0] if table.exists() else None
+    parts, table = cleaned(spark, name, silver), SnapshotTable(spark, f"{silver}/{name}")
+    have = parts or table
+    last = have.read().agg(F.max("_ingested_at")).first()[0] if have.exists() else None
     raw = since(spark, name, bronze, last)
     if raw is None:
         return 0
-    state = TRANSFORMS.get(name, lambda df: df)(R.latest_state(raw, c.key))
-    n = table.merge(state.withColumn("_silver_processed_at", now()), c.key, buckets=buckets)
-    if n:
-        rows = table.read()
-        Q.require_clean(Q.all_checks(Q.not_null(rows, c.key), Q.unique(rows, c.key, name)))
-    return n
+    state = TRANSFORMS.get(name, lambda df: df)(R.latest_state(raw, c.key)).withColumn("_silver_processed_at", now())
+    if parts:
+        return parts.merge(state).applied  # keys are looked at while rows are written, and can't repeat
+    return table.merge(state, c.key, buckets=buckets, check=lambda rows: Q.require_clean(Q.all_checks(Q.not_null(rows, c.key), Q.unique(rows, c.key, name))))
 
 
 def serve_table(spark: SparkSession, name: str, silver: str, staging: str) -> str:
-    return load_staging(SnapshotTable(spark, f"{silver}/{name}").read(), SnapshotTable(spark, f"{staging}/{name}"), contract_of(name).key)
+    return load_staging(silver_rows(spark, name, silver), SnapshotTable(spark, f"{staging}/{name}"), contract_of(name).key)
 
 
 def operational(spark: SparkSession, names: Sequence[str], bronze: str, silver: str, staging: str) -> dict[str, int]:
@@ -70,14 +87,19 @@ def operational(spark: SparkSession, names: Sequence[str], bronze: str, silver:
 def click_events(spark: SparkSession, bronze: str, silver: str, partitions: int = 128) -> int:
     """Events of files that the cleaned table hasn't seen; returns the number of rows taken in.
 
-    Raw folders are named by ingestion id, so those that the log of files has are not read. Events are written once, by date,
-    and checked as written before they become current; then the log takes the files. A crash in between shows in the version that
-    the log has noted, and the files of the new folders are then looked up in the table itself.
+    Raw folders are named by ingestion id; an anti join with the log of files leaves the new ones, so what reaches the driver is new.
+    Events are written once, by date, and checked and counted while they are written; then the log takes the files. A crash in between shows
+    in the version that the log has noted, and the files of the new folders are then looked up in the table itself.
     """
     table, log = SnapshotTable(spark, silver), SnapshotTable(spark, f"{silver}_files")
     known = log.read() if log.exists() else None
-    done = {r[0] for r in known.select("_ingestion_id").distinct().collect()} if known is not None else set()  # a row a file
-    new = [d for d in raw_folders(spark, bronze) if d.rsplit("ingestion_id=", 1)[-1] not in done]
+    folders = raw_folders(spark, bronze)
+    if not folders:
+        return 0
+    named = spark.createDataFrame([(d, d.rsplit("ingestion_id=", 1)[-1]) for d in folders], "folder string, _ingestion_id string")
+    if known is not None:
+        named = named.join(known.select("_ingestion_id"), "_ingestion_id", "left_anti")
+    new = sorted(r["folder"] for r in named.select("folder").collect())
     if not new:
         return 0
     raw = spark.read.parquet(*new)
@@ -87,15 +109,19 @@ def click_events(spark: SparkSession, bronze: str, silver: str, partitions: int
         changed = C.changed_sources(files, known)
         if not changed.isEmpty():
             raise ValueError(f"a source file has changed: {changed.first()['_source_file_path']}")
-    if table.exists() and table.version() != noted:
+    crashed = table.exists() and table.version() != noted
+    if crashed:
         raw = C.of_sources(raw, C.new_sources(files, table.read()))
+    n = 0
     if not raw.isEmpty():
-        events = C.typed_events(raw)
-        spread = events.repartition(partitions, "event_date", F.pmod(F.xxhash64("session_id"), F.lit(16)))
+        spread = C.typed_events(raw).repartition(partitions, "event_date", F.pmod(F.xxhash64("session_id"), F.lit(16)))
         kept = spread.withColumn("event_date", F.coalesce("event_date", "_source_event_date"))
-        table.append(kept, lambda w: Q.require_clean(Q.click_checks(w)), ["event_date"])
+        measures = {k: F.count_if(F.coalesce(c, F.lit(False))) for k, c in Q.click_conditions().items()} | {"rows": F.count(F.lit(1))}
+        n = table.append_measured(kept, measures, lambda got: Q.require_zero({k: v for k, v in got.items() if k != "rows"}), ["event_date"])["rows"]
     log.append(files.select("_source_file_path", "_source_file_etag", "_ingestion_id", F.lit(table.version()).alias("version")))
-    return table.read().join(F.broadcast(files.select("_ingestion_id")), "_ingestion_id", "left_semi").count()
+    if crashed:  # some of the files were in the table already
+        n = table.read().join(F.broadcast(files.select("_ingestion_id")), "_ingestion_id", "left_semi").count()
+    return n
 
 
 def raw_folders(spark: SparkSession, bronze: str) -> list[str]:
@@ -104,19 +130,15 @@ def raw_folders(spark: SparkSession, bronze: str) -> list[str]:
 
 
 def serve_clicks(spark: SparkSession, silver: str, staging: str) -> str:
-    """LOADED, or NO_OP if the counts agree already. What is served is checked in either case."""
+    """LOADED, or NO_OP if the very rows are served already. What is served is checked in either case, while it is written or as it lies there."""
     rows = SnapshotTable(spark, silver).read().select("session_id", "event_timestamp", "event_date", "item_id", "category")
     target = SnapshotTable(spark, staging)
-
-    def check(served: DataFrame) -> None:
-        Q.require_clean(Q.all_checks(Q.not_null(served, ["session_id", "event_timestamp", "event_date", "item_id"]), Q.counters(served, {"blank_category": F.col("category").isNull() | (F.trim("category") == "")})))
-
-    if target.exists():
-        served = target.read()
-        if served.count() == rows.count():
-            check(served)
-            return "NO_OP"
-    target.overwrite(rows, check)
+    bad = {f"not_null_{c}": F.col(c).isNull() for c in ("session_id", "event_timestamp", "event_date", "item_id")} | {"blank_category": F.col("category").isNull() | (F.trim("category") == "")}
+    if same_as_served(rows, target):
+        Q.require_clean(Q.counters(target.read(), bad))
+        return "NO_OP"
+    measures = digests(rows.columns) | {k: F.count_if(F.coalesce(c, F.lit(False))) for k, c in bad.items()}
+    target.overwrite(rows, None, measures, lambda got: Q.require_zero({k: got[k] for k in bad}))
     return "LOADED"
 
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import versions as R
@@ -138,16 +138,25 @@ class SnapshotTable:
         part = self.staged(rows.repartition(BUCKET), [BUCKET])
         return [f"{part}/{n}" for n in self.files.names(f"{self.path}/{part}") if n.startswith(f"{BUCKET}=")]
 
-    def overwrite(self, df: DataFrame, check: Callable[[DataFrame], None] | None = None) -> None:
-        """A new version; with a check it only becomes current if that passes on what was written."""
-        part, schema = self.staged(df), schema_of(df)
+    def overwrite(self, df: DataFrame, check: Callable[[DataFrame], None] | None = None, measures: Mapping[str, Column] | None = None, require: Callable[[Mapping], None] | None = None) -> dict:
+        """A new version, which only becomes current if its checks pass.
+
+        measures: aggregates that are taken while the rows are written; `require` looks at them, and the pointer keeps them. check:
+        looks at what was written.
+        """
+        schema, seen = schema_of(df), Observation() if measures else None
+        part = self.staged(df.observe(seen, *[c.alias(n) for n, c in measures.items()]) if measures else df)
         try:
+            got = dict(seen.get) if measures else {}
+            if require:
+                require(got)
             if check:
                 check(self.of_parts([part], schema))
         except Exception:
             self.files.delete(f"{self.path}/{part}")
             raise
-        self.point([part], schema)
+        self.point([part], schema, **({"measures": {k: str(v) for k, v in got.items()}} if got else {}))
+        return got
 
     def append(self, df: DataFrame, check: Callable[[DataFrame], None] | None = None, partition_by: Sequence[str] = ()) -> None:
         """Another part; with a check it only becomes current if that passes on what was written. partition_by: columns that are kept in the files too."""
@@ -175,13 +184,32 @@ class SnapshotTable:
             raise
         self.point([*state["parts"], part], state["schema"])
 
-    def merge(self, source: DataFrame, keys: Sequence[str], watermark: str = "updated_at", ingested: str = "_ingested_at", buckets: int = 1) -> int:
+    def append_measured(self, df: DataFrame, measures: Mapping[str, Column], require: Callable[[Mapping], None], partition_by: Sequence[str] = ()) -> dict:
+        """Another part, which only becomes current if `require` agrees with aggregates that are taken while it is written."""
+        state = self.state() if self.exists() else {"parts": [], "schema": schema_of(df)}
+        have, seen = self.spark.createDataFrame([], state["schema"]).columns, Observation()
+        rows = df.select(*have).observe(seen, *[c.alias(n) for n, c in measures.items()])
+        part = self.staged(rows.withColumns({f"{PARTITION}{c}": F.col(c) for c in partition_by}), [f"{PARTITION}{c}" for c in partition_by])
+        try:
+            got = dict(seen.get)
+            require(got)
+        except Exception:
+            self.files.delete(f"{self.path}/{part}")
+            raise
+        self.point([*state["parts"], part], state["schema"])
+        return got
+
+    def merge(self, source: DataFrame, keys: Sequence[str], watermark: str = "updated_at", ingested: str = "_ingested_at", buckets: int = 1, check: Callable[[DataFrame], None] | None = None) -> int:
         """Applies what is new or newer; returns the number of rows applied, 0 leaving the version as it is.
 
         The first merge deals the table out by `buckets` of the key. Later ones read and write only buckets that the source meets.
+        check: looks at the buckets that were written before they become current.
         """
         if not self.exists():
-            self.point(self.staged_buckets(source, keys, buckets), schema_of(source), buckets=buckets, keys=list(keys))
+            parts, schema = self.staged_buckets(source, keys, buckets), schema_of(source)
+            if check and parts:
+                check(self.of_parts(parts, schema))
+            self.point(parts, schema, buckets=buckets, keys=list(keys))
             return self.read().count()
         state = self.state()
         dealt = state.get("keys") == list(keys)  # else the whole table is read, and dealt out when something changes
@@ -198,6 +226,8 @@ class SnapshotTable:
                 old = self.read_buckets(met) if dealt else self.read()
                 untouched = [p for p in state["parts"] if bucket_in(p) not in met] if dealt else []
                 new = self.staged_buckets(R.merged(old, applied.read(), keys), keys, buckets)
+                if check:
+                    check(self.of_parts(new, state["schema"]))
                 self.point(untouched + new, state["schema"], buckets=buckets, keys=list(keys))
             return n
         finally:
@@ -241,20 +271,51 @@ def schema_of(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def load_staging(source: DataFrame, target: SnapshotTable, keys: Sequence[str], skip_same_count: bool = False) -> str:
+def digests(columns: Sequence[str]) -> dict[str, Column]:
+    """Aggregates over all rows that don't depend on their order: how many there are, and sum and parity of two hashes of each.
+
+    Nulls are hashed by their place, so that a value can't move from one column to another unseen.
+    """
+    cols = [F.col(f"`{c}`") for c in sorted(columns)]
+    holes = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in cols])
+    one, two = F.xxhash64(holes, *cols), F.xxhash64(F.lit(1), *reversed(cols), holes)
+    return {"rows": F.count(F.lit(1)), "digest_sum": F.sum(one.cast("decimal(38,0)")), "digest_xor": F.bit_xor(two)}
+
+
+def fingerprint(df: DataFrame) -> dict[str, str]:
+    """The digests of a frame, in one aggregate: a row a task crosses the network."""
+    return {k: str(v) for k, v in df.agg(*[c.alias(n) for n, c in digests(df.columns).items()]).first().asDict().items()}
+
+
+def load_staging(source: DataFrame, target: SnapshotTable, keys: Sequence[str], skip_same: bool = False) -> str:
     """Loads a table for serving: as many rows as the source, no null or repeated key, then promotion in one step.
 
-    Returns LOADED, or NO_OP where counts agree already and that is enough (`skip_same_count`, for append-only sources).
+    Rows, null keys and the fingerprint are taken while the rows are written; what was written is read once, for repeated keys.
+    Returns LOADED, or NO_OP where the source has the very rows that are served (`skip_same`); equal counts alone are none.
     """
-    n = source.count()
-    if skip_same_count and target.exists() and target.read().count() == n:
+    if skip_same and same_as_served(source, target):
         return "NO_OP"
+    seen: dict = {}
+
+    def require(got: Mapping) -> None:
+        seen.update(got)
+        if got["null_keys"]:
+            raise QualityError(f"null keys {got['null_keys']}")
 
     def check(written: DataFrame) -> None:
-        bad = written.agg(F.count(F.lit(1)).alias("rows"), F.count_if(R.any_null(keys)).alias("null_keys")).first()
-        again = written.groupBy(*keys).count().where("count > 1").count()
-        if bad["rows"] != n or bad["null_keys"] or again:
-            raise QualityError(f"rows {bad['rows']} of {n}, null keys {bad['null_keys']}, repeated keys {again}")
+        times = written.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        rows, again = times.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 1)).first()
+        if rows != seen["rows"] or again:
+            raise QualityError(f"rows {rows} of {seen['rows']}, repeated keys {again}")
 
-    target.overwrite(source, check)
+    target.overwrite(source, check, {**digests(source.columns), "null_keys": F.count_if(R.any_null(keys))}, require)
     return "LOADED"
+
+
+def same_as_served(source: DataFrame, target: SnapshotTable) -> bool:
+    """Whether the source's rows are those that the target has; its fingerprint was kept when it was loaded, or else is taken now."""
+    if not target.exists():
+        return False
+    have = fingerprint(source)
+    served = target.state().get("measures") or (fingerprint(target.read()) if set(target.read().columns) == set(source.columns) else {})
+    return {k: served.get(k) for k in have} == have

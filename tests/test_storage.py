@@ -39,7 +39,7 @@ def test_overwrite_append_merge(spark, tmp_path):
 
 def test_failed_check_leaves_the_table(spark, tmp_path):
     src, target = df(spark, (1, "a", 1, 1)), SnapshotTable(spark, f"{tmp_path}/s")
-    assert load_staging(src, target, ["k"]) == "LOADED" and load_staging(src, target, ["k"], skip_same_count=True) == "NO_OP"
+    assert load_staging(src, target, ["k"]) == "LOADED" and load_staging(src, target, ["k"], skip_same=True) == "NO_OP"
     for bad in (df(spark, (1, "x", 1, 1), (1, "y", 1, 1)), df(spark, (None, "x", 1, 1))):
         with pytest.raises(QualityError):
             load_staging(bad, target, ["k"])
