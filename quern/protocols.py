@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import views as V
-from quern.catalogue import FACT_ORDERS, query
+from quern.catalogue import AGG_DAILY, FACT_ORDERS, query
 from quern.contracts import CONTRACTS, contract_of
 from quern.functions.scalar import windows
 from quern.plans import marts as M
 from quern.plans import pipelines as P
+from quern.plans.daily import DailyStates
 from quern.plans.registry import TABLE, Model, Registry
 from quern.sources.files import ingest_files, split_by_date, upload_landing
 from quern.sources.incremental import METHOD, Ingestion, bronze_checks, type_checks
@@ -368,3 +369,17 @@ def materialised_models(spark, d):
     r.add(Model("m_payments", lambda ref: V.stg_order_payments(ref("m_items")), ("m_items",)))
     r.add(Model("m_items", lambda ref: ref("order_items")))
     return r.build()["m_measure"]
+
+
+# aggregates that add up -------------------------------------------------------------------------------------------------
+
+
+@query("agg_daily_increments", AGG_DAILY)
+def agg_daily_increments(spark, d):
+    """The daily aggregate from two increments that share days and sessions, the second one added twice as after a crash."""
+    states, events = DailyStates(spark, folder(spark, "daily")), V.clicks(spark, d)
+    second = F.pmod(F.xxhash64("session_id", "event_timestamp"), F.lit(2)) == 1
+    states.add(events.where(~second), "first")
+    for _ in range(2):
+        states.add(events.where(second), "second")
+    return states.daily()

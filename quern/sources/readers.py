@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.contracts import METADATA, TYPES, TableContract
 from quern.operators.clickstream import RAW
 from quern.operators.weather import METADATA_SCHEMA, RESPONSE_SCHEMA
+from quern.sources.digests import digested
 from quern.storage import Files
 
 
@@ -42,36 +43,25 @@ def read_metadata(spark: SparkSession, units: Sequence[str]) -> DataFrame:
     return spark.read.schema(METADATA_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json([f"{u}/metadata.json" for u in units])
 
 
-#: Files above this size aren't read whole for their etag; size and time of change stand for their contents.
-LARGEST_HASHED = 1 << 30
-
-
 def listed(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
-    """(path, relative_path, size, last_modified) of the files below a folder; no contents are read."""
+    """(path, relative_path, size, last_modified) of the files below a folder; no contents are read. Files without a byte are not listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     base = root.rstrip("/").split("://")[-1].lstrip("/") + "/"
     return files.select("path", F.substring_index("path", base, -1).alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
 
 
 def discover(spark: SparkSession, root: str, pattern: str = "*.csv", known: DataFrame | None = None) -> DataFrame:
-    """(relative_path, etag, size, last_modified) of the files below a folder, by path; the etag is that of the contents.
+    """(relative_path, etag, size, last_modified) of the files below a folder, by path; the etag is that of the contents, by blocks.
 
     known: (relative_path, size, last_modified, etag) of files seen before. Where size and time of change are the same, the
     known etag stands and the file isn't read.
     """
-    found = listed(spark, root, pattern)
-    if known is not None:
-        found = found.join(known.select("relative_path", "size", "last_modified", F.col("etag").alias("known_etag")), ["relative_path", "size", "last_modified"], "left")
-    else:
-        found = found.withColumn("known_etag", F.lit(None).cast("string"))
-    large = F.md5(F.concat_ws(":", F.col("size").cast("string"), F.unix_micros("last_modified").cast("string")).cast("binary"))
-    told = found.where(F.col("known_etag").isNotNull() | (F.col("size") > LARGEST_HASHED)).select("relative_path", F.coalesce("known_etag", large).alias("etag"), "size", "last_modified")
-    unread = [r["path"] for r in found.where(F.col("known_etag").isNull() & (F.col("size") <= LARGEST_HASHED)).select("path").collect()]  # a row a new file
-    if not unread:
-        return told.orderBy("relative_path")
-    base = root.rstrip("/").split("://")[-1].lstrip("/") + "/"
-    read = spark.read.format("binaryFile").load(unread).select(F.substring_index("path", base, -1).alias("relative_path"), F.md5("content").alias("etag"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
-    return told.unionByName(read).orderBy("relative_path")
+    found, columns = listed(spark, root, pattern), ["relative_path", "etag", "size", "last_modified"]
+    if known is None:
+        return digested(found).select(*columns).orderBy("relative_path")
+    seen = found.join(known.select(*columns), ["relative_path", "size", "last_modified"], "left")
+    new = digested(seen.where("etag is null").drop("etag"))
+    return seen.where("etag is not null").select(*columns).unionByName(new.select(*columns)).orderBy("relative_path")
 
 
 def committed_units(spark: SparkSession, root: str) -> list[str]:
