@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import views as V
-from quern.functions.scalar import path_date, path_value, window_rows
+from quern.functions.scalar import path_date, path_value, request_id_of, window_rows
 from quern.operators import clickstream, inventory, quality, weather
 from quern.operators import versions as R
 from quern.plans import kpis as K
@@ -214,9 +214,11 @@ def dim_sellers(spark, d):
     return M.dim_sellers(V.stg_sellers(spark, d))
 
 
-@query("dim_warehouses", "SELECT w.*, TIMESTAMP '1995-01-01' AS created_at, TIMESTAMP '1995-01-01' AS updated_at FROM (VALUES " + ", ".join(map(repr, V.WAREHOUSES)) + ") w(warehouse_id, city, region)")
+@query("dim_warehouses", "SELECT w.*, TIMESTAMP '1995-01-01' AS created_at, TIMESTAMP '1995-01-01' AS updated_at FROM (VALUES " + ", ".join(map(repr, V.WAREHOUSES)) + f") w(warehouse_id, city, region) WHERE warehouse_id IN (SELECT {warehouse_sql('o_orderkey')} FROM orders)")
 def dim_warehouses(spark, d):
-    return M.dim_warehouses(V.stg_warehouses(spark))
+    """The warehouses that orders name."""
+    named = V.read(spark, d, "orders").select(V.warehouse_of(F.col("o_orderkey")).alias("warehouse_id")).distinct()
+    return M.dim_warehouses(V.stg_warehouses(spark)).join(named, "warehouse_id", "left_semi")
 
 
 @query("dim_products", """SELECT p_partkey AS product_id, split_part(p_type, ' ', 1) AS category_name, CASE WHEN split_part(p_type, ' ', 1) IN ('ECONOMY', 'STANDARD', 'PROMO') THEN lower(split_part(p_type, ' ', 1)) END AS category_name_english,
@@ -228,9 +230,10 @@ def dim_products(spark, d):
 
 @query("dim_date", """SELECT CAST(strftime(day, '%Y%m%d') AS INTEGER) AS date_key, CAST(day AS DATE) AS date_day, CAST(year(day) AS INTEGER) AS year, CAST(quarter(day) AS INTEGER) AS quarter, CAST(month(day) AS INTEGER) AS month, monthname(day) AS month_name,
  CAST(week(day) AS INTEGER) AS week_of_year, CAST(day(day) AS INTEGER) AS day_of_month, CAST(isodow(day) AS INTEGER) AS day_of_week, dayname(day) AS day_name, isodow(day) >= 6 AS is_weekend
- FROM (SELECT unnest(generate_series(DATE '2014-01-01', DATE '2027-12-31', INTERVAL 1 DAY)) AS day)""")
+ FROM (SELECT unnest(generate_series((SELECT CAST(min(o_orderdate) AS DATE) FROM orders), (SELECT CAST(max(o_orderdate) AS DATE) FROM orders), INTERVAL 1 DAY)) AS day)""")
 def dim_date(spark, d):
-    return M.dim_date(spark)
+    """Every day from the first order to the last."""
+    return M.dim_date_of(V.read(spark, d, "orders"), "o_orderdate")
 
 
 # clickstream ----------------------------------------------------------------------------------------------------------
@@ -419,9 +422,19 @@ def dq_completeness(spark, d):
     return quality.completeness(history(spark, d), ["ingestion_id"], "weather_time", weather.expected_hours())
 
 
-@query("hist_windows", "SELECT CAST(s AS DATE) AS window_start, CAST(least(s + INTERVAL 29 DAY, DATE '2026-08-15') AS DATE) AS window_end FROM (SELECT unnest(generate_series(DATE '2026-05-18', DATE '2026-08-15', INTERVAL 30 DAY)) AS s)")
+@query("hist_windows", "SELECT CAST(s AS DATE) AS window_start, CAST(least(s + INTERVAL 29 DAY, last) AS DATE) AS window_end FROM (SELECT unnest(generate_series(first, last, INTERVAL 30 DAY)) AS s, last FROM (SELECT CAST(CAST(min(o_orderdate) AS DATE) AS TIMESTAMP) AS first, CAST(CAST(max(o_orderdate) AS DATE) AS TIMESTAMP) AS last FROM orders))")
 def hist_windows(spark, d):
-    return spark.range(1).select(window_rows(F.lit("2026-05-18").cast("date"), F.lit("2026-08-15").cast("date")).alias("w")).select("w.*")
+    """Windows of thirty days from the first order to the last."""
+    ends = V.read(spark, d, "orders").agg(F.min("o_orderdate").cast("date").alias("first"), F.max("o_orderdate").cast("date").alias("last"))
+    return ends.select(window_rows(F.col("first"), F.col("last")).alias("w")).select("w.*")
+
+
+@query("request_ids", """SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS request_id
+ FROM (SELECT event_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('weather:' || event_type || ':' || user_id || ':' || strftime(ts, '%Y-%m-%d'))) AS h FROM events)""")
+def request_ids(spark, d):
+    """The id under which each event's request would be known."""
+    e = V.read(spark, d, "events")
+    return e.select("event_id", request_id_of(F.lit("weather"), F.col("event_type"), F.col("user_id"), F.date_format("ts", "yyyy-MM-dd")).alias("request_id"))
 
 
 # incremental ----------------------------------------------------------------------------------------------------------

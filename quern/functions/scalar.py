@@ -76,6 +76,14 @@ def request_id(*parts: str) -> str:
     return str(uuid.uuid5(uuid.NAMESPACE_URL, ":".join(parts)))
 
 
+def request_id_of(*parts: Column) -> Column:
+    """The same id as a column: the name-based UUID of the parts with colons between, made of SHA-1. Null if a part is."""
+    name = F.concat(*[x for p in parts for x in (F.lit(":"), p.cast("string"))][1:])
+    digest = F.sha1(F.concat(F.lit(uuid.NAMESPACE_URL.bytes), F.encode(name, "UTF-8")))
+    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat(F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"), F.substring(digest, 14, 3), F.lit("-"), variant, F.substring(digest, 18, 3), F.lit("-"), F.substring(digest, 21, 12))
+
+
 def windows(start: date, end: date, days: int = 30) -> list[tuple[date, date]]:
     """Consecutive inclusive windows of at most `days` days from start to end."""
     if days < 1 or end < start:

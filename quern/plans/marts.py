@@ -98,14 +98,25 @@ def dim_products(products: DataFrame, translation: DataFrame) -> DataFrame:
     )
 
 
-def dim_date(spark: SparkSession, first: date = date(2014, 1, 1), last: date = date(2027, 12, 31)) -> DataFrame:
+def calendar(days: DataFrame) -> DataFrame:
+    """What a date says about itself. days: (date_day)."""
     d = F.col("date_day")
-    return spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last), F.expr("interval 1 day"))).alias("date_day")).select(
+    return days.select(
         date_key(d).alias("date_key"), d, F.year(d).alias("year"), F.quarter(d).alias("quarter"), F.month(d).alias("month"), F.date_format(d, "MMMM").alias("month_name"), F.weekofyear(d).alias("week_of_year"),
         F.dayofmonth(d).alias("day_of_month"), iso_weekday(d).alias("day_of_week"), F.date_format(d, "EEEE").alias("day_name"), (F.weekday(d) >= 5).alias("is_weekend"),
     )
 
 
+def dim_date(spark: SparkSession, first: date = date(2014, 1, 1), last: date = date(2027, 12, 31)) -> DataFrame:
+    return calendar(spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last), F.expr("interval 1 day"))).alias("date_day")))
+
+
+def dim_date_of(rows: DataFrame, column: str) -> DataFrame:
+    """Every day from the first to the last that a table has; none if it has none."""
+    ends = rows.agg(F.min(column).cast("date").alias("first"), F.max(column).cast("date").alias("last")).where("first is not null")
+    return calendar(ends.select(F.explode(F.sequence("first", "last", F.expr("interval 1 day"))).alias("date_day")))
+
+
 def int_clickstream_sessions(events: DataFrame) -> DataFrame:
     """Sessions by their id; a gap in time doesn't end one."""
     ts = F.col("event_timestamp")

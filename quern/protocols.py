@@ -113,13 +113,20 @@ def dq_bronze_end_to_end(spark, d):
 TYPE_COLUMNS = tuple(contract_of("orders").bronze_schema().names)
 
 
-@query("dq_bronze_types", f"SELECT unnest([{', '.join(repr(f'type_{c}') for c in TYPE_COLUMNS)}]) AS check_name, CAST(0 AS BIGINT) AS failures")
+WRONG_TYPES = ("order_id", "updated_at", "warehouse_id", "customer_id")
+
+
+@query("dq_bronze_types", f"SELECT c AS check_name, CASE WHEN c IN ({', '.join(repr(f'type_{c}') for c in WRONG_TYPES)}) THEN (SELECT count(DISTINCT o_orderstatus) FROM orders) ELSE 0 END AS failures FROM (SELECT unnest([{', '.join(repr(f'type_{c}') for c in TYPE_COLUMNS)}]) AS c)")
 def dq_bronze_types(spark, d):
-    """Types in the files themselves: microseconds, and strings where a column has only nulls."""
-    place = folder(spark, "types")
+    """Types in the files themselves: right ones, with strings where a column has only nulls, and a file for each status with a number, a text, a date and nothing where something else should be."""
+    place, c = folder(spark, "types"), contract_of("orders")
     nulls = lambda: orders_source(spark, d).withColumn("warehouse_id", F.lit(None).cast("string"))
-    Ingestion(spark, contract_of("orders"), nulls, f"{place}/bronze", f"{place}/state", 10**6, now=lambda: T0).run("all")
-    return type_checks(spark, contract_of("orders"), f"{place}/bronze")
+    Ingestion(spark, c, nulls, f"{place}/bronze", f"{place}/state", 10**6, now=lambda: T0).run("all")
+    raw = P.read_bronze(spark, c, f"{place}/bronze")
+    wrong = raw.withColumns({"order_id": F.col("order_id").cast("long"), "updated_at": F.col("updated_at").cast("string"), "customer_id": F.col("order_purchase_timestamp").cast("date")}).drop("warehouse_id")
+    by = wrong.withColumn("extraction_id", F.concat(F.lit("wrong_"), "order_status")).repartition("extraction_id")
+    by.write.mode("append").partitionBy("extraction_id").parquet(f"{place}/bronze/orders/ingestion_date={T0.date()}")
+    return type_checks(spark, c, f"{place}/bronze")
 
 
 CHANGED = "CASE WHEN o_orderkey % 10 = 0 THEN 'C' ELSE o_orderstatus END"

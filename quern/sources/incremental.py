@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quern.contracts import TIME_FORMAT, TYPES, TableContract
 from quern.functions.scalar import safe_run_id, utc_now
 from quern.operators.versions import any_null, keyset_batch, keyset_predicate, upper_watermark
+from quern.sources.footers import wrong_types
+from quern.sources.readers import listed
 from quern.storage import Files
 
 METHOD = "timestamp_incremental"
@@ -248,14 +250,6 @@ def bronze_checks(spark: SparkSession, contract: TableContract, source: DataFram
 
 
 def type_checks(spark: SparkSession, contract: TableContract, bronze: str) -> DataFrame:
-    """(check_name, failures): files whose own types aren't those of the contract (microseconds, never nanoseconds; a column of nulls keeps its type)."""
-    files = Files(spark).walk_files(f"{bronze}/{contract.name}", ".parquet")
-    bad = dict.fromkeys(contract.bronze_schema().names, 0)
-    for f in files:  # footers only
-        try:
-            types = {x.name: x.dataType for x in spark.read.parquet(f).schema}
-        except Exception:  # noqa: BLE001  (a type that Spark refuses, as nanoseconds)
-            types = {}
-        for field in contract.bronze_schema():
-            bad[field.name] += types.get(field.name) != field.dataType
-    return spark.createDataFrame([(f"type_{c}", n) for c, n in bad.items()], "check_name string, failures long")
+    """(check_name, failures): files whose own types aren't those of the contract (microseconds, never nanoseconds; a column of nulls keeps its type). Footers are read where there is room."""
+    files = listed(spark, f"{bronze}/{contract.name}", "*.parquet")
+    return wrong_types(files, contract.bronze_schema()).select(F.concat(F.lit("type_"), "column").alias("check_name"), "failures")
