@@ -24,7 +24,21 @@ _MADE: list[str] = []
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of an input folder, read by Spark alone."""
     ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt_out(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def dealt_out(rows: DataFrame) -> DataFrame:
+    """`rows`, dealt to all cores if they lie in fewer row groups than there are cores.
+
+    Row groups are what a scan can be split into, so a small table in one of them would keep one core busy. They are counted from
+    footers, and only where the scan has few splits; a table that keeps all cores busy is left as it is.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() > 4 * cores:
+        return rows
+    busy = rows.select(F.spark_partition_id().alias("p")).distinct().count()
+    return rows.repartition(cores) if busy < cores else rows
 
 
 def ship_package(spark: SparkSession) -> None:
