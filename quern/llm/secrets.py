@@ -3,7 +3,8 @@
 The cost of a value is the least number of bits over all ways to cut it into words, dates, repeats, keyboard walks and
 spans that have to be tried out by brute force, found by dynamic programming from left to right. A word costs the logarithm of
 its rank; words are ranked by the vocabulary files of public tokenizers (`dictionary`, the most frequent come first in them), after
-a few common passwords. Values that stand where a credential is named are reported where their cost is at least `MIN_BITS`.
+a few common passwords. Values that stand where a credential is named are reported where their cost is at least `MIN_BITS`, whatever
+script they are in; a value ends with its quotes, or before a blank, a tag, or the next name and value (JSON, query strings, settings).
 Where only blanks or "is" stand between name and value, runs of letters that look like an ordinary word cost at most
 `WORD_BITS` unless letters and digits are mixed.
 
@@ -19,8 +20,8 @@ import json
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Sequence
-from itertools import accumulate
+from collections.abc import Iterator, Sequence
+from itertools import accumulate, zip_longest
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,15 +36,20 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CUES = ("passw", "secret", "token", "apikey", "api_key", "api-key", "api key", "passphrase", "passcode", "pwd", "bearer", "credential", "private key", "private_key", "access_key", "auth")
+#: A name of a credential and what leads to its value, up to the value or the quote that opens it.
 CONTEXT = re.compile(
-    r"""(?:passw(?:or)?d|passphrase|passcode|pwd|secret|token|api[_\x20-]?key|bearer|credentials?|private[_\x20]key|access_key|auth(?:orization)?)["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+|\x20+)["'`]?([!-~]{8,})""",
+    r"""(?:passw(?:or)?d|passphrase|passcode|pwd|secret|token|api[_\x20-]?key|bearer|credentials?|private[_\x20]key|access_key|auth(?:orization)?)\\?["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+|\x20+)(?=\S)""",
     re.I | re.A,
 )
+#: A value in quotes goes to the same quote; a quote behind a backslash is part of it, unless the one that opens it is behind one too.
+QUOTED = {q: re.compile(rf"(?:[^{q}\\\n]|\\[^\n])*(?={q})") for q in "\"'`"} | {f"\\{q}": re.compile(rf"[^{q}\\\n]*(?=\\{q})") for q in "\"'"}
+#: A value without quotes goes to a blank or a quote, to a tag, and to a sign after which the next name and its value stand.
+BARE = re.compile(r"""(?:[^\s"'`,;&<]|'(?=\w)|<(?![/A-Za-z])|[,;&](?=\S)(?!\s*\\?["']?[\w.\[\]-]+\\?["']?\s*[:=]))+""")
 #: What sets a value apart from its name, beyond blanks and words.
 SEPARATOR = re.compile("[:=\"'`]")
-#: Letter runs of a value in prose; bits to pick an ordinary word; the most letters of one.
-RUNS = re.compile("[A-Za-z]+")
-WORD_BITS, WORD_LETTERS = 17.0, 20
+#: Letter runs of a value, in any script; bits to pick an ordinary word; the most letters of one in ASCII, and beyond, where compounds are longer.
+RUNS = re.compile(r"[^\W\d_]+")
+WORD_BITS, WORD_LETTERS, LONG_LETTERS = 17.0, 20, 30
 #: Lengths of the words of a dictionary, and the longest keyboard walk or repeat that is tried in all its parts.
 LETTERS, PARTS = range(3, 21), 64
 
@@ -94,7 +100,7 @@ def char_bits(value: str) -> float:
     """Bits of one character by brute force, from the kinds of characters in the value."""
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
         return 4.0
-    pool = 26 * bool(re.search("[a-z]", value)) + 26 * bool(re.search("[A-Z]", value)) + 10 * bool(re.search("[0-9]", value)) + 33 * bool(re.search("[^A-Za-z0-9]", value))
+    pool = 26 * bool(re.search("[a-z]", value)) + 26 * bool(re.search("[A-Z]", value)) + 10 * bool(re.search("[0-9]", value)) + 33 * bool(re.search("[!-/:-@\\[-`{-~\x00-\x20]", value)) + 64 * (not value.isascii())
     return math.log2(max(pool, 10))
 
 
@@ -158,17 +164,31 @@ class Guesser:
         """`bits` of a value that nothing but blanks or "is" sets apart from its name: without both letters and digits it may
         be an ordinary word, and what is shaped like words costs no more than picking them."""
         if re.search("[0-9]", value) and re.search("[A-Za-z]", value):
-            return self.bits(value)
+            return self.named_bits(value)
         runs = RUNS.findall(value)
         words = [r for r in runs if word_like(r)]
         one = char_bits(value)
         picked = sum(min(WORD_BITS, len(r) * one) for r in words) + (sum(map(len, runs)) - sum(map(len, words))) * one
-        return min(picked, self.bits(value))
+        return min(picked, self.named_bits(value))
+
+    def named_bits(self, value: str) -> float:
+        """`bits` of a value that is set apart from its name. The dictionary has few words beyond ASCII, so runs of other letters that
+        are shaped like a word cost no more than picking one."""
+        if value.isascii():
+            return self.bits(value)
+        words = [r for r in RUNS.findall(value) if not r.isascii() and word_like(r)]
+        one = char_bits(value)
+        return min(self.bits(value), sum(min(WORD_BITS, len(r) * one) for r in words) + (len(value) - sum(map(len, words))) * one)
 
 
 def word_like(run: str) -> bool:
+    """Small letters, capitals, or a capital and small letters. Vowels count where the script is known; scripts without capitals have no blanks between words either."""
     low = run.lower()
-    return run[1:] in (low[1:], run[1:].upper()) and len(run) <= WORD_LETTERS and 4 * sum(c in "aeiouy" for c in low) >= len(run) and not re.search("[^aeiouy]{5}", low)
+    if run[1:] not in (low[1:], run[1:].upper()):
+        return False
+    if not run.isascii():
+        return low == run.upper() or len(run) <= LONG_LETTERS
+    return len(run) <= WORD_LETTERS and 4 * sum(c in "aeiouy" for c in low) >= len(run) and not re.search("[^aeiouy]{5}", low)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -182,6 +202,27 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return out + [(m.start(), m.end(), "hex", m[0]) for m in HEX.finditer(text)]
 
 
+def named_values(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether more than blanks leads to it) of the values that credentials' names lead to.
+
+    A value ends by the syntax that it stands in, and where the next name leads to a value of its own; so each character is looked at once.
+    """
+    cues = list(CONTEXT.finditer(text))
+    for m, after in zip_longest(cues, cues[1:]):
+        a, limit = m.end(), after.start() if after else len(text)
+        apart = bool(SEPARATOR.search(text, m.start(), a)) or text[a] in "\"'`"
+        opens = text[a : a + 2] if text[a : a + 2] in QUOTED else text[a]
+        quoted = QUOTED[opens].match(text, a + len(opens), limit + len(opens)) if opens in QUOTED else None
+        if quoted and quoted.end() <= limit:
+            yield a + len(opens), quoted.end(), True
+            continue
+        a += len(opens) if opens in QUOTED else 0
+        if bare := BARE.match(text, a, limit):
+            b = a + len(text[a : bare.end()].rstrip(".,;:!?\"'`)]}>\\"))
+            if b > a:
+                yield a, b, apart
+
+
 def value_spans(text: str, base: list[tuple[int, int, str, str]], min_bits: float, guesser: Guesser) -> list[tuple[int, int, str, str]]:
     """Values named as credentials whose guess cost is high, where no fixed format has been found."""
     low = text.lower()
@@ -190,12 +231,12 @@ def value_spans(text: str, base: list[tuple[int, int, str, str]], min_bits: floa
     taken = sorted((a, b) for a, b, _, _ in base)
     starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     out = []
-    for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".,;:!?\"'`)]}>")
-        a, b = m.start(1), m.start(1) + len(value)
-        price = guesser.bits if SEPARATOR.search(text, m.start(), m.start(1)) else guesser.prose_bits
+    for a, b, apart in named_values(text):
         before = bisect_left(starts, b)
-        if len(value) >= 8 and not (before and ends[before - 1] > a) and price(value) >= min_bits:
+        if before and ends[before - 1] > a:
+            continue
+        value = text[a:b]
+        if (guesser.named_bits if apart else guesser.prose_bits)(value) >= min_bits:
             out.append((a, b, "value", value))
     return out
 

@@ -134,3 +134,86 @@ def test_values_without_digits():
         assert scan(t)[5] == 1, t
     for t in ["token authentication matters", "the password is straightforward", "credentials (username/password) go here", "auth mechanisms. Then", "pwd=password", "secret: undefined"]:
         assert scan(t)[5] == 0, t
+
+
+def values_of(text):
+    return [text[a:b] for a, b, _ in S.named_values(text)]
+
+
+def test_values_end_by_their_syntax():
+    for text, want in {
+        '{"pwd":"password","host":"db.example.com","port":5432}': ["password"], "pwd=letmein&next=/home/index.html&lang=en": ["letmein"], "password: kQz!vRt#Lm&Xw^pB": ["kQz!vRt#Lm&Xw^pB"], "auth=token=kQzvRtLmXw": ["kQzvRtLmXw"],
+        '{\\"pwd\\":\\"kQz vRt\\",\\"x\\":1}': ["kQz vRt"], r"""pwd='it\'s so' and""": [r"it\'s so"], 'pwd="open kQz\npwd: next': ["open", "next"], "<td>pwd: kQzv</td>": ["kQzv"], "pwd: a,b, host: c; secret = `x y`": ["a,b", "x y"], "user=1;pwd=ab;cd;host=x": ["ab;cd"],
+        "passphrase: kQzévRt9LmüXw7pB2": ["kQzévRt9LmüXw7pB2"], "pwd: Пароль9хЩzQv7Ж1.": ["Пароль9хЩzQv7Ж1"], "pwd=": [], "pwd: ": [], "the pwd is\nhere": ["is"],
+    }.items():
+        assert values_of(text) == want, text
+
+
+def test_values_of_any_script():
+    for t in ["passphrase: kQzévRt9LmüXw7pB2", "pwd: Пароль9хЩzQv7Ж1", 'x&pwd=kQzvRtLmXwpBhT3&y=2', '{"api-key":"kQzvRtLmXwpBhT3#","n":1}']:
+        assert scan(t)[5] == 1, t
+    for t in ['{"pwd":"password","host":"db.example.com","port":5432}', "pwd=letmein&next=/home/index.html&lang=en", "password: 请输入您的密码以继续访问系统", "pwd: пользователь", "secret Überraschung", "auth: Bestätigungsschlüssel"]:
+        assert scan(t)[5] == 0, t
+
+
+def plain_values(text):
+    """Character by character: names first, then each value to where its syntax ends it."""
+    names = [m for m in re.finditer(r"(?:passw(?:or)?d|passphrase|passcode|pwd|secret|token|api[_ -]?key|bearer|credentials?|private[_ ]key|access_key|auth(?:orization)?)\\?[\"']?(?: *(?::=|=>|[:=]) *| +is +| +)(?=\S)", text, re.I | re.A)]
+    out = []
+    for m, limit in zip(names, [n.start() for n in names[1:]] + [len(text)]):
+        a = m.end()
+        opens = next((q for q in ("\\\"", "\\'", '"', "'", "`") if text.startswith(q, a)), "")
+        i, closed = a + len(opens), False
+        while opens and i < len(text) and text[i] != "\n":
+            if text.startswith(opens, i):
+                closed = i <= limit
+                break
+            if len(opens) == 2 and text[i] in ("\\", opens[1]):
+                break  # the quote around all of it
+            if text[i] == "\\":
+                i += 1
+            i += 1
+        if closed:
+            out.append((a + len(opens), i))
+            continue
+        i = a + len(opens)
+        while i < limit:
+            c, rest = text[i], text[i + 1 : limit]
+            if c.isspace() or c in "\"`" or c == "'" and not re.match(r"\w", rest) or c == "<" and re.match("[/A-Za-z]", rest):
+                break
+            if c in ",;&" and (not rest or rest[0].isspace() or re.match(r"""\\?["']?[\w.\[\]-]+\\?["']?\s*[:=]""", rest)):
+                break
+            i += 1
+        while i > a + len(opens) and text[i - 1] in ".,;:!?\"'`)]}>\\":
+            i -= 1
+        if i > a + len(opens):
+            out.append((a + len(opens), i))
+    return out
+
+
+def test_values_equal_a_plain_scanner(spark, sf_dir):
+    rnd = random.Random(8)
+    bits = ["pwd", "token", "Secret", "api key", "auth", ": ", "=", ":", " is ", " ", "\"", "'", "`", "\\\"", "\\", ",", ";", "&", "host=", "\"n\":1", "kQz9", "é", "Ж", "<b>", "<", "\n", "}", "a", ".", "word"]
+    texts = ["".join(rnd.choices(bits, k=rnd.randint(1, 14))) for _ in range(20_000)] + [r["text"] or "" for r in documents(spark, sf_dir).collect()] + TRICKY
+    for t in texts:
+        assert [(a, b) for a, b, _ in S.named_values(t)] == plain_values(t), t
+
+
+def test_few_false_positives_in_settings():
+    """A thousand lines of JSON, query strings, settings and prose with values that are no secrets, and as many with one."""
+    rnd = random.Random(4)
+    names, plain = ["password", "pwd", "token", "api_key", "auth", "secret", "passphrase"], ["password", "changeme", "letmein1", "null", "true", "your-token-here", "${DB_PASSWORD}", "admin123", "required", "********", "welcome2024", "example", "qwerty123", "пароль", "Schlüssel"]
+    forms = ['{{"user":"ann","{0}":"{1}","host":"db.example.com","port":5432}}', "{0}={1}&next=/home/index.html&lang=en&utm_source=mail", "{0}: {1}, then restart the service", "export {0}='{1}' # see the manual", "the {0} is {1} and that is all there is to say"]
+    line = lambda v: rnd.choice(forms).format(rnd.choice(names), v)
+    false = [t for t in (line(rnd.choice(plain)) for _ in range(1000)) if scan(t)[5]]
+    secret = lambda: "".join(rnd.choices("abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#%^*+", k=16))
+    caught = sum(scan(t)[5] + scan(t)[0] > 0 for t in (line(secret()) for _ in range(1000)))
+    print("false", len(false), "caught", caught)
+    assert len(false) <= 10 and caught >= 980
+
+
+def test_names_without_values_take_linear_time():
+    start = time.time()
+    for t in ("pwd=" * 30_000, "pwd:\"" * 20_000, "secret,a" * 20_000, "pwd: " + ",a" * 50_000, "pwd='" + "\\'" * 50_000):
+        scan(t)
+    assert time.time() - start < 30
