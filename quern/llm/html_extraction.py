@@ -7,7 +7,7 @@ the node that holds nearly all of the varying text is the place of the content.
 then applied to every page of the host, so neither the position of a row nor the number of pages matters.
 
 On a page, slots at the place of the content are content unless they are template, navigation, or marked as something
-else (navigation, adverts, forms, comments, ...). Where a host has too few different pages for a wrapper, or a page is
+else (navigation, adverts, forms, comments, ...), for which few names count inside an article or the place of the content. Where a host has too few different pages for a wrapper, or a page is
 not of a kind that was learnt, the marks alone decide; where a page marks its article, content is sought inside it.
 
 Matching is without recursion, scores are kept for pairs of tree shapes, and siblings are paired at most `BAND` places off
@@ -72,10 +72,14 @@ SCOPES = frozenset("td th table li div article section".split())
 ARTICLES = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-# Words in class, id or role that mark what is not the article.
+# Words in class, id or role that mark what is not the article; those that do so inside an article too; and words that say nothing beside them.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner nav navbar navigation navi menu menubar breadcrumb breadcrumbs sidebar sidenav rail widget widgets footer foot masthead topbar header cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist reply replies disqus respond toolbar pagination pager search login complementary contentinfo toc".split()
+    "teaser teasers ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner nav navbar navigation navi menu menubar breadcrumb breadcrumbs sidebar sidenav rail widget widgets footer foot masthead topbar header cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist reply replies disqus respond toolbar pagination pager search login complementary contentinfo toc".split()
 )
+INSIDE = frozenset(
+    "ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar cookie cookies consent gdpr newsletter subscribe signup sharing social related recommended recommendations comment comments commentlist reply replies disqus respond pagination login".split()
+)
+NEUTRAL = frozenset("list box block section container wrapper wrap area item items link links button buttons form bar inner outer top bottom left right main content site page post posts article module group panel region inline header title body text row col slot unit thread by user reader".split())
 
 
 class Node:
@@ -329,19 +333,27 @@ def match(a: Node, b: Node, shapes: Shapes) -> dict[int, Node]:
     return pairs
 
 
-def marked(n: Node) -> bool:
-    return bool(n.marks) and any(w in MARKS for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", n.marks).lower()))
+def marked(n: Node, words: frozenset[str] = MARKS) -> bool:
+    """Whether one of its names says that it isn't the article: a word of the list, alone or with words that say nothing ("comment-list", but not "header-image")."""
+    if not n.marks:
+        return False
+    for name in n.marks.split():
+        parts = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+        if any(w in words for w in parts) and all(w in words or w in NEUTRAL for w in parts):
+            return True
+    return False
 
 
-def kept_nodes(root: Node) -> list[Node]:
-    """Nodes that may hold content, by their place."""
+def kept_nodes(root: Node, main: Node | None = None) -> list[Node]:
+    """Nodes that may hold content, by their place. Inside an article, or in the place of the content that a wrapper names (`main`), fewer names rule a node out."""
     article: list[Node] = []
 
     def visit(n: Node, inside: bool, out: list[Node]) -> None:
         todo = [(n, inside)]
         while todo:
             x, art = todo.pop()
-            if x.tag in DROPPED or (x.tag == "header" and not art) or (x.tag not in ("body", "html") and marked(x)):
+            art = art or x is main
+            if x.tag in DROPPED or (x.tag == "header" and not art) or (x.tag not in ("body", "html") and x is not main and marked(x, INSIDE if art and x.tag != "article" else MARKS)):
                 continue
             if not art and (x.tag in ("article", "main") or "main" in x.marks.lower().split()):
                 art = True
@@ -385,6 +397,8 @@ class Wrapper:
     """What was learnt of pages of one kind of a host. Lists go by the number of a node of the reference page.
 
     template: hashes of texts that are the same on nearly all pages. linked: nodes that are mostly links. main: the place of the content.
+    constant: hashes of label path and text of what stands on nearly all pages, wherever it stands among its siblings; matching pairs the most
+    nodes, which may leave such a node out.
     """
 
     labels: list[str]
@@ -393,6 +407,7 @@ class Wrapper:
     template: dict[int, int]
     linked: set[int]
     main: int
+    constant: set[int]
 
     def tree(self) -> list[Node]:
         """The reference page without its texts."""
@@ -406,23 +421,33 @@ class Wrapper:
         return nodes
 
     def said(self) -> dict:
-        return {"labels": self.labels, "parents": self.parents, "paths": self.paths, "template": sorted(self.template.items()), "linked": sorted(self.linked), "main": self.main}
+        return {"labels": self.labels, "parents": self.parents, "paths": self.paths, "template": sorted(self.template.items()), "linked": sorted(self.linked), "main": self.main, "constant": sorted(self.constant)}
 
     @staticmethod
     def read(said: dict) -> Wrapper:
-        return Wrapper(said["labels"], said["parents"], said["paths"], {int(k): v for k, v in said["template"]}, set(said["linked"]), said["main"])
+        return Wrapper(said["labels"], said["parents"], said["paths"], {int(k): v for k, v in said["template"]}, set(said["linked"]), said["main"], set(said["constant"]))
 
 
 def hashed(value: str) -> int:
     return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"))
 
 
-def label_paths(nodes: list[Node]) -> set[int]:
-    """Hashes of the labels from the top to each node."""
+def paths_of(nodes: list[Node]) -> list[int]:
+    """Hashes of the labels from the top to each node, by its number."""
     path = [0] * len(nodes)
     for n in nodes[1:]:
         path[n.order] = hashed(f"{path[n.parent.order]}/{n.label}")
-    return set(path[1:])
+    return path
+
+
+def label_paths(nodes: list[Node]) -> set[int]:
+    return set(paths_of(nodes)[1:])
+
+
+def placed_texts(nodes: list[Node]) -> dict[int, int]:
+    """Hash of label path and text by the number of each node that has text."""
+    path = paths_of(nodes)
+    return {n.order: hashed(f"{path[n.order]}:" + "\n".join(t)) for n in nodes if (t := n.text())}
 
 
 def shared(a: set[int], b: set[int]) -> float:
@@ -475,14 +500,16 @@ def induced(pages: list[list[Node]]) -> Wrapper:
         if n >= TEMPLATE_PAGES and n >= TEMPLATE_SHARE * seen.total():
             template[r] = hashed("\n".join(t))
     linked = {r for r, x in shares.items() if len(x) >= TEMPLATE_PAGES and sum(x) > LINK_SHARE * len(x)}
+    on = Counter(h for nodes in pages for h in set(placed_texts(nodes).values()))
+    constant = {h for h, n in on.items() if n >= TEMPLATE_PAGES and n >= TEMPLATE_SHARE * len(pages)}
     # the share of the varying text that stands at or below each node, on average
     mass = np.zeros(len(reference))
     for nodes, pairs in zip(pages, paired, strict=True):
         places = {n.order: r for r, n in pairs.items()}
-        own = np.zeros(len(nodes))
+        own, said = np.zeros(len(nodes)), placed_texts(nodes)
         for n in reversed(nodes):
             r = places.get(n.order)
-            if (t := n.text()) and r not in linked and n.link_share() <= LINK_SHARE and template.get(r) != hashed("\n".join(t)):
+            if (t := n.text()) and r not in linked and n.link_share() <= LINK_SHARE and said[n.order] not in constant and template.get(r) != hashed("\n".join(t)):
                 own[n.order] += sum(map(len, t))
             if n.parent is not None:
                 own[n.parent.order] += own[n.order]
@@ -497,7 +524,7 @@ def induced(pages: list[list[Node]]) -> Wrapper:
         if best is None or mass[best.order] < MAIN_SHARE * mass[main.order]:
             break
         main = best
-    return Wrapper([n.label for n in reference], [n.parent.order if n.parent else 0 for n in reference], sorted(label_paths(reference)), template, linked, main.order)
+    return Wrapper([n.label for n in reference], [n.parent.order if n.parent else 0 for n in reference], sorted(label_paths(reference)), template, linked, main.order, constant)
 
 
 class Host:
@@ -524,12 +551,12 @@ class Host:
         shapes.give(nodes)
         pairs = match(reference[0], root, shapes)
         places = {n.order: r for r, n in pairs.items()}
-        main = pairs.get(wrapper.main, root)
+        main, said = pairs.get(wrapper.main, root), placed_texts(nodes)
         inside = {id(n) for n in in_subtree(main)} | {id(n) for n in headings(main)}
         keep = set()
-        for n in kept_nodes(root) if by_marks else nodes:
+        for n in kept_nodes(root, main) if by_marks else nodes:
             r = places.get(n.order)
-            same = r in wrapper.template and wrapper.template[r] == hashed("\n".join(n.text()))
+            same = said.get(n.order) in wrapper.constant or r in wrapper.template and wrapper.template[r] == hashed("\n".join(n.text()))
             if id(n) in inside and not same and r not in wrapper.linked:
                 keep.add(id(n))
         return page_text(root, keep)
@@ -635,18 +662,19 @@ def wrappers(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return written(sampled(rows, sample).groupBy("host").applyInPandas(learn, "host string, said string"), "wrappers")
 
 
-RESULT = "page_id long, url string, text string, n_chars long"
+#: Ids go to workers as text and get their own type back: a column of numbers with nulls would come back rounded.
+RESULT = "page_id string, url string, text string, n_chars long"
 
 
 def result(rows: list[tuple], texts: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({"page_id": pd.array([None if pd.isna(r[0]) else int(r[0]) for r in rows], "Int64"), "url": pd.Series([r[1] for r in rows], dtype="object"), "text": pd.Series(texts, dtype="object"), "n_chars": [len(t) for t in texts]})
+    return pd.DataFrame({"page_id": pd.Series([r[0] for r in rows], dtype="object"), "url": pd.Series([r[1] for r in rows], dtype="object"), "text": pd.Series(texts, dtype="object"), "n_chars": [len(t) for t in texts]})
 
 
 def apply_known(frames: Iterable[pd.DataFrame], known: dict[str, str], by_marks: bool = True) -> Iterator[pd.DataFrame]:
     """Pages with the wrappers of all hosts at hand."""
     hosts: dict[str, Host] = {}
     for pdf in frames:
-        rows = list(zip(pdf["page_id"].astype("object"), pdf["url"], pdf["html"], pdf["host"], strict=True))
+        rows = list(zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["host"], strict=True))
         for h in {r[3] for r in rows} - hosts.keys():
             hosts[h] = Host.read(known.get(h))
         yield result(rows, [hosts[r[3]].extracted(r[2], by_marks) for r in rows])
@@ -657,7 +685,7 @@ def apply_sorted(frames: Iterable[pd.DataFrame], by_marks: bool = True) -> Itera
     key, host = None, Host()
     for pdf in frames:
         rows, texts = [], []
-        for i, url, source, name, deal, said in zip(pdf["page_id"].astype("object"), pdf["url"], pdf["html"], pdf["host"], pdf["deal"], pdf["said"], strict=True):
+        for i, url, source, name, deal, said in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["host"], pdf["deal"], pdf["said"], strict=True):
             if (name, deal) != key:
                 key, host = (name, deal), Host.read(said)
             if source is not None:
@@ -673,17 +701,20 @@ def dealt(rows: DataFrame, found: DataFrame) -> DataFrame:
     spot = F.pmod(F.xxhash64("page_id", "url", "html"), deals)
     pages = rows.join(heavy, "host", "left").select("host", spot.alias("deal"), F.lit(None).cast("string").alias("said"), "page_id", "url", "html")
     each = F.explode(F.sequence(F.lit(0).cast("long"), deals - 1))
-    heads = found.join(heavy, "host", "left").select("host", each.alias("deal"), "said", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    heads = found.join(heavy, "host", "left").select("host", each.alias("deal"), "said", F.lit(None).cast("string").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     return pages.unionByName(heads).repartition("host", "deal").sortWithinPartitions("host", "deal", F.col("said").desc_nulls_last())
 
 
 def extract_pages(pages: DataFrame, sample: int = SAMPLE, broadcast_bytes: int = BROADCAST_BYTES, by_marks: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     ship_package(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
+    kind = pages.schema["page_id"].dataType
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
     found = wrappers(rows.select("host", "html"), sample)
     size = found.agg(F.coalesce(F.sum(F.octet_length("said") + F.octet_length("host") + 64), F.lit(0))).first()[0]
     if size > broadcast_bytes:
-        return dealt(rows, found).mapInPandas(lambda it: apply_sorted(it, by_marks), RESULT)
-    known = pages.sparkSession.sparkContext.broadcast({r["host"]: r["said"] for r in found.collect()})
-    return rows.mapInPandas(lambda it: apply_known(it, known.value, by_marks), RESULT)
+        out = dealt(rows, found).mapInPandas(lambda it: apply_sorted(it, by_marks), RESULT)
+    else:
+        known = pages.sparkSession.sparkContext.broadcast({r["host"]: r["said"] for r in found.collect()})
+        out = rows.mapInPandas(lambda it: apply_known(it, known.value, by_marks), RESULT)
+    return out.withColumn("page_id", F.col("page_id").cast(kind))

@@ -178,3 +178,38 @@ def test_one_title_for_all_pages():
     assert extracted(pages) == [" ".join(f"word{i * j}" for j in range(20)) for i in range(6)]
     captures = [PLAIN.format(t="Acme", b=" ".join(f"word{j}" for j in range(99)), l=f"l{i}") for i in range(6)]
     assert all("word98" in t for t in extracted(captures))
+
+
+@pytest.mark.parametrize("spread", [10, 30, 60])
+def test_a_constant_block_goes_wherever_it_stands(spread):
+    """A block of the host's own after one to `spread` paragraphs, more of which pair without it."""
+    rnd = random.Random(spread)
+    pages = []
+    for i in range(12):
+        words = lambda: " ".join(rnd.choices(["sun", "rain", "wind", "cloud", "storm", "calm", "frost", "heat"], k=12))
+        paragraphs = [f"<p>{words()} {i} {k}</p>" for k in range(spread + 5)]
+        paragraphs.insert(rnd.randint(1, spread), '<div class="xk">Read the house rules before you write to us</div>')
+        pages.append(f"<title>t{i}</title><div><div>Acme Corp</div><div>{''.join(paragraphs)}</div></div>")
+    texts = extracted(pages)
+    assert not any("house rules" in t or "Acme" in t for t in texts)
+    assert all(t.count("\n") == spread + 4 for t in texts)
+
+
+def test_names_inside_an_article():
+    kept = ["header-image", "alert-level", "share-price", "rail", "banner", "searchlight", "footnote", "notice"]
+    gone = ["comments", "comment-list", "ad", "ad-container", "newsletterSignup", "related-posts", "sharing buttons", "reader-comments"]
+    body = "".join(f'<div class="{c}">text {{i}} of {n}</div>' for n, c in enumerate(kept + gone))
+    page = "<title>t{i}</title><nav>menu</nav><article><h1>Title {i}</h1>" + body + "</article><article class='teaser'><p>Another story {i}</p></article><div class='rail'>side {i}</div>"
+    want = lambda i: "\n".join([f"Title {i}", *[f"text {i} of {n}" for n in range(len(kept))]])
+    assert extracted([page.format(i=0)]) == [want(0)]
+    assert extracted([page.format(i=i) for i in range(8)]) == [want(i) for i in range(8)]
+
+
+def test_page_ids_of_any_kind(spark):
+    rows = [("p-1", "http://h/1", "<p>a"), (None, "http://h/2", "<p>b"), ("007", None, None)]
+    got = extract_pages(spark.createDataFrame(rows, "page_id string, url string, html string"))
+    assert {(r["page_id"], r["text"]) for r in got.collect()} == {("p-1", "a"), (None, "b"), ("007", "")}
+    big = extract_pages(spark.createDataFrame([(2**62 + 1, "u", "x"), (None, "u", "y")], "page_id long, url string, html string"))
+    assert {r["page_id"] for r in big.collect()} == {2**62 + 1, None} and dict(big.dtypes)["page_id"] == "bigint"
+    sorted_way = extract_pages(spark.createDataFrame(rows, "page_id string, url string, html string"), broadcast_bytes=-1)
+    assert sorted(map(str, sorted_way.collect())) == sorted(map(str, got.collect()))
