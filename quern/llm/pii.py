@@ -1,7 +1,7 @@
 """Personal data: overlapping candidates, boosted trees over format and context, calibrated selection; DataFrame operations only.
 
 Fixed formats (email, ip, card, phone) are always reported. High-recall generators propose further spans, overlapping
-as they come: numbers in groups, words with an at sign, spelt-out addresses, account numbers. Trees are boosted on
+as they come: windows over groups of digits, words with an at sign, spelt-out and spoken addresses, account numbers. Trees are boosted on
 generated texts whose spans have known answers (`generated`): numbers of persons in many forms on one side, dates, prices, order
 numbers, codes with wrong check digits and other look-alikes on the other, each with and without a cue word before it. None of
 the answers is one of the fixed formats. The threshold is the lowest score at which `PRECISION` is held on the half of the generated
@@ -30,7 +30,7 @@ from .common import text_or_empty, written
 KINDS = ("email", "ip", "card", "phone", "other")
 #: Generated texts that trees are boosted on; half of them are for the threshold.
 GENERATED = 12_000
-ROUNDS, DEPTH, RATE, RIDGE, LEAST_HESSIAN = 24, 3, 0.4, 1.0, 2.0
+ROUNDS, DEPTH, RATE, RIDGE, LEAST_HESSIAN = 32, 4, 0.4, 1.0, 2.0
 PRECISION = 0.98
 
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -41,9 +41,13 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Generators of further candidates.
-NUMBERS = r"(?<![0-9A-Za-z])[+(]?[0-9][0-9().\x20/-]{5,24}[0-9](?![0-9A-Za-z])"
+#: Groups of digits, and what may stand between two of a number; a text without this many digits near each other has no number.
+DIGITS, JOINT, SOME_NUMBER = "[0-9]++", r"^[().\x20/-]{1,3}$", r"[0-9](?:[().\x20/-]{0,3}[0-9]){6}"
+#: Groups of the longest number; digits of the shortest and the longest.
+GROUPS, LEAST_DIGITS, MOST_DIGITS = 5, 7, 19
 AT_SIGN = r"(?<![^\s<>(),;:@])[^\s<>(),;:@]{1,64}+@[^\s<>(),;:@]{2,255}+"
 SPELT = rf"(?<!{LOCAL}){LOCAL}++\x20?[\[({{]at[\])}}]\x20?[A-Za-z0-9-]++(?:\x20?(?:[\[({{]dot[\])}}]|\.)\x20?[A-Za-z0-9-]++)++"
+SPOKEN = rf"(?i)(?<!{LOCAL})[A-Za-z0-9.+-]++(?:_[A-Za-z0-9.+-]++)*?(?:\x20at\x20|_AT_)[A-Za-z0-9-]++(?:(?:\x20dot\x20|_DOT_|\.)[A-Za-z0-9-]++)++"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 # What personal data and what other numbers are announced by.
 LINK = r"(?:[^A-Za-z0-9]+(?:me|us|him|her|at|on|is|no|nr|number|under|to|via|my|our|the)){0,3}[^A-Za-z0-9]*$"
@@ -55,7 +59,7 @@ SPAN = "struct<start:int,stop:int,m:string,before:string,after:string>"
 CONTEXT = 48
 FEATURES = (
     "digits", "length", "letters", "at", "distinct", "luhn", "iban", "cue", "other_cue", "free_before", "free_after", "groups", "first", "last", "longest",
-    "spaces", "dashes", "dots", "slashes", "brackets", "date", "book", "zero", "dotted_host", "thousands",
+    "spaces", "dashes", "dots", "slashes", "brackets", "date", "book", "zero", "dotted_host", "thousands", "near_before", "near_after",
 )
 MOST = 32  # feature values above count as this
 #: Elements over which a running value is taken at once.
@@ -152,12 +156,15 @@ def features(s: Column) -> Column:
     count = lambda pattern: F.regexp_count(m, F.lit(pattern))
     groups = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
     group = lambda k: F.coalesce(F.char_length(F.try_element_at(groups, F.lit(k))), F.lit(0))
+    # in a list the cue stands before the first number
+    lead = F.regexp_replace(s["before"], r"[0-9().\x20/,;+-]*[0-9][0-9().\x20/,;+-]*$", "")
     f = {
-        "digits": F.char_length(d), "length": F.char_length(m), "letters": count("[A-Za-z]"), "at": yes(F.contains(m, F.lit("@"))) + 2 * yes(m.rlike(r"(?i)[\[({]at[\])}]")),
-        "distinct": F.size(F.array_distinct(F.split(d, ""))), "luhn": yes((F.char_length(d) >= 12) & luhn(d)), "iban": yes(check97(m)), "cue": yes(s["before"].rlike(CUE)), "other_cue": yes(s["before"].rlike(OTHER_CUE)),
+        "digits": F.char_length(d), "length": F.char_length(m), "letters": count("[A-Za-z]"), "at": yes(F.contains(m, F.lit("@"))) + 2 * yes(m.rlike(r"(?i)[\[({]at[\])}]")) + 4 * yes(m.rlike(r"(?i)(?:\x20|_)at(?:\x20|_)")) + 8 * yes(m.rlike(r"(?i)(?:\x20|_)dot(?:\x20|_)")),
+        "distinct": F.size(F.array_distinct(F.split(d, ""))), "luhn": yes((F.char_length(d) >= 12) & luhn(d)), "iban": yes(check97(m)), "cue": yes(lead.rlike(CUE)), "other_cue": yes(lead.rlike(OTHER_CUE)),
         "free_before": yes(~s["before"].rlike("[A-Za-z0-9]$")), "free_after": yes(~s["after"].rlike("^[A-Za-z0-9]")), "groups": F.size(groups), "first": group(1), "last": group(-1),
         "longest": F.coalesce(F.array_max(F.transform(groups, lambda g: F.char_length(g))), F.lit(0)), "spaces": count(" "), "dashes": count("-"), "dots": count(r"\."), "slashes": count("/"), "brackets": count(r"[\[({]"), "date": yes(m.rlike(DATE)),
         "book": yes(m.rlike("^97[89]")), "zero": yes(m.rlike(r"^\(?0[1-9]")) + 2 * yes(m.startswith("00")), "dotted_host": yes(m.rlike(r"(?i)(?:\.|[\[({]dot[\])}])\x20?[A-Za-z]{2,}$")), "thousands": yes(m.rlike(r"^[0-9]{1,3}(?:[. ][0-9]{3})+$")),
+        "near_before": yes(s["before"].rlike(r"[0-9][().\x20/-]{1,3}$")) + yes(s["before"].rlike(r"[0-9][()./-]{1,3}$")), "near_after": yes(s["after"].rlike(r"^[().\x20/-]{1,3}[0-9]")) + yes(s["after"].rlike(r"^[()./-]{1,3}[0-9]")),
     }
     return F.array(*[F.least(f[k], F.lit(MOST)).cast("int") for k in FEATURES])
 
@@ -166,10 +173,61 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["stop"]) & (b["start"] < a["stop"])
 
 
+def number_windows(text: Column, guard: Column) -> Column:
+    """Every run of one to `GROUPS` groups of digits that could be a number, overlapping as they come, with the text around it.
+
+    A list of numbers is one long run of groups, so where a number begins and ends is for the score to say.
+    """
+    none = F.array().cast("array<string>")
+    span = "struct<start:int,stop:int,m:string,before:string,after:string>"
+    found = F.when(guard, F.regexp_extract_all(text, F.lit(DIGITS), F.lit(0))).otherwise(none)
+
+    def groups(mp: Column) -> Column:
+        """(at, m, gap before it, gap after it) of each group."""
+        n = F.size(mp["m"])
+        both = F.zip_with(mp["m"], F.slice(mp["p"], F.lit(1), n), lambda m, q: F.struct(m.alias("m"), q.alias("gap")))
+        ends = running(F.transform(both, lambda x: (F.char_length(x["gap"]) + F.char_length(x["m"])).cast("long")), 0, lambda x, y: x + y)
+        rows = F.zip_with(both, ends, lambda x, e: F.struct((e + F.char_length(x["gap"])).cast("int").alias("at"), x["m"].alias("m"), x["gap"].alias("gap"), x["gap"].rlike(JOINT).alias("joint")))
+        return F.zip_with(rows, F.slice(mp["p"], F.lit(2), n), lambda x, q: F.struct(x["at"].alias("at"), x["m"].alias("m"), x["gap"].alias("gap"), x["joint"].alias("joint"), q.alias("next")))
+
+    def windows(gs: Column) -> Column:
+        def of(g: Column, i: Column) -> Column:
+            """Windows that begin at a group: (groups, digits) first, so that text is only put together for those that could be numbers."""
+            near = F.slice(gs, i + 1, F.lit(GROUPS))
+            sizes = F.aggregate(
+                near, F.struct(F.lit(0).alias("n"), F.lit(0).alias("digits"), F.lit(True).alias("open"), F.array().cast("array<struct<n:int,digits:int>>").alias("out")),
+                lambda acc, x: F.when(acc["open"] & ((acc["n"] == 0) | x["joint"]) & (acc["digits"] + F.char_length(x["m"]) <= MOST_DIGITS), F.struct(
+                    (acc["n"] + 1).alias("n"), (acc["digits"] + F.char_length(x["m"])).alias("digits"), F.lit(True).alias("open"),
+                    F.concat(acc["out"], F.array(F.struct((acc["n"] + 1).alias("n"), (acc["digits"] + F.char_length(x["m"])).alias("digits")))).alias("out"),
+                )).otherwise(F.struct(acc["n"].alias("n"), acc["digits"].alias("digits"), F.lit(False).alias("open"), acc["out"].alias("out"))),
+                lambda acc: F.filter(acc["out"], lambda w: w["digits"] >= LEAST_DIGITS),
+            )
+            lead = F.regexp_extract(g["gap"], r"(?:\+\(|\(\+|[(+])$", 0)
+            back = F.transform(F.slice(gs, F.greatest(i - 4, F.lit(1)), F.least(i, F.lit(5))), lambda x: F.concat(x["gap"], x["m"]))
+            context = F.concat(F.array_join(back, ""), F.substring(g["gap"], F.lit(1), F.char_length(g["gap"]) - F.char_length(lead)))
+
+            def window(w: Column) -> Column:
+                parts = F.slice(near, F.lit(1), w["n"])
+                last, following = F.element_at(near, w["n"]), F.coalesce(F.try_element_at(gs, i + w["n"] + 1)["m"], F.lit(""))
+                m = F.concat(lead, g["m"], F.array_join(F.transform(F.slice(parts, F.lit(2), w["n"] - 1), lambda x: F.concat(x["gap"], x["m"])), ""))
+                return F.struct(
+                    (g["at"] - F.char_length(lead)).cast("int").alias("start"), (last["at"] + F.char_length(last["m"])).cast("int").alias("stop"), m.alias("m"),
+                    F.right(context, F.lit(CONTEXT)).alias("before"), F.left(F.concat(last["next"], following), F.lit(4)).alias("after"),
+                ).cast(span)
+
+            return F.when(F.size(sizes) > 0, F.transform(sizes, window)).otherwise(F.array().cast(f"array<{span}>"))
+
+        every = F.flatten(F.transform(gs, of))
+        return F.filter(every, lambda x: ~x["before"].rlike("[A-Za-z0-9]$") & ~x["after"].rlike("^[A-Za-z]"))
+
+    return bound(found, lambda m: F.when(F.size(m) > 0, bound(F.struct(m.alias("m"), F.split(text, DIGITS, -1).alias("p")), lambda mp: bound(groups(mp), windows))).otherwise(F.array().cast(f"array<{SPAN}>")))
+
+
 def proposed(text: Column) -> Column:
     """The spans of all generators, overlapping as they come."""
     at, digit = F.contains(text, F.lit("@")), text.rlike("[0-9]")
-    return F.concat(located(text, NUMBERS, digit), located(text, AT_SIGN, at), located(text, SPELT, text.rlike(r"(?i)[\[({]at[\])}]")), located(text, IBAN, digit))
+    spoken = text.rlike(r"(?i)(?:\x20at\x20|_AT_)[A-Za-z0-9-]++(?:\x20dot\x20|_DOT_|\.)")
+    return F.concat(number_windows(text, digit & text.rlike(SOME_NUMBER)), located(text, AT_SIGN, at), located(text, SPELT, text.rlike(r"(?i)[\[({]at[\])}]")), located(text, SPOKEN, spoken), located(text, IBAN, digit))
 
 
 def apart(base: Column, raw: Column) -> Column:
@@ -229,7 +287,7 @@ def generated(spark: SparkSession, n: int = GENERATED) -> DataFrame:
     card = F.concat(body, F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: k.cast("string")), lambda k: luhn(F.concat(body, k))), 1))
     no_card = F.concat(body, F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: k.cast("string")), lambda k: ~luhn(F.concat(body, k))), 1))
     name, host, end = pick(14, NAMES), pick(15, HOSTS), pick(16, ENDS)
-    phone = F.when(chance(20, 50), pick(21, CUES)).when(chance(22, 10), pick(23, OTHER_CUES)).otherwise(F.lit(""))
+    phone, ordered = F.when(chance(20, 60), pick(21, CUES)).otherwise(F.lit("")), pick(23, OTHER_CUES)
     mail, account = (F.when(chance(24, 50), pick(25, of)).otherwise(F.lit("")) for of in (MAIL_CUES, ACCOUNT_CUES))
     other = F.when(chance(26, 40), pick(27, OTHER_CUES)).when(chance(28, 25), pick(29, CUES)).otherwise(F.lit(""))
     no_cue = F.when(chance(30, 50), pick(31, OTHER_CUES)).otherwise(F.lit(""))
@@ -245,14 +303,24 @@ def generated(spark: SparkSession, n: int = GENERATED) -> DataFrame:
         (0, other, put("978-", within(45, 0, 9, 1), "-", number(46, 2), "-", six, "-", within(47, 0, 9, 1))), (0, other, put("978", number(48, 10))), (0, other, put(within(49, 0, 89, 1), ".", four, " ", within(50, 0, 89, 1), ".", number(51, 4))), (0, other, put(within(52, 0, 9, 1), "-", within(53, 0, 9, 1), " ", within(54, 0, 9, 1), "-", within(55, 0, 9, 1), " ", within(56, 0, 9, 1), "-", within(57, 0, 9, 1))),
         (0, other, put(within(58, 1, 40, 1), ".", within(59, 0, 40, 1), ".", within(60, 0, 40, 1), "-", number(61, 3))), (0, no_cue, put(number(62, 4), "-", number(63, 4), "-", number(64, 4))), (0, no_cue, put(number(65, 2), "-", number(66, 5), "-", number(67, 3))),
         (0, account, put(country, wrong, bban)), (0, account, fours(put(country, wrong, bban), " ")), (0, no_cue, put(pick(68, ("AB", "XT", "QR", "SN", "PN")), number(69, 2), " ", four, " ", number(70, 4))),
+        (0, ordered, put("(", area, ") ", three, "-", four)), (0, ordered, put(area, "-", three, "-", four)), (0, ordered, put(area, ".", three, ".", four)), (0, ordered, put("0", area, "/", six)), (0, ordered, put("0", area, " ", six)),
+        (1, phone, put("0", within(80, 1, 9, 1), " ", four, " ", number(81, 4))), (1, phone, put("+", within(82, 30, 49, 2), " ", area, " ", three, " ", four, "/", number(83, 2))),
+        (1, mail, put(name, " at ", host, " dot ", end)), (1, mail, put(name, "_AT_", host, ".", end)), (1, none, put(name, " at ", host, " dot ", end)),
+        (0, none, put(pick(84, FILLER), " at ", pick(85, FILLER), ".", pick(86, ("Then", "But", "And", "So")))), (0, mail, put(pick(87, FILLER), " at ", host, ".", end)), (0, none, put(pick(88, FILLER), " at ", pick(89, FILLER), ".", pick(79, FILLER))),
         (0, none, put(pick(71, FILLER), " (at) ", pick(72, FILLER), ".", pick(73, ("Then", "But", "And", "So")))), (0, mail, put(pick(74, FILLER), "@", pick(75, FILLER))), (0, none, put(number(76, 2), "@", number(77, 2))), (0, none, put(pick(78, FILLER), "(at)", number(79, 1), ".", number(80, 2))),
     ]
     which = F.pmod(F.col("id"), F.lit(len(kinds))).cast("int") + 1
     at = lambda part: F.element_at(F.array(*part), which)
     words = lambda salt: F.concat_ws(" ", pick(salt, FILLER), pick(salt + 1, FILLER), pick(salt + 2, FILLER))
     rows = spark.range(n).select("id", at([F.lit(y) for y, _, _ in kinds]).alias("y"), at([c for _, c, _ in kinds]).alias("cue"), at([x for _, _, x in kinds]).alias("span"))
-    rows = rows.withColumn("lead", F.concat(F.concat_ws(" ", words(90), F.when(F.col("cue") != "", F.col("cue"))), F.lit(" ")))
+    # more than half stand in a list with another of their form, which comes before or after or both
+    another = F.translate("span", "0123456789", "3456789012")
+    side = F.pmod(F.xxhash64("id", F.lit(98)), F.lit(5))
+    apart_by = F.element_at(F.array(*map(F.lit, (" ", " ", ", ", " / "))), (F.pmod(F.xxhash64("id", F.lit(97)), F.lit(4)) + 1).cast("int"))
+    lead = F.concat(F.concat_ws(" ", words(90), F.when(F.col("cue") != "", F.col("cue"))), F.lit(" "), F.when(side.isin(0, 2), F.concat(another, apart_by)).otherwise(F.lit("")))
+    rows = rows.withColumn("lead", lead)
     end = F.element_at(F.array(*map(F.lit, (" ", ". ", ", ", "; "))), (F.pmod(F.xxhash64("id", F.lit(99)), F.lit(4)) + 1).cast("int"))
+    end = F.concat(F.when(side.isin(1, 2), F.concat(apart_by, another)).otherwise(F.lit("")), end)
     start = F.char_length("lead")
     return rows.select(F.xxhash64("id", F.lit(100)).alias("spot"), F.concat("lead", "span", end, words(95)).alias("text"), start.alias("start"), (start + F.char_length("span")).alias("stop"), "y")
 
@@ -262,7 +330,8 @@ def labelled(spark: SparkSession, n: int = GENERATED) -> DataFrame:
 
     A candidate of the answer's kind that takes in a blank or a bracket more or less is left open.
     """
-    rows = generated(spark, n).withColumn("c", F.explode(proposed(F.col("text"))))
+    # written, or every mention of a text would make it anew; and not `explode`, for which the optimizer would add a filter that finds the candidates again
+    rows = written(generated(spark, n), "generated").withColumn("c", F.explode_outer(proposed(F.col("text"))))
     c, answer = F.col("c"), F.struct("start", "stop")
     inside = F.least(c["stop"], F.col("stop")) - F.greatest(c["start"], F.col("start"))
     whole = (inside * 10 >= 9 * (F.col("stop") - F.col("start"))) & (inside * 10 >= 9 * (c["stop"] - c["start"]))

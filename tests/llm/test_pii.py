@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm.pii import SPAN, Boosted, Split, apart, boost, check97, chosen, find_pii, labelled, running
+from quern.llm.pii import SOME_NUMBER, SPAN, Boosted, Split, apart, boost, check97, chosen, find_pii, labelled, number_windows, running
 
 from .helpers import documents, more_docs, no_docs, odd_docs
 
@@ -177,6 +177,67 @@ def test_many_matches_in_one_text(spark):
     assert time.time() - start < 90
 
 
+def windows(t):
+    """Group by group: every run of up to five that could be a number."""
+    groups, out = [m for m in re.finditer("[0-9]+", t)], []
+    for i, g in enumerate(groups):
+        lead = re.search(r"(?:\+\(|\(\+|[(+])?$", t[groups[i - 1].end() if i else 0 : g.start()])[0]
+        a, b, n = g.start() - len(lead), g.end(), len(g[0])
+        for k in range(5):
+            if k:
+                if i + k >= len(groups) or not re.fullmatch(r"[().\x20/-]{1,3}", t[b : groups[i + k].start()]):
+                    break
+                n, b = n + len(groups[i + k][0]), groups[i + k].end()
+            if n > 19:
+                break
+            if n >= 7 and not re.search("[A-Za-z0-9]$", t[max(0, a - 1) : a]) and not re.match("[A-Za-z]", t[b : b + 1]):
+                out.append((a, b, t[a:b]))
+    return sorted(out)
+
+
+def test_windows_equal_brute_force(spark, sf_dir):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choices(["1", "23", "456", "7890123", " ", "-", "(", "+", ") ", "/", ".", "a", "é", ", ", "😀"], k=rnd.randint(0, 25))) for _ in range(1500)] + [r["text"] or "" for r in documents(spark, sf_dir).collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", number_windows(F.col("t"), F.lit(True)).alias("w"))
+    for r in df.collect():
+        t = texts[r["i"]]
+        assert sorted((w["start"], w["stop"], w["m"]) for w in r["w"]) == windows(t), t
+        for w in r["w"]:
+            assert t[: w["start"]].endswith(w["before"]) and t[w["stop"] :].startswith(w["after"])
+    guarded = spark.createDataFrame(list(enumerate(texts)), "i int, t string").where(~F.col("t").rlike(SOME_NUMBER)).collect()
+    assert guarded and not any(windows(r["t"]) for r in guarded)
+
+
+def test_lists_of_numbers(spark):
+    rnd = random.Random(3)
+    number = lambda: f"0{rnd.randint(20, 99)}/{rnd.randint(100_000, 999_999)}"
+    texts = {"call 0231/123456 0232/123457 now": 2, "phone: " + " ".join(number() for _ in range(3000)): 3000, "212-555-0143, 212-555-0144, 212-555-0145": 3}
+    for r in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        text, n = list(texts.items())[r["doc_id"]]
+        found = [text[int(a) : int(b)] for _, a, b in (x.split(":") for x in r["spans"].split(","))]
+        assert 0.99 * n <= len(found) <= n and set(found) <= set(re.findall("[0-9]+[-/][0-9]+(?:-[0-9]+)?", text))
+
+
+def test_cues_of_other_numbers(spark):
+    """Made by rules of their own: what is ordered, sold or built is no number of a person, whatever its form; spoken addresses are."""
+    rnd, rows, want = random.Random(21), [], {}
+    forms = [lambda: f"{rnd.randint(201, 989)}-{rnd.randint(200, 999)}-{digits(rnd, 4)}", lambda: f"0{rnd.randint(20, 99)}/{rnd.randint(100_000, 999_999)}", lambda: f"({rnd.randint(201, 989)}) {rnd.randint(200, 999)}-{digits(rnd, 4)}"]
+    address = lambda: rnd.choice(["{0} at {1} dot {2}", "{0}_AT_{1}.{2}", "{0} [at] {1} [dot] {2}"]).format(rnd.choice(["karl", "eva.b", "t-lee"]), rnd.choice(["firma", "big-shop"]), rnd.choice(["com", "de", "eu"]))
+    for i in range(400):
+        if i % 2:
+            cue, span = rnd.choice([("please phone", rnd.choice(forms)()), ("her mobile:", rnd.choice(forms)()), ("mail", address()), ("write to", address())])
+        else:
+            cue, span = rnd.choice(["order no", "Room", "invoice", "item", "build", "ticket", "part"]), rnd.choice(forms)()
+        lead = f"Yesterday, {cue} "
+        rows.append((i, f"{lead}{span} as we said."))
+        if i % 2:
+            want[i] = f"other:{len(lead)}:{len(lead) + len(span)}"
+    got = {r["doc_id"]: r["spans"] for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits, false = sum(got[i] == w for i, w in want.items()), sum(bool(got[i]) for i, _ in rows if i not in want)
+    print(f"whole {hits} of {len(want)}, false {false} of {len(rows) - len(want)}")
+    assert hits >= 0.9 * len(want) and false <= 0.05 * len(rows)
+
+
 def test_main_path_has_no_python(spark, sf_dir):
     plan = find_pii(documents(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
