@@ -262,36 +262,49 @@ def serve_clicks(spark, d):
 
 # weather --------------------------------------------------------------------------------------------------------------
 
-START, END, DAYS = date(2026, 5, 18), date(2026, 8, 15), 30
+DAYS = 30
 
 
-def server(params: dict) -> tuple[int, dict]:
-    """Answers by place and hour alone, so that windows that overlap agree."""
-    if "start_date" in params:
-        first, last = date.fromisoformat(params["start_date"]), date.fromisoformat(params["end_date"])
-    else:
-        first, last = T0.date(), T0.date() + timedelta(days=1)
-    hours = [datetime(first.year, first.month, first.day) + timedelta(hours=h) for h in range(24 * ((last - first).days + 1))]
-    k = round(params["latitude"] * 10) % 7
-    values = [t.day + t.hour + k for t in hours]
-    hourly = {"time": [t.strftime("%Y-%m-%dT%H:%M") for t in hours], "temperature_2m": [v + 0.5 for v in values], "relative_humidity_2m": [v % 101 for v in values], "precipitation": [v % 3 / 2 for v in values], "wind_speed_10m": [v / 2 for v in values], "weather_code": [v % 4 for v in values]}
-    return 200, {"latitude": params["latitude"], "longitude": params["longitude"], "hourly_units": {"time": "iso8601"}, "hourly": hourly}
+def event_days(spark: SparkSession, d: str) -> tuple[date, date]:
+    """The first and the last day with events."""
+    first, last = V.read(spark, d, "events").agg(F.min("ts").cast("date"), F.max("ts").cast("date")).first()
+    return first, last
 
 
-PLACES_SQL = "(VALUES " + ", ".join(f"('{p.warehouse_id}', CAST({round(p.latitude * 10) % 7} AS BIGINT))" for p in PLACES) + ") p(warehouse_id, k)"
+def server_of(spark: SparkSession, d: str) -> Callable[[dict], tuple[int, dict]]:
+    """A server whose weather is what events say: at each place and hour how many there were. It holds a number for each hour with events, as a server does."""
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    counts = {(r["k"], r["h"]): r["n"] for r in V.read(spark, d, "events").groupBy((F.col("user_id") % len(PLACES)).alias("k"), hour.alias("h")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    number = {(p.latitude, p.longitude): k for k, p in enumerate(PLACES)}
+    last = event_days(spark, d)[1]
 
+    def server(params: dict) -> tuple[int, dict]:
+        first, until = (date.fromisoformat(params[c]) for c in ("start_date", "end_date")) if "start_date" in params else (last, last + timedelta(days=1))
+        hours = [datetime(first.year, first.month, first.day) + timedelta(hours=h) for h in range(24 * ((until - first).days + 1))]
+        values = [counts.get((number[params["latitude"], params["longitude"]], t), 0) for t in hours]
+        hourly = {"time": [t.strftime("%Y-%m-%dT%H:%M") for t in hours], "temperature_2m": [v + 0.5 for v in values], "relative_humidity_2m": [v % 101 for v in values], "precipitation": [v % 3 / 2 for v in values], "wind_speed_10m": [v / 2 for v in values], "weather_code": [v % 4 for v in values]}
+        return 200, {"latitude": params["latitude"], "longitude": params["longitude"], "hourly_units": {"time": "iso8601"}, "hourly": hourly}
 
-def hours_sql(first: date, days: int) -> str:
-    return f"""(SELECT warehouse_id, t - INTERVAL 7 HOUR AS utc, day(t) + hour(t) + k AS v FROM {PLACES_SQL}, (SELECT unnest(generate_series(TIMESTAMP '{first}', TIMESTAMP '{first}' + INTERVAL {24 * days - 1} HOUR, INTERVAL 1 HOUR)) AS t))"""
+    return server
+
+
+PLACES_SQL = "(VALUES " + ", ".join(f"('{p.warehouse_id}', {k})" for k, p in enumerate(PLACES)) + ") p(warehouse_id, k)"
+HOURS_SQL = f"SELECT k, date_trunc('hour', ts) AS h, count(*) AS n FROM (SELECT ts, user_id % {len(PLACES)} AS k FROM events) GROUP BY 1, 2"
+LAST_DAY, FIRST_DAY = ("(SELECT CAST(CAST(" + f + "(ts) AS DATE) AS TIMESTAMP) FROM events)" for f in ("max", "min"))
+
+
+def hours_sql(first: str, last: str) -> str:
+    """Every hour of every place from the first day to the end of the last, in UTC, with how many events it had."""
+    return f"""(SELECT warehouse_id, t - INTERVAL 7 HOUR AS utc, coalesce(n, 0) AS v FROM (SELECT * FROM {PLACES_SQL}, (SELECT unnest(generate_series({first}, {last} + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS t)) g LEFT JOIN ({HOURS_SQL}) c ON c.k = g.k AND c.h = g.t)"""
 
 
 MEASURES_SQL = "v + CAST(0.5 AS DOUBLE) AS temperature_2m, CAST(v % 101 AS INTEGER) AS relative_humidity_2m, (v % 3) / CAST(2 AS DOUBLE) AS precipitation, v / CAST(2 AS DOUBLE) AS wind_speed_10m, CAST(v % 4 AS INTEGER) AS weather_code"
 
 
-@query("weather_forecast_served", f"SELECT warehouse_id, utc AS forecast_time, {MEASURES_SQL} FROM {hours_sql(T0.date(), 2)}")
+@query("weather_forecast_served", f"SELECT warehouse_id, utc AS forecast_time, {MEASURES_SQL} FROM {hours_sql(LAST_DAY, f'{LAST_DAY} + INTERVAL 1 DAY')}")
 def weather_forecast_served(spark, d):
     """Forecast units for all places, one left without its marker by a crash and fetched again, cleaned and served."""
-    place = folder(spark, "forecast")
+    place, server = folder(spark, "forecast"), server_of(spark, d)
     try:
         ingest_forecasts(spark, f"{place}/w", T0, "r1", server, now=lambda: T0, fail=crash_once("_SUCCESS"))
     except Crash:
@@ -303,16 +316,18 @@ def weather_forecast_served(spark, d):
     return SnapshotTable(spark, f"{place}/staging").read().select("warehouse_id", "forecast_time", *M.MEASURES)
 
 
-@query("weather_history_served", f"SELECT warehouse_id, utc AS weather_time, {MEASURES_SQL} FROM {hours_sql(START, (END - START).days + 1)}")
+@query("weather_history_served", f"SELECT warehouse_id, utc AS weather_time, {MEASURES_SQL} FROM {hours_sql(FIRST_DAY, LAST_DAY)}")
 def weather_history_served(spark, d):
-    """Past windows for all places, taken in, cleaned, merged where they overlap, and served."""
-    place = folder(spark, "history")
-    n = len(windows(START, END, DAYS)) * len(PLACES)
-    expect(ingest_history(spark, f"{place}/w", START, END, "r1", server, days=DAYS, now=lambda: T0), {"committed": n, "skipped": 0})
-    expect(ingest_history(spark, f"{place}/w", START, END, "r2", server, days=DAYS, now=lambda: T0), {"committed": 0, "skipped": n})
+    """Past windows for all places, from the first day with events to the last, taken in, cleaned, merged where they overlap, and served."""
+    place, server, (first, last) = folder(spark, "history"), server_of(spark, d), event_days(spark, d)
+    n = len(windows(first, last, DAYS)) * len(PLACES)
+    expect(ingest_history(spark, f"{place}/w", first, last, "r1", server, days=DAYS, now=lambda: T0), {"committed": n, "skipped": 0})
+    expect(ingest_history(spark, f"{place}/w", first, last, "r2", server, days=DAYS, now=lambda: T0), {"committed": 0, "skipped": n})
     expect(P.weather_history(spark, f"{place}/w", f"{place}/silver", f"{place}/control"), n)
-    ingest_history(spark, f"{place}/w", START, START + timedelta(days=3), "r3", server, PLACES[:2], now=lambda: T0 + timedelta(days=1))
-    expect(P.weather_history(spark, f"{place}/w", f"{place}/silver", f"{place}/control"), 2)
+    again = min(last, first + timedelta(days=3))
+    if again < min(last, first + timedelta(days=DAYS - 1)):  # a window of other ends, over some of the same hours
+        ingest_history(spark, f"{place}/w", first, again, "r3", server, PLACES[:2], now=lambda: T0 + timedelta(days=1))
+        expect(P.weather_history(spark, f"{place}/w", f"{place}/silver", f"{place}/control"), 2)
     expect(P.serve_weather(spark, "historical", f"{place}/silver", f"{place}/staging"), "LOADED")
     return SnapshotTable(spark, f"{place}/staging").read().select("warehouse_id", "weather_time", *M.MEASURES)
 
