@@ -126,6 +126,7 @@ HISTORY_NULLS = {
 def weather_checks(df: DataFrame, nulls: Mapping[str, str], more: Mapping[str, Column]) -> DataFrame:
     """Null counters, counters of values that can't be, and some more, in one pass. A null is no value out of range; its own counter has it."""
     h, p, w = F.col("relative_humidity_2m"), F.col("precipitation"), F.col("wind_speed_10m")
+    # fixed values: names of the range counters
     ranges = {"humidity_below_0": h < 0, "humidity_above_100": h > 100, "negative_precip": p < 0, "negative_wind": w < 0}
     return counters(df, {n: F.col(c).isNull() for c, n in nulls.items()} | ranges | dict(more))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.scalar import local_to_utc, path_value
 
 from .versions import latest
 
+# Fields of the payload and of its metadata.
 HOURLY = ("time", "temperature_2m", "relative_humidity_2m", "precipitation", "wind_speed_10m", "weather_code")
 VALUES = HOURLY[1:]
 RESPONSE_SCHEMA = (
@@ -21,6 +24,8 @@ METADATA_SCHEMA = (
     "response_latitude double, response_longitude double, endpoint string, http_status int, request_params struct<start_date:string,end_date:string,timezone:string>"
 )
 
+COORDINATES = ("requested_latitude", "requested_longitude", "response_latitude", "response_longitude")
+
 
 def with_ingestion_id(responses: DataFrame) -> DataFrame:
     return responses.withColumn("ingestion_id", path_value(F.col("_metadata.file_path")))
@@ -36,22 +41,22 @@ def exploded(responses: DataFrame) -> DataFrame:
     return checked.select("ingestion_id", F.explode("__zipped").alias("h")).select("ingestion_id", *[F.col(f"h.{c}").alias(c) for c in HOURLY])
 
 
+def hours_of(responses: DataFrame, metadata: DataFrame, time: str, said: Mapping[str, Column]) -> DataFrame:
+    """A row for each hour of each response, its time as `time` in UTC, with the place and what the metadata (one row for each response) says: columns by name."""
+    m = metadata.select("ingestion_id", "warehouse_id", *[c.alias(n) for n, c in said.items()], *COORDINATES)
+    at = local_to_utc(F.to_timestamp("time")).alias(time)
+    return exploded(responses).join(m, "ingestion_id", "left").select("warehouse_id", "ingestion_id", *said, at, *VALUES, *COORDINATES)
+
+
 def forecast_silver(responses: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Forecast hours with the snapshot they belong to; metadata is one row for each response."""
-    m = metadata.select("ingestion_id", "warehouse_id", F.to_timestamp("logical_at").alias("snapshot_at"), F.to_timestamp("requested_at").alias("retrieved_at"), "requested_latitude", "requested_longitude", "response_latitude", "response_longitude")
-    return exploded(responses).join(m, "ingestion_id", "left").select(
-        "warehouse_id", "ingestion_id", "snapshot_at", "retrieved_at", local_to_utc(F.to_timestamp("time")).alias("forecast_time"), *VALUES, "requested_latitude", "requested_longitude", "response_latitude", "response_longitude"
-    )
+    """Forecast hours with the snapshot they belong to."""
+    return hours_of(responses, metadata, "forecast_time", {"snapshot_at": F.to_timestamp("logical_at"), "retrieved_at": F.to_timestamp("requested_at")})
 
 
 def history_silver(responses: DataFrame, metadata: DataFrame) -> DataFrame:
-    m = metadata.select(
-        "ingestion_id", "warehouse_id", F.to_timestamp("requested_at").alias("retrieved_at"), F.to_date("request_params.start_date").alias("window_start"), F.to_date("request_params.end_date").alias("window_end"),
-        "requested_latitude", "requested_longitude", "response_latitude", "response_longitude",
-    )
-    return exploded(responses).join(m, "ingestion_id", "left").select(
-        "warehouse_id", local_to_utc(F.to_timestamp("time")).alias("weather_time"), "ingestion_id", "retrieved_at", "window_start", "window_end", *VALUES, "requested_latitude", "requested_longitude", "response_latitude", "response_longitude"
-    )
+    """Past hours with the window that they were asked for in."""
+    window = {f"window_{x}": F.to_date(f"request_params.{x}_date") for x in ("start", "end")}
+    return hours_of(responses, metadata, "weather_time", {"retrieved_at": F.to_timestamp("requested_at")} | window)
 
 
 def resolved(history: DataFrame) -> DataFrame:
