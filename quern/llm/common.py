@@ -136,16 +136,18 @@ def filter_of(keys: DataFrame, key: str, n: int, most_bits: int = MOST_BITS) ->
     return Filter(written(buckets.agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("__bits")), "filter"), size)
 
 
-def may_have(rows: DataFrame, key: str, known: Filter) -> DataFrame:
-    """`rows` with `__may`: false only where the filter's keys have no such key; true everywhere without bitmaps."""
+def may_have(rows: DataFrame, key: str, known: Filter, name: str = "__may") -> DataFrame:
+    """`rows` with `name`: false only where the filter's keys have no such key; true everywhere without bitmaps. Other columns stay, whatever they are called."""
     if known.bitmaps is None:
-        return rows.withColumn("__may", F.lit(True))
+        return rows.withColumn(name, F.lit(True))
+    bucket, at, bits = (free_name(rows, x) for x in ("__bucket", "__at", "__bits"))
     spot = F.pmod(F.xxhash64(key), F.lit(known.size))
-    rows = rows.withColumns({"__bucket": F.bitmap_bucket_number(spot), "__at": F.bitmap_bit_position(spot)})
-    byte = F.expr("cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)")
-    bit = F.expr("shiftleft(1, cast(__at % 8 as int))")
-    found = rows.join(F.broadcast(known.bitmaps), "__bucket", "left")
-    return found.withColumn("__may", F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))).drop("__bucket", "__at", "__bits")
+    bitmaps = known.bitmaps.select(F.col("__bucket").alias(bucket), F.col("__bits").alias(bits))
+    rows = rows.withColumns({bucket: F.bitmap_bucket_number(spot), at: F.bitmap_bit_position(spot)})
+    byte = F.expr(f"cast(conv(hex(substring(`{bits}`, cast(`{at}` div 8 as int) + 1, 1)), 16, 10) as int)")
+    bit = F.expr(f"shiftleft(1, cast(`{at}` % 8 as int))")
+    found = rows.join(F.broadcast(bitmaps), bucket, "left")
+    return found.withColumn(name, F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))).drop(bucket, at, bits)
 
 
 def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:

@@ -229,12 +229,12 @@ def with_overlaps(docs: DataFrame, benchmark: DataFrame, name: str, text_col: st
         found = written(found.groupBy("key").agg(F.first("found").alias("found")), "overlaps")
         index.destroy()
         tables = found if tables is None else tables.unionByName(found)
-    key = free_name(docs, "__key")
+    key, may = free_name(docs, "__key"), free_name(docs, "__may")
     every = written(tables.groupBy(F.col("key").alias(key)).agg(F.array_sort(F.flatten(F.collect_list("found"))).alias(name)), "all-overlaps")
-    rows = may_have(docs.withColumn(key, F.sha2(text, 256)), key, filter_of(every, key, every.count()))
+    rows = may_have(docs.withColumn(key, F.sha2(text, 256)), key, filter_of(every, key, every.count()), may)
     none = F.array().cast(f"array<struct<item:{item_type},words:int>>")
-    met = rows.where("__may").join(every, key, "left").withColumn(name, F.coalesce(name, none))
-    return rows.where("not __may").withColumn(name, none).unionByName(met).drop("__may", key)
+    met = rows.where(F.col(may)).join(every, key, "left").withColumn(name, F.coalesce(name, none))
+    return rows.where(~F.col(may)).withColumn(name, none).unionByName(met).drop(may, key)
 
 
 def two(found: Iterator[list]) -> Iterator[list]:

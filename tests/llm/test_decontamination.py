@@ -131,3 +131,16 @@ def test_shared_phrases_are_pruned():
     assert index.overlaps(f"{phrase} y " * 530) == {}
     assert index.overlaps(f"{phrase} y " * 100 + items[7][1]) == {7: 25}
     assert time.time() - start < 20
+
+
+@pytest.mark.parametrize("block_words", [5, 10**6])
+def test_columns_of_any_name_stay(spark, monkeypatch, block_words):
+    """Many blocks as one: names that the work itself uses are taken by the input."""
+    from quern.llm import decontamination as d
+
+    monkeypatch.setattr(d, "BLOCK_WORDS", block_words)
+    bench = spark.createDataFrame([(1, "one two three four five six"), (2, "seven eight nine ten eleven twelve")], "item_id long, text string")
+    rows = [(1, "x one two three four five six y", 7, 8, 9, b"1", "k"), (2, "nothing of it here at all", 1, 2, 3, b"2", "k"), (3, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __may long, __bucket long, __at int, __bits binary, __key string")
+    got = d.clean_documents(docs, bench)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted(rows[1:])
