@@ -175,6 +175,6 @@ def embedded(spark: SparkSession, folder: str, schema: str = "STAGING") -> Datab
     """A database in a local folder, in this process: only where all tasks run in it too."""
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("an embedded database is only seen by its own process")
-    path = folder.removeprefix("file:").replace("//", "/")
+    path = "/" + folder.removeprefix("file:").lstrip("/")
     spark._jvm.java.lang.System.setProperty("derby.stream.error.file", f"{path}.log")
     return Database(spark, f"jdbc:derby:{path};create=true", schema, {"driver": "org.apache.derby.jdbc.EmbeddedDriver", "user": "app", "password": "app"})

@@ -57,9 +57,9 @@ class KeysetReader(DataSourceStreamReader):
     def store(self):
         from pyarrow import fs
 
-        if "://" in self.path or self.path.startswith("file:"):
-            return fs.FileSystem.from_uri(self.path)
-        return fs.LocalFileSystem(), self.path
+        if self.path.startswith(("file:", "/")):
+            return fs.LocalFileSystem(), "/" + self.path.removeprefix("file:").lstrip("/")
+        return fs.FileSystem.from_uri(self.path)
 
     def footers(self) -> list[tuple[str, object]]:
         import pyarrow.parquet as pq
