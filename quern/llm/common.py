@@ -14,8 +14,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that are sent to a Python worker at once.
-ROWS = 1000
+#: Rows and bytes that are sent to a Python worker at once.
+ROWS, BATCH_BYTES = 1000, "16m"
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _MADE: list[str] = []
@@ -44,8 +44,12 @@ def dealt_out(rows: DataFrame) -> DataFrame:
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors, once a session, so that it need not be installed there.
 
-    Rows also go to Python workers in batches of at most `ROWS`: the default of 10,000 is meant for numbers, not for whole texts.
+    Two settings of the session change for everything that runs in it: rows go to Python workers in batches of at most `ROWS` and
+    `BATCH_BYTES` (or one row), whichever is reached first, unless the session says otherwise. Spark's own limit of 10,000 rows is meant for numbers, not for
+    whole texts.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     app = spark.sparkContext.applicationId

@@ -32,3 +32,16 @@ def test_small_tables_are_dealt_out(spark, tmp_path):
 def test_slices_by_size():
     assert [list(range(10))[s] for s in by_size(["aaa", "b", "cc", "", "d" * 9, "e"], 4)] == [[0, 1], [2, 3], [4], [5]]
     assert list(by_size([])) == []
+
+
+def test_texts_go_to_workers_by_bytes(spark):
+    from quern.llm.common import ship_package
+
+    ship_package(spark)
+    texts = spark.range(60).coalesce(1).select(F.repeat(F.lit("x"), 1_000_000).alias("t"))
+
+    def sizes(frames):
+        for pdf in frames:
+            yield pdf.assign(n=len(pdf)).head(1)[["n"]]
+
+    assert max(r["n"] for r in texts.mapInPandas(sizes, "n long").collect()) <= 17
