@@ -75,11 +75,30 @@ def ingest_files(spark: SparkSession, landing: str, bronze: str, manifest_path:
     return tally
 
 
+def first_lines(spark: SparkSession, raw: str, n: int) -> DataFrame:
+    """(value): the first `n` lines that aren't empty, files in the order of their names.
+
+    Lines are counted by the blocks that files are read in (a row a block reaches the driver); a block is then taken whole, in part or not at all.
+    """
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(raw).select("value", *block, F.monotonically_increasing_id().alias("id")).where("value <> ''")
+    # lines of a block are numbered in order, in the task that reads it
+    sizes = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).orderBy("file", "block").collect()
+    some, left = [], n
+    for r in sizes:
+        if left > 0:
+            some.append((r["file"], r["block"], min(r["n"], left), r["n"] > left))
+            left -= r["n"]
+    taken = spark.createDataFrame(some, "file string, block long, wanted long, cut boolean")
+    met = lines.join(F.broadcast(taken), ["file", "block"])
+    cut = met.where("cut")  # one block at most
+    part = cut.orderBy("id").limit(next((r[2] for r in some if r[3]), 0))
+    return met.where("not cut").select("value").unionByName(part.select("value"))
+
+
 def split_by_date(spark: SparkSession, raw: str, target: str, chunk_lines: int = 250_000, max_chunks: int | None = None) -> None:
-    """Raw lines into a folder for each date, as they are, in files of at most `chunk_lines`; with `max_chunks` only so many chunks of lines."""
-    lines = spark.read.text(raw).where("value <> ''")
-    if max_chunks is not None:
-        lines = lines.limit(chunk_lines * max_chunks)
+    """Raw lines into a folder for each date, as they are, in files of at most `chunk_lines`; with `max_chunks` only the first so many chunks of lines."""
+    lines = spark.read.text(raw).where("value <> ''") if max_chunks is None else first_lines(spark, raw, chunk_lines * max_chunks)
     dated = lines.withColumn("event_date", F.substring(F.split_part("value", F.lit(","), F.lit(2)), 1, 10))
     dated.write.mode("overwrite").option("maxRecordsPerFile", chunk_lines).partitionBy("event_date").text(target)
 

@@ -59,3 +59,19 @@ def test_local_paths(tmp_path, path):
     place.write_text("here")
     with digests.opened(path.replace("/tmp/x", str(place))) as f:
         assert f.read() == b"here"
+
+
+@pytest.mark.parametrize("n", [0, 1, 49, 50, 51, 120, 500])
+def test_first_lines_are_the_first(spark, tmp_path, n):
+    """Files by name, lines as they stand, whatever task reads what."""
+    from quern.sources.files import first_lines, split_by_date
+
+    want = []
+    for name, k in (("b.dat", 70), ("a.dat", 50), ("c.dat", 90)):
+        (tmp_path / name).write_text("\n".join(f"{name}{i},2020-01-0{i % 3 + 1}T00:00:00Z,{i}" + "\n" * (i % 2) for i in range(k)))
+    for name in ("a.dat", "b.dat", "c.dat"):
+        want += [x for x in (tmp_path / name).read_text().split("\n") if x]
+    assert sorted(r["value"] for r in first_lines(spark, str(tmp_path), n).collect()) == sorted(want[:n])
+    if n == 120:
+        split_by_date(spark, str(tmp_path), f"{tmp_path}/out", 40, 3)
+        assert sorted(r["value"] for r in spark.read.text(f"{tmp_path}/out").collect()) == sorted(want[:120])
