@@ -82,7 +82,7 @@ def test_near_dedup_keeps_different_texts_under_one_id(spark, sf_dir):
 
 def test_clashing_columns(spark, sf_dir):
     names = ["__id", "__n", "__cell", "__at", "__start", "__copies", "__key", "__overlaps", "__may", "k1", "k2", "root", "row", "n", "size", "spot", "cell", "members", "shard", "slot", "fp", "node"]
-    docs = table(spark, sf_dir, "documents").limit(40)
+    docs = table(spark, sf_dir, "documents").orderBy("doc_id").limit(40)
     plain = {name: Counter(map(tuple, stage(spark, docs, sf_dir).select("doc_id", "text").collect())) for name, stage in P.STAGES}
     for i, n in enumerate(names):
         docs = docs.withColumn(n, F.lit(100 + i))
