@@ -27,6 +27,8 @@ from quern.storage import Files
 TIME = "%Y-%m-%dT%H:%M:%S.%f"
 #: Bytes of row groups, as they are in the files, that one task reads.
 TASK_BYTES = 128 << 20
+#: Rows that a task unpacks at once, and bytes of a column that it fetches at once.
+BATCH_ROWS, BUFFER = 20_000, 1 << 20
 #: Rows of a file that is written.
 FILE_ROWS = 500_000
 
@@ -87,12 +89,15 @@ class KeysetReader(DataSourceStreamReader):
                 elif said is None or not said.has_null_count or said.null_count < group.num_rows:
                     yield path, g, group.total_byte_size, None, None
 
-    def read_group(self, path: str, group: int, columns: Sequence[str]):
+    def read_group(self, path: str, group: int, columns: Sequence[str]) -> Iterator:
+        """The rows of a row group, `BATCH_ROWS` at a time: unpacked whole it may be many times what it is in the file."""
+        import pyarrow as pa
         import pyarrow.parquet as pq
 
         store, _ = self.store()
         with store.open_input_file(path) as f:
-            return pq.ParquetFile(f).read_row_group(group, columns=list(columns))
+            for batch in pq.ParquetFile(f, buffer_size=BUFFER, pre_buffer=False).iter_batches(BATCH_ROWS, row_groups=[group], columns=list(columns)):
+                yield pa.Table.from_batches([batch])
 
     # offsets -------------------------------------------------------------------------------------------------------
 
@@ -108,14 +113,14 @@ class KeysetReader(DataSourceStreamReader):
         for path, group, _, _, top in known:
             if top is not None and top != latest:
                 continue
-            rows = self.read_group(path, group, self.cursor)
-            if len(rows) == rows[self.cursor[0]].null_count:
-                continue
-            rows = rows.filter(pc.equal(rows[self.cursor[0]], pc.max(rows[self.cursor[0]])))
-            for c in self.cursor[1:]:  # of the latest time the largest key
-                rows = rows.filter(pc.equal(rows[c], pc.max(rows[c])))
-            if len(rows):
-                best = max(best, tuple(as_value(rows[c][0].as_py()) for c in self.cursor))
+            for rows in self.read_group(path, group, self.cursor):
+                if len(rows) == rows[self.cursor[0]].null_count:
+                    continue
+                rows = rows.filter(pc.equal(rows[self.cursor[0]], pc.max(rows[self.cursor[0]])))
+                for c in self.cursor[1:]:  # of the latest time the largest key
+                    rows = rows.filter(pc.equal(rows[c], pc.max(rows[c])))
+                if len(rows):
+                    best = max(best, tuple(as_value(rows[c][0].as_py()) for c in self.cursor))
         return dict(zip(self.cursor, best))
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
@@ -149,9 +154,9 @@ class KeysetReader(DataSourceStreamReader):
             return out
 
         for path, group in partition.groups:
-            rows = self.read_group(path, group, self.names)
-            rows = rows.filter(pc.and_kleene(above(rows, partition.start), pc.invert(above(rows, partition.end))))
-            yield from rows.select(self.names).combine_chunks().to_batches()
+            for rows in self.read_group(path, group, self.names):
+                rows = rows.filter(pc.and_kleene(above(rows, partition.start), pc.invert(above(rows, partition.end))))
+                yield from rows.select(self.names).combine_chunks().to_batches()
 
 
 class KeysetSource(DataSource):
@@ -189,6 +194,8 @@ def ingest_keyset(
         fail("write")
         folder = f"{run_id}_batch_{number + 1:06d}"
         out = batch.withColumn("_ingestion_id", F.lit(folder)).select(*names, F.to_date("_ingested_at").alias("ingestion_date"), F.lit(folder).alias("extraction_id"))
+        # a batch has one folder: with a writer for each folder that is open, rows need no sort by folder; the stream's session is its own
+        batch.sparkSession.conf.set("spark.sql.maxConcurrentOutputFileWriters", "4")
         out.write.partitionBy("ingestion_date", "extraction_id").options(partitionOverwriteMode="dynamic", maxRecordsPerFile=FILE_ROWS).mode("overwrite").parquet(f"{bronze}/{contract.name}")
         fail("commit")
 

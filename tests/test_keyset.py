@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.contracts import TableContract
 from quern.sources.incremental import METHOD
 from quern.sources.readers import read_bronze
-from quern.streaming.keyset import KeysetReader, ingest_keyset, keyset_stream
+from quern.streaming.keyset import KeysetReader, as_value, ingest_keyset, keyset_stream
 
 C = TableContract("things", ("a", "b"), {"a": "string", "b": "int32", "v": "decimal_10_2", "note": "string", "created_at": "timestamp_us", "updated_at": "timestamp_us"})
 T0 = datetime(2026, 1, 1, 0, 0, 0, 123456)
@@ -101,3 +101,16 @@ def test_the_stream_is_a_plain_frame(spark, tmp_path):
     q = s.groupBy("note").count().writeStream.format("memory").queryName("notes").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["note"], r["count"]) for r in spark.table("notes").collect()} == {(None, 29), ("é", 30)}
+
+
+def test_a_row_group_is_unpacked_in_pieces(spark, tmp_path, monkeypatch):
+    from quern.streaming import keyset
+
+    rows(spark, 0, 300).coalesce(1).write.parquet(f"{tmp_path}/source")
+    monkeypatch.setattr(keyset, "BATCH_ROWS", 70)
+    start = C.to_json(C.initial_watermark())
+    reader = KeysetReader({"path": f"{tmp_path}/source", "cursor": ",".join(C.cursor), "initial": json.dumps(start)}, C.schema().names)
+    end = reader.latestOffset()
+    (part,) = reader.partitions(start, end)
+    pieces = [b.num_rows for b in reader.read(part)]
+    assert max(pieces) <= 70 and sum(pieces) == 299 and end["updated_at"] == as_value(T0 + timedelta(minutes=99))
