@@ -217,3 +217,10 @@ def test_measures_of_two_facts_do_not_mix(spark):
     require_one_fact(a, a)
     with pytest.raises(ValueError, match="different facts"):
         require_one_fact(a, b)
+
+
+def test_wrong_types_are_written_without_a_sort(spark, sf_dir, monkeypatch):
+    from quern.protocols import dq_bronze_types
+
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.partitionBy", lambda *a: pytest.fail("a write by folders sorts all rows of its task"))
+    assert sorted({r["failures"] for r in dq_bronze_types(spark, sf_dir).collect()}) == [0, 3]
