@@ -1,6 +1,7 @@
 """Incremental ingestion of a source table in keyset batches that survives a crash at any point.
 
-A batch goes through five steps: read, note it as pending, write its raw folder, move the checkpoint, drop the note. All
+A batch goes through five steps: read, note it as pending, write its raw folder, move the checkpoint, drop the note. Batches are written beside,
+several at once, and take their folder's name when it is their turn; what a crash leaves there is written over. All
 that a batch needs to be made again (bounds, size, ids, time) is in the note, so a batch that is run again writes the
 same rows to the same folder.
 """
@@ -8,10 +9,13 @@ same rows to the same folder.
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,8 @@ from quern.sources.footers import wrong_types
 from quern.sources.readers import listed
 from quern.storage import Files
 
+#: Batches that are written at once; each is one task.
+MOST_AHEAD = 16
 METHOD = "timestamp_incremental"
 #: Columns of staged rows: their place in cursor order, and the number of their batch.
 PLACE, BATCH = "__place", "__batch"
@@ -129,16 +135,16 @@ class Ingestion:
     def folder(self, p: Pending) -> str:
         return f"{self.bronze}/{self.contract.name}/ingestion_date={p.ingested_at[:10]}/extraction_id={p.extraction_id}"
 
-    def write(self, rows: DataFrame, p: Pending) -> None:
+    def write(self, rows: DataFrame, p: Pending, folder: str) -> None:
         values = {"_ingestion_id": p.extraction_id, "_ingested_at": datetime.strptime(p.ingested_at, TIME_FORMAT), "_source_table": self.contract.name, "_ingestion_method": METHOD}
         out = rows.withColumn("_source_updated_at", F.col(self.contract.watermark))
         for c, v in values.items():
             out = out.withColumn(c, F.lit(v).cast(TYPES["timestamp_us"] if c == "_ingested_at" else TYPES["string"]))
-        out.select(*self.contract.bronze_schema().names).coalesce(1).write.mode("overwrite").parquet(self.folder(p))
+        out.select(*self.contract.bronze_schema().names).coalesce(1).write.mode("overwrite").parquet(folder)
 
-    def finish(self, rows: DataFrame, p: Pending) -> None:
+    def finish(self, p: Pending, write: Callable[[], None]) -> None:
         self.fail("write")
-        self.write(rows, p)
+        write()
         self.fail("checkpoint")
         self.state.save_checkpoint(p.batch_upper)
         self.fail("drop")
@@ -158,7 +164,7 @@ class Ingestion:
         end = self.upper(rows)
         if end != p.batch_upper:
             raise StateError(f"the pending batch now ends at {end}, not at {p.batch_upper}")
-        self.finish(rows, p)
+        self.finish(p, lambda: self.write(rows, p, self.folder(p)))
         return p.batch_upper, 1
 
     def staged(self, checkpoint: dict, top: dict) -> DataFrame:
@@ -195,27 +201,44 @@ class Ingestion:
             raise StateError("the checkpoint lies above the source")
         if checkpoint == top:
             return {"status": "run_completed" if replayed else "no_new_data", "batches": 0, "replayed": replayed}
-        n, safe = 0, safe_run_id(run_id)
-        taken = [int(x.rsplit("_", 1)[1]) for d in Files(self.spark).names(f"{self.bronze}/{self.contract.name}") for x in Files(self.spark).names(f"{self.bronze}/{self.contract.name}/{d}") if x.startswith(f"extraction_id={safe}_batch_")]
+        n, safe, files = 0, safe_run_id(run_id), Files(self.spark)
+        taken = [int(x.rsplit("_", 1)[1]) for d in files.names(f"{self.bronze}/{self.contract.name}") for x in files.names(f"{self.bronze}/{self.contract.name}/{d}") if x.startswith(f"extraction_id={safe}_batch_")]
         number = max(taken, default=0)
         self.fail("read")
+        for left in files.names(f"{self.root}/staged"):  # by a run that a crash has ended
+            if left.startswith(f"{self.contract.name}-"):
+                files.delete(f"{self.root}/staged/{left}")
         staged = self.staged(checkpoint, top)
         cursor = self.contract.cursor
-        ends = staged.groupBy(BATCH).agg(F.max(F.struct(*cursor)).alias("end")).orderBy(BATCH).select("end.*")
-        for r in ends.toLocalIterator():  # a row a batch, streamed
-            end = self.mark_of(r)
-            if order(end) <= order(checkpoint):
-                raise StateError("a batch must move the cursor")
-            rows = staged.where(keyset_predicate(cursor, order(checkpoint), ">") & keyset_predicate(cursor, order(end), "<=")).drop(BATCH)
-            n, number = n + 1, number + 1
-            p = Pending(run_id, top, checkpoint, end, f"{safe}_batch_{number:06d}", self.now().strftime(TIME_FORMAT), self.batch_size)
-            self.fail("pending")
-            self.state.save_pending(p)
-            self.finish(rows, p)
-            checkpoint = end
+        ends = staged.groupBy(BATCH).agg(F.max(F.struct(*cursor)).alias("end")).orderBy(BATCH).select("end.*").toLocalIterator()  # a row a batch, streamed
+        ready = lambda p: f"{self.root}/staged/{self.contract.name}-{p.extraction_id}"
+        ahead: deque[tuple[Pending, Future]] = deque()  # batches that are being written beside, while those before them are ended in order
+        most = max(1, min(MOST_AHEAD, self.spark.sparkContext.defaultParallelism))
+        with ThreadPoolExecutor(most) as pool:
+            try:
+                begun, r = checkpoint, next(ends, None)
+                while r is not None or ahead:
+                    while r is not None and len(ahead) < most:
+                        end = self.mark_of(r)
+                        if order(end) <= order(begun):
+                            raise StateError("a batch must move the cursor")
+                        rows = staged.where(keyset_predicate(cursor, order(begun), ">") & keyset_predicate(cursor, order(end), "<=")).drop(BATCH)
+                        number += 1
+                        p = Pending(run_id, top, begun, end, f"{safe}_batch_{number:06d}", self.now().strftime(TIME_FORMAT), self.batch_size)
+                        ahead.append((p, pool.submit(inheritable_thread_target(self.spark)(self.write), rows, p, ready(p))))
+                        begun, r = end, next(ends, None)
+                    p, written = ahead.popleft()
+                    self.fail("pending")
+                    self.state.save_pending(p)
+                    written.result()
+                    self.finish(p, lambda p=p: files.move(ready(p), self.folder(p)))
+                    n, checkpoint = n + 1, p.batch_upper
+            finally:
+                for _, w in ahead:
+                    w.cancel()
         if checkpoint != top:
             raise StateError("the batches don't reach the upper bound of the run")
-        Files(self.spark).delete(f"{self.root}/staged/{self.contract.name}")
+        files.delete(f"{self.root}/staged/{self.contract.name}")
         return {"status": "run_completed", "batches": n, "replayed": replayed}
 
 

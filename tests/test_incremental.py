@@ -1,7 +1,9 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
 
+from quern.storage import Files
 from quern.contracts import CONTRACTS, TableContract, contract_of
 from quern.operators.versions import latest_state
 from quern.sources.incremental import Ingestion, Pending, State, StateError
@@ -112,3 +114,22 @@ def test_latest_state(spark):
     assert {r["k"]: r["v"] for r in latest_state(df, ["k"]).collect()} == {"a": 2, "b": 2, "c": 2, "d": 1}
     with pytest.raises(Exception, match="null in key"):
         latest_state(df.unionByName(spark.createDataFrame([(None, t(1), t(1), 1)], df.schema)), ["k"]).collect()
+
+
+def test_later_batches_are_written_while_one_is_ended(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{i}", i, None, None, T0, T0 + timedelta(minutes=i)) for i in range(25)], C.schema())
+    seen = []
+
+    def fail(step):
+        if step == "pending":
+            seen.append(sorted(n for n in Files(spark).names(f"{tmp_path}/state/staged") if "_batch_" in n) if not seen else [])
+            if len(seen) == 2:
+                raise RuntimeError("crash")
+
+    with pytest.raises(RuntimeError, match="crash"):
+        ingestion(spark, tmp_path, df, fail=lambda s: (time.sleep(5), fail(s)) if s == "pending" and not seen else fail(s)).run("r")
+    assert len(seen[0]) == 3  # all three batches lie beside before the first is ended
+    assert read_bronze(spark, C, f"{tmp_path}/bronze").count() == 10
+    assert ingestion(spark, tmp_path, df).run("r")["batches"] == 2
+    assert read_bronze(spark, C, f"{tmp_path}/bronze").select("b").distinct().count() == 25 == read_bronze(spark, C, f"{tmp_path}/bronze").count()
+    assert not [n for n in Files(spark).names(f"{tmp_path}/state/staged") if "_batch_" in n]
