@@ -32,7 +32,8 @@ SHORT = {"order_items": "items", "order_payments": "payments", "order_reviews":
 
 
 def load_seed(spark: SparkSession, folder: str, target: str, files: Mapping[str, str] = SEED_FILES) -> dict[str, int]:
-    """Rows by table. Nothing is loaded if a file is missing or a table is there already.
+    """Rows by table. Nothing is loaded if a file is missing or a table is there already. A file may be a folder of files of its name, each with the
+    header; one task reads each, as records may hold line breaks, so a large table should come as a folder.
 
     All tables are staged first; then a plan names the staged data and every table is pointed at its own. A run that finds a
     plan ends it, so a crash leaves either no table or all.

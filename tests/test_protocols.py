@@ -224,3 +224,14 @@ def test_wrong_types_are_written_without_a_sort(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.partitionBy", lambda *a: pytest.fail("a write by folders sorts all rows of its task"))
     assert sorted({r["failures"] for r in dq_bronze_types(spark, sf_dir).collect()}) == [0, 3]
+
+
+def test_seed_files_are_bounded(spark, sf_dir, tmp_path, monkeypatch):
+    from quern import protocols
+
+    monkeypatch.setattr(protocols, "SEED_ROWS", 400)
+    loaded = seeded(spark, sf_dir, str(tmp_path))
+    parts = spark.read.options(header=True, multiLine=True, escape='"').csv(f"{tmp_path}/raw/olist_order_items_dataset.csv").groupBy(F.col("_metadata.file_path")).count().collect()
+    assert max(r["count"] for r in parts) <= 400 and sum(r["count"] for r in parts) == loaded["order_items"] > 2000
+    towns = SnapshotTable(spark, f"{tmp_path}/seed/geolocation").read()
+    assert loaded["geolocation"] == 25 == towns.where(F.col("geolocation_city").contains('"old"\ntown')).count()
