@@ -182,10 +182,11 @@ def similar_links(texts: DataFrame, counts: np.ndarray, proposed: DataFrame) ->
     for _ in range(ROUNDS):
         if cells.isEmpty():
             return links
-        head = F.first(F.struct("node", "size", "pos")).over(cell.orderBy(F.desc("central"), "node"))
-        cells = written(cells.withColumn("h", head).select("*", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("node", "size", "pos")]).drop("h").where("node <> h_node"), "headed")
-        links = more(cells.where(may_reach("", "h_")).select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b")))
-        cells = open_cells(cells.drop("root", "h_node", "h_size", "h_pos"))
+        head = F.first(F.struct("node", "size", "pos", "root")).over(cell.orderBy(F.desc("central"), "node"))
+        cells = written(cells.withColumn("h", head).select("*", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("node", "size", "pos", "root")]).drop("h").where("node <> h_node"), "headed")
+        # what is in the head's component already need not be compared with it
+        links = more(cells.where(F.col("root") != F.col("h_root")).where(may_reach("", "h_")).select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b")))
+        cells = open_cells(cells.drop("root", "h_node", "h_size", "h_pos", "h_root"))
     a, b = (cells.select("cell", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "size", "pos", "root")]) for x in "ab")
     return more(a.join(b, (a.cell == b.cell) & (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & may_reach("a_", "b_")).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
 
