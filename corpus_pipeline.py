@@ -40,12 +40,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text, number = text_or_empty(), F.col("doc_id").try_cast("long")
     keys = F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(text, "doc_id", F.lit(1)).alias("k2")
     order = [F.col("doc_id").isNull().alias("no_id"), number.isNull().alias("odd"), F.coalesce(number, F.lit(0)).alias("num"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("word")]
+    before = made()
     groups = written(near_copy_groups(docs.select(*keys, *order, text.alias("text"))), "groups")
+    drop_written(spark, before, keep=1)
     # of a group the row that ranks first stays; of rows that are equal in id and text one
     stay = groups.groupBy("root").agg(F.min(F.struct("no_id", "odd", "num", "word", "k1", "k2")).alias("b")).select("b.k1", "b.k2")
     counts = groups.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
     special = counts.join(stay.withColumn("stays", F.lit(True)), ["k1", "k2"], "left").withColumn("stays", F.coalesce("stays", F.lit(False))).where("n > 1 or not stays")
     special = written(special.select("k1", "k2", "stays"), "special")
+    drop_written(spark, before, keep=1)
     # only rows that may go move: all others are told by the filter where they are read
     row = docs.select(F.struct(*columns_of(docs)).alias("row"), *keys)
     row = may_have(row, "k1", filter_of(special, "k1", special.count()))

@@ -9,6 +9,10 @@ nodes are dealt to the cells of these alone. What stands together in a cell is c
 cell's most central node, and once these links are joined, what is left between different components, pair by pair.
 No pair is lost, whatever the counts; they only decide how many pairs have to be compared.
 
+Whole sets are the largest thing here, so they move last and are never kept for all texts. Each node has a bitmap of its set:
+a bit that one of two sets has alone stands for a shingle that it has alone. Pairs that are too far apart by that go,
+without loss; only for the nodes of the others are texts read again and sets made, and these go when they are compared.
+
 Defined results: a null text is the empty text; texts without words have the empty set and are one node; texts of up to
 five words have one shingle; rows that repeat get the same result; an empty table gives an empty result.
 """
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import filter_of, may_have, ship_package, text_or_empty, written
+from .common import drop_written, filter_of, made, may_have, ship_package, text_or_empty, written
 from .simhash import bits_of, components, hamming_links, shingle_hashes
 
 WORDS = 5
@@ -34,6 +38,8 @@ NUM, DEN = 4, 5
 BUDGET = 3
 #: Slots of the tables of counts, and slots that are summed in one row.
 SLOTS, CHUNK = 1 << 19, 1 << 14
+#: Bits of a set's bitmap.
+MARKS = 1024
 #: Rounds of comparing with a cell's most central node, before what is left is compared pair by pair.
 ROUNDS = 3
 #: Texts whose cells or sets a worker hands on at once.
@@ -70,6 +76,12 @@ def slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
+def marks_of(shingles: np.ndarray) -> np.ndarray:
+    bits = np.zeros(MARKS, bool)
+    bits[(shingles >> np.uint64(32)) & np.uint64(MARKS - 1)] = True
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def sliced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         for i in range(0, len(pdf), BATCH):
@@ -77,18 +89,20 @@ def sliced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def keys_and_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The carried columns with node and fingerprint of each text; at the end the table of counts of the task."""
+    """The carried columns with node, fingerprint, size and bitmap of each text; at the end the table of counts of the task."""
     counts, empty = np.zeros(SLOTS, np.int64), None
     for pdf in frames:
-        nodes, prints = [], []
+        nodes, prints, sizes, marks = [], [], [], []
         for t in pdf["text"]:
             hashes = np.array(shingle_hashes(t.encode(), WORDS), dtype="<u8")
             s = np.unique(hashes)
             nodes.append(node_of(s))
             prints.append(bits_of(hashes))
+            sizes.append(len(s))
+            marks.append(marks_of(s))
             np.add.at(counts, slots(s), 1)
         kept = {c: pdf[c].astype("object") if pd.api.types.is_string_dtype(pdf[c]) else pdf[c] for c in pdf.columns if c != "text"}
-        out = pd.DataFrame(kept).assign(node=nodes, fp=np.array(prints, np.uint64).view(np.int64), chunk=pd.array([None] * len(pdf), "Int64"), counts=None)
+        out = pd.DataFrame(kept).assign(node=nodes, fp=np.array(prints, np.uint64).view(np.int64), size=sizes, marks=pd.Series(marks, dtype="object", index=pdf.index), chunk=pd.array([None] * len(pdf), "Int64"), counts=None)
         empty = out.iloc[:0] if empty is None else empty
         yield out
     if empty is not None:
@@ -113,15 +127,10 @@ def first_cells(frames: Iterator[pd.DataFrame], counts: np.ndarray) -> Iterator[
             yield pd.DataFrame(dict(zip(("cell", "node", "size", "pos", "central"), map(np.concatenate, out), strict=True)))
 
 
-def sets_of(frames: Iterator[pd.DataFrame], wanted: np.ndarray) -> Iterator[pd.DataFrame]:
+def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in sliced(frames):
-        rows = []
-        for t in pdf["text"]:
-            s = shingle_set(t.encode())
-            node = node_of(s)
-            if wanted[node & (SLOTS - 1)]:
-                rows.append((node, s.view(np.int64)))
-        yield pd.DataFrame(rows, columns=["node", "shingles"])
+        sets = [shingle_set(t.encode()) for t in pdf["text"]]
+        yield pd.DataFrame({"node": [node_of(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
 
 def may_reach(a: str, b: str) -> Column:
@@ -131,14 +140,30 @@ def may_reach(a: str, b: str) -> Column:
     return F.least(after(a), after(b)) * (NUM + DEN) >= NUM * (size(a) + size(b))
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. Only sets of nodes that a pair names move, as far as a filter can tell."""
-    pairs = written(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = may_have(sets, "node", filter_of(nodes, "node", nodes.count())).where("__may").drop("__may")
-    whole = pairs.join(named.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(named.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+def may_be_similar() -> Column:
+    """Whether two sets can be similar enough by sizes and bitmaps (sizea, sizeb, marksa, marksb)."""
+
+    def alone(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(f"marks{x}", f"marks{y}", lambda m, n: F.bit_count(m.bitwiseAND(F.bitwise_not(n)))), F.lit(0), lambda n, m: n + m)
+
+    both = F.least(F.col("sizea") - alone("a", "b"), F.col("sizeb") - alone("b", "a"))
+    return both * (NUM + DEN) >= NUM * (F.col("sizea") + F.col("sizeb"))
+
+
+def linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. nodes: (node, text_key, size, marks); texts: (text_key, text)."""
+    before = made()
+    end = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("text_key", "size", "marks")])
+    near = written(pairs.distinct().join(end("a"), "a").join(end("b"), "b").where(may_be_similar()).select("a", "b", "text_keya", "text_keyb"), "pairs")
+    wanted = near.select(F.explode(F.array("text_keya", "text_keyb")).alias("text_key")).distinct()
+    # one text of each node that a pair names; a filter tells most others before they move
+    named = may_have(texts, "text_key", filter_of(wanted, "text_key", wanted.count())).where("__may").dropDuplicates(["text_key"]).join(wanted, "text_key", "left_semi")
+    sets = written(named.select("text").mapInPandas(sets_of, "node long, shingles array<long>"), "sets")
+    whole = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return written(whole.where(both * (NUM + DEN) >= NUM * (F.size("sa") + F.size("sb"))).select("a", "b"), "similar")
+    similar = written(whole.where(both * (NUM + DEN) >= NUM * (F.size("sa") + F.size("sb"))).select("a", "b"), "similar")
+    drop_written(pairs.sparkSession, before, keep=1)
+    return similar
 
 
 def simhash_pairs(nodes: DataFrame) -> DataFrame:
@@ -151,27 +176,19 @@ def simhash_pairs(nodes: DataFrame) -> DataFrame:
     return same.unionByName(near).where("a <> b")
 
 
-def similar_links(texts: DataFrame, counts: np.ndarray, proposed: DataFrame) -> DataFrame | None:
-    """Links (a, b) between nodes whose connected components are those of all pairs that are similar enough. texts: (text); proposed: pairs to look at first."""
+def similar_links(texts: DataFrame, nodes: DataFrame, counts: np.ndarray, proposed: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes whose connected components are those of all pairs that are similar enough. texts and nodes as for `linked`; proposed: pairs to look at first."""
     spark = texts.sparkSession
     table = spark.sparkContext.broadcast(counts.astype(np.int32 if counts.max(initial=0) < 1 << 31 else np.int64))
     cell = W.partitionBy("cell")
-    cells = texts.mapInPandas(lambda it: first_cells(it, table.value), "cell long, node long, size long, pos long, central long")
+    cells = texts.select("text").mapInPandas(lambda it: first_cells(it, table.value), "cell long, node long, size long, pos long, central long")
     ends = lambda c, cells: cells.withColumn("lo", F.min(c).over(cell)).withColumn("hi", F.max(c).over(cell)).where("lo < hi").drop("lo", "hi")
     cells = written(ends("node", cells).distinct(), "shared-cells")
 
-    def marks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = np.zeros(SLOTS, np.int64)
-        for pdf in frames:
-            own[slots(pdf["node"].to_numpy(np.int64).view(np.uint64))] = 1
-        yield chunked(own)
-
-    wanted = spark.sparkContext.broadcast(summed(cells.select("node").mapInPandas(marks, "chunk long, counts binary")) > 0)
-    sets = written(texts.mapInPandas(lambda it: sets_of(it, wanted.value), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    links = linked(proposed, sets)
+    links = linked(proposed, nodes, texts)
 
     def more(pairs: DataFrame) -> DataFrame:
-        return links.unionByName(linked(pairs, sets))
+        return links.unionByName(linked(pairs, nodes, texts))
 
     def open_cells(cells: DataFrame) -> DataFrame:
         """The cells with nodes of different components."""
@@ -198,13 +215,15 @@ def near_copy_groups(rows: DataFrame) -> DataFrame:
     """
     ship_package(rows.sparkSession)
     carried = [f for f in rows.schema.fields if f.name != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in carried] + ["node long", "fp long", "chunk long", "counts binary"])
-    both = written(rows.mapInPandas(keys_and_counts, schema), "nodes")
-    keys = both.where("chunk is null").drop("chunk", "counts")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in carried] + ["text_key long", "node long", "fp long", "size long", "marks array<long>", "chunk long", "counts binary"])
+    text_key = F.xxhash64("text").alias("text_key")
+    both = written(rows.select(*[f.name for f in carried], text_key, "text").mapInPandas(keys_and_counts, schema), "nodes")
+    keys = both.where("chunk is null")
+    nodes = written(keys.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("marks").alias("marks")), "sizes")
     proposed = simhash_pairs(keys.select("node", "fp").distinct())
-    links = similar_links(rows.select("text"), summed(both.where("chunk is not null").select("chunk", "counts")), proposed)
+    links = similar_links(rows.select(text_key, "text"), nodes, summed(both.where("chunk is not null").select("chunk", "counts")), proposed)
     roots = written(components(links), "roots")
-    return keys.drop("fp").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+    return keys.select(*[f.name for f in carried], "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
