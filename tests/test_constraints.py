@@ -3,6 +3,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from quern import views as V
 from quern.column_tests import CONTRACT
 from quern.functions.scalar import request_id, request_id_of
 from quern.operators.constraints import Tests, answers, compiled, names
@@ -62,3 +63,11 @@ def test_request_ids(spark):
     rows = [("weather", "a"), ("é:😀", ""), ("", ""), ("x", None)] + [(str(i), str(i * i)) for i in range(200)]
     for r in spark.createDataFrame(rows, "a string, b string").select("a", "b", request_id_of(F.col("a"), F.col("b")).alias("id")).collect():
         assert r["id"] == (None if r["b"] is None else request_id(r["a"], r["b"])) and (r["id"] is None or uuid.UUID(r["id"]).version == 5)
+
+
+def test_lines_of_a_task_are_bounded(spark, sf_dir, monkeypatch):
+    """With more lines than the session's partitions are to hold there are more partitions, and the same rows."""
+    plain, lines = sorted(map(tuple, V.order_lines(spark, sf_dir).collect()), key=repr), V.read(spark, sf_dir, "lineitem").count()
+    monkeypatch.setattr(V, "TASK_LINES", lines // 20)
+    assert V.order_lines(spark, sf_dir).rdd.getNumPartitions() >= 20
+    assert sorted(map(tuple, V.order_lines(spark, sf_dir).collect()), key=repr) == plain
